@@ -296,12 +296,19 @@ def _pairs_of_hot(found: DataFrame, threshold: float, agree: int, block: int) ->
     return cells.groupBy("key", "lo", "hi").applyInPandas(pairs, f"a {id_type}, b {id_type}")
 
 
-def _verify(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, k: int, threshold: float, weights: str) -> DataFrame:
-    """Exact similarity of candidate pairs from the whole sets: a, b, ``similarity``."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+def _verify(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, k: int, threshold: float, weights: str, broadcast_rows: int) -> DataFrame:
+    """Exact similarity of candidate pairs from the whole sets: a, b, ``similarity``.
+
+    Only texts of ids in some pair are cut into runs and shuffled; the ids are
+    broadcast up to ``broadcast_rows`` of them (8 bytes each) and joined by a
+    shuffle beyond. Runs travel as 40-bit hashes.
+    """
+    needed = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "neardup-needed")
     id_type = needed.schema["id"].dataType.simpleString()
+    if needed.count() <= broadcast_rows:
+        needed = F.broadcast(needed)
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
-    mine = texts.join(needed, "id", "left_semi").dropDuplicates(["id"])
+    mine = texts.join(needed, "id", "left_semi")
 
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,22 +316,29 @@ def _verify(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, k: int,
                 part = batch.slice(at, 500)
                 sets, n, times = shingle_sets(part.column(1).to_pylist(), k, weights == "count")
                 ends = np.cumsum(n)
+                cells = (sets >> U(24)).view(np.uint8).reshape(-1, 8)[:, :5]
                 if times is not None:
-                    sets = np.stack([sets, times.astype(U)], 1)
-                out = [sets[e - c : e].tobytes() for e, c in zip(ends.tolist(), n.tolist())]
+                    cells = np.concatenate([cells, times.astype(np.uint32).view(np.uint8).reshape(-1, 4)], 1)
+                out = [cells[e - c : e].tobytes() for e, c in zip(ends.tolist(), n.tolist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], names=["id", "runs"])
 
     runs = mine.mapInArrow(blobs, f"id {id_type}, runs binary")
-    runs = written(runs, "neardup-runs")
     both = pairs.join(runs.withColumnsRenamed({"id": "b", "runs": "runs_b"}), "b").join(runs.withColumnsRenamed({"id": "a", "runs": "runs_a"}), "a")
+    width = 9 if weights == "count" else 5
+
+    def cut(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+        cells = np.frombuffer(blob, np.uint8).reshape(-1, width)
+        keys = np.zeros((len(cells), 8), np.uint8)
+        keys[:, :5] = cells[:, :5]
+        return keys.view(U)[:, 0], np.ascontiguousarray(cells[:, 5:]).view(np.uint32)[:, 0] if width == 9 else keys
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+                (x, m), (y, n) = cut(x), cut(y)
                 if weights == "count":
-                    out[i] = _weighted(x.reshape(-1, 2), y.reshape(-1, 2))
+                    out[i] = _weighted(np.stack([x, m.astype(U)], 1), np.stack([y, n.astype(U)], 1))
                 else:
                     s = np.sort(np.concatenate([x, y]), kind="stable")
                     shared = int((s[1:] == s[:-1]).sum())
@@ -332,7 +346,7 @@ def _verify(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, k: int,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["a", "b", "similarity"])
 
     checked = both.select("a", "b", "runs_a", "runs_b").mapInArrow(compare, f"a {id_type}, b {id_type}, similarity double")
-    return checked.filter(F.col("similarity") >= threshold)
+    return checked.filter(F.col("similarity") >= threshold).dropDuplicates(["a", "b"])
 
 
 def _weighted(x: np.ndarray, y: np.ndarray) -> float:
@@ -393,7 +407,7 @@ def near_duplicates(
     if not found.filter("b is null").isEmpty():
         pairs = pairs.unionByName(_pairs_of_hot(found, bound, agree, hot))
     pairs = written(pairs.distinct(), "neardup-pairs")
-    return _verify(pairs, df, id_col, text_col, k, threshold, weights), members.distinct()
+    return _verify(pairs, df, id_col, text_col, k, threshold, weights, broadcast_rows), members.distinct()
 
 
 def all_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
