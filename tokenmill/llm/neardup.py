@@ -188,13 +188,15 @@ def _bands(sigs: DataFrame, bands: int, rows: int, m: int) -> DataFrame:
     return sigs.select("id", "n", "sig").mapInArrow(run, f"key bigint, id {id_type}, n int, sketch bigint")
 
 
-def _likely(a: np.ndarray, b: np.ndarray, ids, n, sketch, threshold: float, agree: int) -> np.ndarray:
+def _likely(a: np.ndarray, b: np.ndarray, ids, n, sketch, threshold: float, agree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs fit by size and sketch, and the bits in which those sketches differ."""
     small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
     good = (ids[a] != ids[b]) & (small >= threshold * large - 1e-9)
     a, b = a[good], b[good]
     apart = np.bitwise_count((sketch[a] ^ sketch[b]).view(U))
-    good[good] = apart <= SKETCH_BITS - agree
-    return good
+    near = apart <= SKETCH_BITS - agree
+    good[good] = near
+    return good, apart[near].astype(np.int32)
 
 
 def _pairs_in_buckets(threshold: float, agree: int, hot: int):
@@ -224,9 +226,10 @@ def _pairs_in_buckets(threshold: float, agree: int, hot: int):
                 if len(i):
                     for at in range(0, len(i), 1 << 20):
                         x = i[at : at + (1 << 20)]
-                        x = x[_likely(x, x + d, ids, n, sketch, threshold, agree)]
+                        good, apart = _likely(x, x + d, ids, n, sketch, threshold, agree)
+                        x = x[good]
                         if len(x):
-                            yield emit(np.minimum(ids[x], ids[x + d]), np.maximum(ids[x], ids[x + d]))
+                            yield emit(np.minimum(ids[x], ids[x + d]), np.maximum(ids[x], ids[x + d]), n=apart)
                 d += 1
 
         def groups(cols, last):
@@ -289,11 +292,11 @@ def _pairs_of_hot(found: DataFrame, threshold: float, agree: int, block: int) ->
         out = []
         for a in left:
             x = np.full(len(right), a)
-            good = _likely(x, right, ids, n, sketch, threshold, agree)
-            out.append(np.stack([np.minimum(ids[x[good]], ids[right[good]]), np.maximum(ids[x[good]], ids[right[good]])], 1))
-        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), ids.dtype), columns=["a", "b"]).drop_duplicates()
+            good, apart = _likely(x, right, ids, n, sketch, threshold, agree)
+            out.append(np.stack([np.minimum(ids[x[good]], ids[right[good]]), np.maximum(ids[x[good]], ids[right[good]]), apart], 1))
+        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 3), ids.dtype), columns=["a", "b", "n"]).drop_duplicates()
 
-    return cells.groupBy("key", "lo", "hi").applyInPandas(pairs, f"a {id_type}, b {id_type}")
+    return cells.groupBy("key", "lo", "hi").applyInPandas(pairs, f"a {id_type}, b {id_type}, n int")
 
 
 def _verify(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, k: int, threshold: float, weights: str, broadcast_rows: int) -> DataFrame:
@@ -383,9 +386,12 @@ def near_duplicates(
     fold into their representative before anything is paired. A representative's
     bands (``rows`` registers each) are shuffled once and sorted; in each bucket only
     pairs that fit by size and by a 64-bit sketch become candidates, and buckets
-    of over ``hot`` rows are paired block by block in further tasks. Candidates are
-    verified on whole sets, so no pair is wrong; a pair of similarity s is missed
-    with about (1 - s^rows)^bands: 0.6 % at 0.6, 0.04 % at 0.65 and less beyond.
+    of over ``hot`` rows are paired block by block in further tasks. A pair that
+    shares one band only must agree in more of its sketch (1.6 instead of 3.5
+    deviations below the mean at the threshold). Candidates are verified on whole
+    sets, so no pair is wrong; a pair of similarity s is missed with about
+    (1 - s^rows)^bands, and with one in 400 more for the sketch at the threshold:
+    0.8 % at 0.6, 0.1 % at 0.65 and less beyond.
     """
     sigs = written(signed(df, id_col, text_col, k, m, weights), "neardup-signatures")
     groups = sigs.groupBy("set_hash", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count(F.lit(1)).alias("c"))
@@ -395,18 +401,18 @@ def near_duplicates(
     copied = F.broadcast(copied) if small else copied
     members = sigs.select("id", "set_hash", "n").join(copied, ["set_hash", "n"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
     reps = sigs.join(copied, ["set_hash", "n"], "left").filter("rep is null or rep = id").select("id", "n", "sig")
-    agree = int(SKETCH_BITS * (1 + threshold) / 2 - 3.5 * math.sqrt(SKETCH_BITS * (1 - threshold**2) / 4))
-    if weights != "set":
-        agree = 0
+    mean, deviation = SKETCH_BITS * (1 + threshold) / 2, math.sqrt(SKETCH_BITS * (1 - threshold**2) / 4)
+    agree, agree_once = (int(mean - 3.5 * deviation), int(mean - 1.6 * deviation)) if weights == "set" else (0, 0)
     keyed = _bands(reps, bands, rows, m).repartition("key").sortWithinPartitions("key", "id")
     id_type = sigs.schema["id"].dataType.simpleString()
     bound = threshold if weights == "set" else 0.0
     found = keyed.mapInArrow(_pairs_in_buckets(bound, agree, hot), f"a {id_type}, b {id_type}, key bigint, n int, sketch bigint")
     found = written(found, "neardup-found")
-    pairs = found.filter("b is not null").select("a", "b")
+    pairs = found.filter("b is not null").select("a", "b", "n")
     if not found.filter("b is null").isEmpty():
         pairs = pairs.unionByName(_pairs_of_hot(found, bound, agree, hot))
-    pairs = written(pairs.distinct(), "neardup-pairs")
+    met = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.min("n").alias("apart"))
+    pairs = written(met.filter((F.col("times") > 1) | (F.col("apart") <= SKETCH_BITS - agree_once)).select("a", "b"), "neardup-pairs")
     return _verify(pairs, df, id_col, text_col, k, threshold, weights, broadcast_rows), members.distinct()
 
 
