@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenmill.llm.common import written
+
 
 class OpenBins:
     """Bounded-space best-fit: at most ``open_bins`` open bins, keyed by free space.
@@ -75,6 +77,7 @@ def pack(
     if capacity < 1 or open_bins < 1:
         raise ValueError("capacity and open_bins must be at least 1")
     rows = sized.select(F.col(id_col).alias("id"), F.col(size_col).cast("bigint").alias("size"))
+    rows = written(rows, "pack-sizes")  # sizes are counted once
     id_type = rows.schema["id"].dataType.simpleString()
     n_blocks = max(1, -(-rows.count() // block_rows))
     mixed = F.xxhash64("id", F.lit(17))
