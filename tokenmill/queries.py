@@ -1,20 +1,657 @@
-"""Queries of the core operators and the SQL that says the same."""
+"""Queries of the core operators, and the SQL that says the same over the same tables."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenmill.config import BuildConfig
+from tokenmill.functions import checks, text, toolcalls
+from tokenmill.operators import build, collate, metrics, numerics, pack, scans
+from tokenmill.operators.tokenize import Codepoints
+from tokenmill.plans import corpus
+from tokenmill.sources import json_files, store
+from tokenmill.streaming import metrics as metric_stream
+from tokenmill.streaming import pages
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+CP = Codepoints()
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one of the cluster (a machine's own only where the session names none)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        import tempfile
+
+        base = tempfile.mkdtemp(prefix="tokenmill-")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def total(ids: str) -> F.Column:
+    return F.sum(F.aggregate(ids, F.lit(0).cast("bigint"), lambda a, x: a + x))
+
+
+def r6(c, name: str):
+    return F.round(c, 6).alias(name)
+
+
+# --- corpus preparation ------------------------------------------------------------------------
+IDS = "list_transform(string_split(t, ''), lambda c: unicode(c))"
+
+
+@query(f"""
+with d as (select coalesce(source, '__default__') as domain, [unicode(c) for c in string_split(text, '')][1:2048] as ids from documents
+  where length(text) between 50 and 2000000 and regexp_matches(text, '[^\\s\\x0B\\x1C-\\x1F\\x85\\pZ]'))
+select domain, count(*) as docs, sum(len(ids))::bigint as tokens, sum(list_sum(ids))::bigint as checksum from d group by 1""")
+def corpus_build_counts(spark, d):
+    built = build.build(table(spark, d, "documents"), corpus.TEXT_CONFIG, CP)
+    return built.groupBy("domain").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("sequence")).cast("bigint").alias("tokens"), total("sequence").alias("checksum"))
+
+
+@query("""select lang, count(*) as n, count(*) filter (where length(text) between 50 and 2000) as kept,
+  count(*) filter (where regexp_matches(text, '[^\\s\\x0B\\x1C-\\x1F\\x85\\pZ]')) as filled from documents group by 1""")
+def length_and_blank_filters(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(text.length_between(t, 50, 2000)).alias("kept"), F.count_if(text.not_blank(t)).alias("filled")
+    )
+
+
+RENDER = "case when m.role in ('system','user','assistant','tool') then '<|im_start|>' || m.role || chr(10) || coalesce(m.content, '') || '<|im_end|>' || chr(10) else '' end"
+
+
+@query(f"select rollout_id, md5(array_to_string([{RENDER} for m in messages], '')) as digest from rollout where messages is not null")
+def chat_render(spark, d):
+    rows = table(spark, d, "rollout").filter("messages is not null")
+    return rows.select("rollout_id", F.md5(build.render_chat(F.col("messages")).cast("binary")).alias("digest"))
+
+
+@query(f"""
+with e as (select coalesce(source, '__default__') as domain, rollout_id, unnest(range(len(messages))) as i, messages from rollout where len(messages) > 0),
+r as (select domain, rollout_id, i, {RENDER.replace('m.', 'messages[i + 1].')} as t, messages[i + 1].role = 'assistant' as trained, row_number() over () as n from e),
+p as (select domain, rollout_id, unnest([{{'id': unicode(c), 'keep': trained::int}} for c in string_split(t, '')]) as x from r where t <> '')
+select domain, count(*) as tokens, sum(x.keep)::bigint as trained, sum(x.id)::bigint as checksum from p group by 1""")
+def chat_build(spark, d):
+    conf = BuildConfig.from_dict(corpus.CHAT_CONFIG.to_dict() | {"preprocessing": {"max_seq_len": 10_000_000}})
+    built = build.build(table(spark, d, "rollout"), conf, CP)
+    mask = F.coalesce("loss_mask", F.transform("sequence", lambda _: F.lit(1)))
+    kept = F.aggregate(mask, F.lit(0), lambda a, x: a + x)
+    return built.groupBy("domain").agg(F.sum(F.size("sequence")).cast("bigint").alias("tokens"), F.sum(kept).alias("trained"), total("sequence").alias("checksum"))
+
+
+@query("""
+with p as (select rollout_id, m.content as c from rollout, unnest(messages) as u(m) where m.role = 'assistant' and m.content <> '')
+select count(distinct rollout_id) as records, sum(n)::bigint as responses, sum(ids)::bigint as tokens from
+(select rollout_id, count(*) as n, sum(least(length(c), 512)) as ids from p group by 1)""")
+def grpo_list_field(spark, d):
+    rows = table(spark, d, "rollout")
+    answers = F.transform(F.filter("messages", lambda m: m["role"] == "assistant"), lambda m: m["content"])
+    rows = rows.select("rollout_id", F.filter(answers, lambda c: c.isNotNull()).alias("responses"))
+    make = build.Sections(BuildConfig.from_dict({"preprocessing": {"max_seq_len": 512}}), CP)
+    nested = rows.select("rollout_id", make.list_field({"field": "responses"}).alias("ids")).filter(F.size("ids") > 0)
+    sizes = F.aggregate("ids", F.lit(0), lambda a, x: a + F.size(x))
+    return nested.agg(F.countDistinct("rollout_id").alias("records"), F.sum(F.size("ids")).cast("bigint").alias("responses"), F.sum(sizes).cast("bigint").alias("tokens"))
+
+
+@query("""
+with x as (select record_id, coalesce(prompt, legacy_input) as p, chosen, rejected from dpo_tokenize)
+select record_id, p is not null and chosen is not null and rejected is not null as well_formed,
+ case when p is not null and chosen is not null and rejected is not null then least(length(p || chosen), 1024)::int end as n_chosen,
+ case when p is not null and chosen is not null and rejected is not null then greatest(least(length(p || rejected), 1024) - length(p), 0)::int end as trained_rejected from x""")
+def dpo_records(spark, d):
+    rows = build.dpo_ids(table(spark, d, "dpo_tokenize"), CP, 1024)
+    trained = F.aggregate("rejected_mask", F.lit(0), lambda a, x: a + x)
+    return rows.select("record_id", "well_formed", F.when(F.col("well_formed"), F.size("chosen")).alias("n_chosen"), F.when(F.col("well_formed"), trained).alias("trained_rejected"))
+
+
+@query("""
+with x as (select distinct record_id, length(coalesce(prompt, legacy_input)) + length(chosen) as c, length(coalesce(prompt, legacy_input)) + length(rejected) as r from dpo_tokenize
+ where coalesce(prompt, legacy_input) is not null and chosen is not null and rejected is not null)
+select record_id // 64 as batch, count(*) as rows, max(greatest(c, r)) as width from x group by 1""")
+def dpo_collate(spark, d):
+    rows = build.dpo_ids(table(spark, d, "dpo_tokenize").dropDuplicates(["record_id"]), CP, 1_000_000).filter("well_formed")
+    padded = collate.collate_dpo(collate.batches(rows, "record_id", 64))
+    same = F.when((F.min(F.size("chosen")) == F.max(F.size("rejected_mask"))), F.max(F.size("chosen")))
+    return padded.groupBy("batch").agg(F.count(F.lit(1)).alias("rows"), same.cast("bigint").alias("width"))
+
+
+@query("""
+with x as (select distinct rollout_id, messages from rollout where len(messages) > 0),
+y as (select rollout_id // 32 as batch, rollout_id, length(coalesce(messages[1].content, '')) as p, [length(coalesce(m.content, '')) for m in messages if m.role = 'assistant'] as r from x),
+z as (select batch, max(p) as width, max(case when len(r) = 0 then 1 else greatest(list_max(r[1:2]), 1) end) as longest, sum(least(len(r), 2))::bigint as responses, count(*) as rows from y where len(r) >= 2 group by 1)
+select batch, rows, width, longest, responses from z""")
+def grpo_collate(spark, d):
+    rows = table(spark, d, "rollout").filter(F.size("messages") > 0).dropDuplicates(["rollout_id"])
+    ids = lambda m: CP.ids(F.coalesce(m["content"], F.lit("")))
+    answers = F.filter("messages", lambda m: m["role"] == "assistant")
+    rows = rows.select(F.col("rollout_id").alias("record_id"), F.floor(F.col("rollout_id") / 32).alias("batch"), ids(F.col("messages")[0]).alias("prompts"), F.slice(F.transform(answers, ids), 1, 2).alias("responses"))
+    rows = rows.filter(F.size("responses") >= 2).withColumn("masks", F.transform("responses", lambda x: F.transform(x, lambda _: F.lit(1)))).withColumn("rewards", F.array(F.lit(1.0), F.lit(0.0)))
+    out = collate.collate_grpo(rows)
+    return out.groupBy("batch").agg(
+        F.count(F.lit(1)).alias("rows"), F.max(F.size("prompt_mask")).cast("bigint").alias("width"), F.max(F.size(F.col("responses")[0])).cast("bigint").alias("longest"), F.sum(F.size("responses")).cast("bigint").alias("responses")
+    )
+
+
+@query("""
+with r as (select record_id, any_value(sequence) as s from single_output_mask_builder where len(sequence) > 0 group by 1),
+t as (select record_id, unnest(s) as id, unnest(range(len(s))) as i from r),
+p as (select id, row_number() over (order by record_id, i) - 1 as pos from t), l as (select count(*) as n from p),
+w as (select unnest(range(case when n > 512 then (n - 1 - 512) // 384 + 1 else 0 end)) as window_id from l)
+select window_id, sum(id) filter (where pos < window_id * 384 + 512)::bigint as input_sum, sum(id) filter (where pos > window_id * 384)::bigint as target_sum,
+ max(case when pos = window_id * 384 then id end) as first_id, max(case when pos = window_id * 384 + 512 then id end) as last_target
+from w join p on pos >= window_id * 384 and pos <= window_id * 384 + 512 group by 1""")
+def stream_windows(spark, d):
+    rows = table(spark, d, "single_output_mask_builder").select("record_id", "sequence").dropDuplicates(["record_id"])
+    w = scans.stream_windows(rows, "record_id", "sequence", 512, 384)
+    add = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return w.select("window_id", add("input").alias("input_sum"), add("target").alias("target_sum"), F.col("input")[0].alias("first_id"), F.try_element_at("target", F.lit(-1)).alias("last_target"))
+
+
+@query("select doc_id, n_chars, (sum(coalesce(n_chars, 0)) over (order by doc_id) - coalesce(n_chars, 0))::bigint as start_char from documents")
+def segment_offsets(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "n_chars").withColumn("_n", F.coalesce("n_chars", F.lit(0)))
+    return scans.prefix_sum(rows, "doc_id", "_n", "start_char").drop("_n")
+
+
+@query("""
+with recursive o as (select row_number() over (order by doc_id) as i, coalesce(n_chars, 0) as n, coalesce(source, '__default__') as domain from documents),
+f as (select 1::bigint as i, case when n >= 200000 then 0 else n end as total, 0 as ep, case when n >= 200000 then 1 else 0 end as nxt from o where i = 1
+ union all select o.i, case when f.total + o.n >= 200000 then 0 else f.total + o.n end, f.nxt, case when f.total + o.n >= 200000 then f.nxt + 1 else f.nxt end from f join o on o.i = f.i + 1)
+select domain, ep::bigint as epoch, count(*) as docs, sum(n)::bigint as chars, dense_rank() over (partition by domain order by ep) - 1 as shard_idx from f join o using (i) group by domain, ep""")
+def shard_cuts(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.coalesce("n_chars", F.lit(0)).alias("n"), text.domain_of(F.col("source")).alias("domain"))
+    cut = scans.shard_index(scans.shard_epochs(rows, "doc_id", "n", 200_000))
+    return cut.groupBy("domain", "epoch", "shard_idx").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("chars")).withColumn("shard_idx", F.col("shard_idx").cast("bigint"))
+
+
+@query("""
+with x as (select record_id, any_value(sequence) as s from single_output_mask_builder group by 1)
+select record_id, least(len(s), 256) as n_start, list_sum(s[1:256])::bigint as start_sum, list_sum(s[greatest(len(s) - 255, 1):])::bigint as end_sum from x""")
+def packing_simple(spark, d):
+    rows = table(spark, d, "single_output_mask_builder").select("record_id", "sequence").dropDuplicates(["record_id"]).withColumn("g", F.lit(0))
+    one = lambda mode: pack.pack(rows, "record_id", ["sequence"], 256, ["g"], "simple", mode)
+    add = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    a = one("keep_start").select("record_id", F.size("sequence").cast("bigint").alias("n_start"), add("sequence").alias("start_sum"))
+    return a.join(one("keep_end").select("record_id", add("sequence").alias("end_sum")), "record_id")
+
+
+def _packed(spark, d, strategy):
+    rows = table(spark, d, "single_output_mask_builder").dropDuplicates(["record_id"]).filter(F.size("sequence") > 0)
+    rows = rows.select("record_id", "sequence", F.coalesce("loss_mask", F.transform("sequence", lambda _: F.lit(1))).alias("loss_mask"))
+    cut = scans.shard_epochs(rows.withColumn("n", F.size("sequence")), "record_id", "n", 100_000)
+    return pack.pack(cut, "record_id", ["sequence", "loss_mask"], 2048 if strategy == "bfd" else 512, ["epoch"], strategy)
+
+
+@query("""
+with r as (select record_id, any_value(sequence) as s, any_value(loss_mask) as m from single_output_mask_builder where len(sequence) > 0 group by 1)
+select sum(len(s))::bigint as tokens, sum(list_sum(s))::bigint as checksum, sum(case when m is null then len(s) else list_sum(m) end)::bigint as trained, true as within from r""")
+def packing_bfd_split(spark, d):
+    p = _packed(spark, d, "bfd_split")
+    return p.agg(F.sum(F.size("sequence")).alias("tokens"), total("sequence").alias("checksum"), total("loss_mask").alias("trained"), F.bool_and((F.size("sequence") <= 512) & (F.size("sequence") == F.size("loss_mask"))).alias("within"))
+
+
+@query()
+def packing_bfd(spark, d):
+    return _packed(spark, d, "bfd").select("epoch", "bin", "members", F.size("sequence").alias("n"))
+
+
+@query()
+def corpus_prepare(spark, d):
+    conf = BuildConfig.from_dict(corpus.TEXT_CONFIG.to_dict() | {"preprocessing": {"packing_strategy": "bfd"}, "output": {"domain_key": "source", "max_tokens_per_shard": 200_000}})
+    return corpus.prepare(table(spark, d, "documents"), "doc_id", conf).select("domain", "shard_idx", "bin", "members", F.size("sequence").alias("n"))
+
+
+@query("""
+with r as (select record_id, any_value(sequence) as s from single_output_mask_builder group by 1)
+select record_id, len(s) as n, len(s) * (len(s) - 1) // 2 as position_sum, case when len(s) > 0 then 1 else -1 end::int as last_doc from r""")
+def position_ids(spark, d):
+    rows = table(spark, d, "single_output_mask_builder").dropDuplicates(["record_id"])
+    pos = scans.position_ids(F.col("sequence"), "doc_reset")
+    small = scans.document_ids(F.array(F.lit(0), F.lit(1), F.lit(0), F.lit(1), F.lit(2)))
+    out = rows.select("record_id", F.size("sequence").cast("bigint").alias("n"), F.aggregate(pos, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("position_sum"), "sequence")
+    return out.select("record_id", "n", "position_sum", F.when(F.size("sequence") > 0, F.try_element_at(small, F.lit(-1))).otherwise(F.lit(-1)).alias("last_doc"))
+
+
+@query("select doc_id from documents where length(text) between 50 and 2000000 order by doc_id limit 100")
+def accepted_limit(spark, d):
+    conf = BuildConfig.from_dict(corpus.TEXT_CONFIG.to_dict() | {"preprocessing": {"max_items": 100}})
+    return build.build(table(spark, d, "documents"), conf, CP, keep=("doc_id",)).select("doc_id")
+
+
+# --- sampling of records ---------------------------------------------------------------------------
+@query("select count(*) as n, count(distinct doc_id) as ids, sum(doc_id)::bigint as id_sum, max(0) as least_position, (count(*) - 1)::bigint as most_position, 3::bigint as replicas from documents")
+def sampler_partition(spark, d):
+    docs = table(spark, d, "documents").select("doc_id")
+    placed = None
+    for rank in range(3):
+        one = scans.sampler(docs, "doc_id", seed=7, replicas=3, rank=rank, drop_last=False).withColumn("rank", F.lit(rank))
+        placed = one if placed is None else placed.unionByName(one)
+    real = placed.dropDuplicates(["doc_id"])
+    return real.agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("ids"), F.sum("doc_id").alias("id_sum"), F.min("position").cast("int").alias("least_position"),
+        F.max("position").alias("most_position"), F.lit(3).cast("bigint").alias("replicas"),
+    )
+
+
+@query("select count(*) as n, greatest(1, floor(count(*) * 0.05))::bigint as held from documents")
+def validation_split(spark, d):
+    s = scans.split_validation(table(spark, d, "documents").select("doc_id"), "doc_id", 0.05, seed=3)
+    return s.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_validation").alias("held"))
+
+
+@query("select min(doc_id) as doc_id, count(*) as copies from documents where text is not null group by text")
+def exact_copies(spark, d):
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.md5("text").alias("m"))
+    return docs.groupBy("h", "m").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).select("doc_id", "copies")
+
+
+# --- scores -----------------------------------------------------------------------------------------
+def _rouge_sql(n: int) -> str:
+    gram = " || chr(1) || ".join(f"w[i + {j}]" for j in range(n))
+    return f"""
+with x as (select record_id, any_value(chosen) as a, any_value(rejected) as b from dpo_tokenize where chosen is not null and rejected is not null group by 1),
+s as (select record_id, [q for q in string_split_regex(a, '[\\s\\x0B\\x1C-\\x1F\\x85\\pZ]+') if q <> ''] as w, 'r' as side from x union all select record_id, [q for q in string_split_regex(b, '[\\s\\x0B\\x1C-\\x1F\\x85\\pZ]+') if q <> ''], 'c' from x),
+g as (select record_id, side, {gram} as gram from s, unnest(range(1, len(w) - {n} + 2)) as u(i)),
+c as (select record_id, gram, count(*) filter (where side = 'r') as r, count(*) filter (where side = 'c') as c from g group by 1, 2),
+t as (select record_id, sum(r) as r, sum(c) as c, sum(least(r, c)) as shared from c group by 1),
+f as (select x.record_id, coalesce(r, 0) as r, coalesce(c, 0) as c, coalesce(shared, 0) as shared from x left join t using (record_id)),
+p as (select case when c > 0 then shared / c else 0 end as p, case when r > 0 then shared / r else 0 end as q from f)
+select round(avg(p), 6) as precision, round(avg(q), 6) as recall, round(avg(case when p + q > 0 then 2 * p * q / (p + q) else 0 end), 6) as f1 from p"""
+
+
+def _answers(spark, d):
+    return table(spark, d, "dpo_tokenize").filter("chosen is not null and rejected is not null").dropDuplicates(["record_id"])
+
+
+def _macro(scores):
+    return metrics.macro(scores).select(*[r6(F.col(c), c) for c in ("precision", "recall", "f1")])
+
+
+@query(_rouge_sql(1))
+def rouge_1(spark, d):
+    return _macro(metrics.rouge_n(_answers(spark, d), "record_id", "chosen", "rejected", 1))
+
+
+@query(_rouge_sql(2))
+def rouge_2(spark, d):
+    return _macro(metrics.rouge_n(_answers(spark, d), "record_id", "chosen", "rejected", 2))
+
+
+@query()
+def rouge_l(spark, d):
+    return metrics.rouge_l(_answers(spark, d), "record_id", "chosen", "rejected")
+
+
+LOSSES = "(select any_value(token_type) as token_type, any_value(token_loss) as loss from token_losses group by loss_id)"
+PPL = "count(*) as tokens, round(avg(loss), 6) as mean_loss, round(exp(avg(loss)), 6) as perplexity, " + ", ".join(f"round(quantile_cont(loss, {q}), 6) as {n}" for q, n in ((0.5, "p50"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99")))
+
+
+def _losses(spark, d):
+    return table(spark, d, "token_losses").dropDuplicates(["loss_id"]).withColumnRenamed("token_loss", "loss")
+
+
+def _ppl(df):
+    return df.select(*[r6(F.col(c), c) if c not in ("token_type", "tokens") else F.col(c) for c in df.columns])
+
+
+@query(f"select {PPL} from {LOSSES} where loss is not null and not isnan(loss)")
+def perplexity_overall(spark, d):
+    return _ppl(metrics.perplexity_stats(_losses(spark, d)))
+
+
+@query(f"select token_type, {PPL} from {LOSSES} where loss is not null and not isnan(loss) group by 1")
+def perplexity_by_type(spark, d):
+    return _ppl(metrics.perplexity_stats(_losses(spark, d), by=["token_type"]))
+
+
+HIST = f"select trunc(least(greatest(loss, 0), 20) / 20.0 * 999)::int as bin, count(*) as n from {LOSSES} where loss is not null and not isnan(loss) group by 1"
+
+
+@query(HIST)
+def loss_histogram(spark, d):
+    return metrics.loss_histogram(_losses(spark, d))
+
+
+@query(f"""
+with h as ({HIST}), r as (select bin, sum(n) over (order by bin) as run, sum(n) over () as total from h), q as (select unnest([0.5, 0.9, 0.99]::double[]) as q)
+select q, round(((min(bin) + 0.5) * 0.02)::double, 6) as value from r, q where run >= q * total group by 1""")
+def histogram_percentiles(spark, d):
+    out = metrics.histogram_percentiles(metrics.loss_histogram(_losses(spark, d)), [0.5, 0.9, 0.99])
+    return out.select("q", r6(F.col("value"), "value"))
+
+
+@query("""
+with w as (select unnest([q for q in string_split_regex(text, '[\\s\\x0B\\x1C-\\x1F\\x85\\pZ]+') if q <> '']) as t from documents)
+select case when t = '```' then 'special' when regexp_matches(t, '[\\x{4e00}-\\x{9fff}]') then 'cjk' when regexp_matches(t, '[^\\x00-\\x7f]') then 'non_ascii' else 'ascii' end as token_type, count(*) as n from w group by 1""")
+def token_types(spark, d):
+    t = table(spark, d, "documents").select(F.explode(text.words(F.col("text"))).alias("t"))
+    return t.groupBy(metrics.token_type(F.col("t"), F.col("t") == "```").alias("token_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+with x as (select sample_id, avg(loss) / avg(loss + 0.5) as v from (select any_value(sample_id) as sample_id, any_value(token_loss) as loss from token_losses group by loss_id) where loss is not null and not isnan(loss) group by 1)
+select count(*) as count, count(v) as valid, 0::bigint as skipped, round(avg(round(v, 6)), 5) as mean, round(median(round(v, 6)), 5) as median, round(stddev_samp(round(v, 6)), 5) as stdev, round(min(v), 5) as min, round(max(v), 5) as max from x""")
+def instruction_difficulty(spark, d):
+    rows = _losses(spark, d).filter(F.col("loss").isNotNull() & ~F.isnan("loss")).groupBy("sample_id").agg(F.collect_list("loss").alias("c"))
+    rows = rows.withColumn("u", F.transform("c", lambda x: x + 0.5))
+    s = metrics.difficulty_summary(metrics.difficulty(rows, "sample_id", "c", "u"))
+    return s.select("count", "valid", "skipped", *[F.round(c, 5).alias(c) for c in ("mean", "median", "stdev", "min", "max")])
+
+
+@query("""
+with r as (select distinct rollout_id, messages from rollout), e as (select rollout_id, messages, unnest(range(len(messages))) as turn from r)
+select rollout_id, turn::int as turn, md5(array_to_string([coalesce(m.content, '') for m in messages[1:turn]], chr(10) || chr(10))) as context, length(coalesce(messages[turn + 1].content, ''))::int as n_response
+from e where messages[turn + 1].role = 'assistant'""")
+def turn_contexts(spark, d):
+    rows = metrics.turn_contexts(table(spark, d, "rollout").dropDuplicates(["rollout_id"]), "rollout_id")
+    return rows.select("rollout_id", "turn", F.md5("context").alias("context"), F.length("response").alias("n_response"))
+
+
+@query("""
+with m as (select subject, [length(coalesce(choice_a, '')), length(coalesce(choice_b, '')), length(coalesce(choice_c, '')), length(coalesce(choice_d, ''))] as s, answer from eval_items where benchmark = 'mcq'),
+p as (select subject, answer = ['A', 'B', 'C', 'D'][list_position(s, list_max(s))] as ok from m)
+select subject, grouping(subject)::int as overall, count(*) as n, sum(ok::int)::bigint as correct, round(avg(ok::int), 6) as accuracy from p group by grouping sets ((subject), ())""")
+def choice_accuracy(spark, d):
+    rows = table(spark, d, "eval_items").filter("benchmark = 'mcq'")
+    scores = F.array(*[F.length(F.coalesce(f"choice_{c}", F.lit(""))) for c in "abcd"])
+    rows = rows.withColumn("pick", F.array(*[F.lit(c) for c in "ABCD"])[metrics.pick_choice(scores)])
+    out = metrics.accuracy(rows, "subject", F.col("answer") == F.col("pick"))
+    return out.select("subject", F.col("overall").cast("int").alias("overall"), "n", "correct", r6(F.col("accuracy"), "accuracy"))
+
+
+@query("""
+with q as (select item_id, subject, question || chr(10) || 'A. ' || coalesce(choice_a, '') || chr(10) || 'B. ' || coalesce(choice_b, '') || chr(10) || 'C. ' || coalesce(choice_c, '') || chr(10) || 'D. ' || coalesce(choice_d, '') || chr(10) || 'Answer:' as p, answer from eval_items where benchmark = 'mcq'),
+s as (select subject, p || ' ' || answer as solved, row_number() over (partition by subject order by item_id) as k from q where subject is not null),
+x as (select subject, string_agg(solved, chr(10) || chr(10) order by k) as prefix from s where k <= 2 group by 1)
+select item_id, md5(coalesce(prefix, '') || p) as digest from q left join x using (subject)""")
+def few_shot_prompts(spark, d):
+    rows = table(spark, d, "eval_items").filter("benchmark = 'mcq'")
+    prompt = metrics.choice_prompt(F.col("question"), [F.col(f"choice_{c}") for c in "abcd"])
+    rows = rows.select("item_id", "subject", prompt.alias("p"), "answer")
+    out = metrics.few_shot(rows, rows.filter("subject is not null").withColumn("solved", F.concat("p", F.lit(" "), "answer")), "subject", 2)
+    return out.select("item_id", F.md5(F.concat(F.coalesce("prefix", F.lit("")), "p")).alias("digest"))
+
+
+@query("""
+with g as (select n, c, k from range(1, 21) a(n), range(0, 21) b(c), unnest([1, 5, 10]) u(k) where c <= n)
+select n::int as n, c::int as c, k::int as k, case when k > n then null when n - c < k then 1.0 when c = 0 then 0.0 else round(1 - list_product([1 - k / i::double for i in range(n - c + 1, n + 1)]), 9) end as pass from g""")
+def pass_at_k(spark, d):
+    r = lambda name, lo, hi: spark.range(lo, hi).select(F.col("id").cast("int").alias(name))
+    g = r("n", 1, 21).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("n")))).withColumn("k", F.explode(F.array(F.lit(1), F.lit(5), F.lit(10))))
+    return g.select("n", "c", "k", F.round(metrics.pass_at_k(F.col("n"), F.col("c"), F.col("k")), 9).alias("pass"))
+
+
+@query()
+def weight_statistics(spark, d):
+    e = table(spark, d, "embeddings").filter("vec_id is not null")
+    m = e.groupBy(F.concat(F.lit("block_"), F.floor(F.col("vec_id") / 50).cast("string")).alias("name")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("r"))
+    return metrics.weight_stats(m.select("name", F.transform("r", lambda x: x["embedding"]).alias("matrix")))
+
+
+@query("select l_returnflag as name, grouping(l_returnflag)::int as overall, round(sqrt(sum(l_discount * l_discount)), 6) as norm from lineitem group by rollup (l_returnflag)")
+def gradient_norms(spark, d):
+    g = metrics.gradient_norms(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("name"), F.col("l_discount").alias("grad")))
+    return g.select("name", F.col("overall").cast("int").alias("overall"), r6(F.col("norm"), "norm"))
+
+
+CHECKED = {
+    "punctuation:no_comma": ("{}", "not contains(r, ',')"),
+    "change_case:english_lowercase": ("{}", "r = lower(r) and r <> upper(r)"),
+    "change_case:english_capital": ("{}", "r = upper(r) and r <> lower(r)"),
+    "keywords:existence": ('{"keywords": ["the", "MASK"]}', "contains(lower(r), 'the') and contains(lower(r), 'mask')"),
+    "keywords:frequency": ('{"keyword": "the", "frequency": 5, "relation": "less than"}', "(length(lower(r)) - length(replace(lower(r), 'the', ''))) // 3 < 5"),
+    "keywords:letter_frequency": ('{"letter": "e", "let_frequency": 40, "let_relation": "at least"}', "length(lower(r)) - length(replace(lower(r), 'e', '')) >= 40"),
+    "keywords:forbidden_words": ('{"forbidden_words": ["page", "unit"]}', "not regexp_matches(lower(r), '(^|[^\\pL\\pN_])(page|unit)([^\\pL\\pN_]|$)')"),
+    "detectable_content:number_placeholders": ('{"num_placeholders": 1}', "len(regexp_extract_all(r, '\\[[^\\[\\]]*\\]')) >= 1"),
+    "detectable_format:number_bullet_lists": ('{"num_bullets": 3}', "len(regexp_extract_all(r, '(?m)^\\s*[*-]\\s+\\S')) = 3"),
+    "detectable_format:title": ("{}", "regexp_matches(r, '<<[^\\n]+?>>')"),
+    "detectable_format:general_punctuation": ('{"blacklist": [";", "!"]}', "not contains(r, ';') and not contains(r, '!')"),
+    "startend:end_checker": ('{"end_phrase": "safer option."}', "ends_with(lower(trim(trim(r), '\"')), 'safer option.')"),
+    "startend:quotation": ("{}", "length(trim(r)) > 1 and starts_with(trim(r), '\"') and ends_with(trim(r), '\"')"),
+    "startend:start_checker": ('{"starter": "if"}', "len([x for x in string_split(r, chr(10)) if starts_with(lower(ltrim(x)), 'if')]) > 0"),
+    "change_case:capital_word_frequency": ('{"capital_frequency": 2, "capital_relation": "at least"}', "len(regexp_extract_all(r, '\\b[A-Z]{2,}\\b')) >= 2"),
+    "length_constraints:number_words": ('{"num_words": 60, "relation": "at least"}', "len(regexp_extract_all(r, '[\\pL\\pN_]+')) >= 60"),
+    "length_constraints:number_paragraphs": ('{"num_paragraphs": 2}', "len([x for x in string_split_regex(r, case when contains(r, '***') then '\\*\\*\\*' else '\\n\\s*\\n' end) if trim(regexp_replace(x, '\\s+', ' ', 'g')) <> '']) = 2"),
+    "combination:two_responses": ("{}", "len([x for x in string_split(r, '******') if trim(regexp_replace(x, '\\s+', ' ', 'g')) <> '']) = 2 and contains(r, '******')"),
+    "combination:repeat_prompt": ('{"prompt_to_repeat": "In practice"}', "starts_with(lower(trim(r)), 'in practice')"),
+}
+
+
+@query(
+    "with a as (select any_value(chosen) as r from dpo_tokenize where chosen is not null group by record_id) "
+    + " union all ".join(f"select '{k}' as check_id, count(*) as n, count(*) filter (where {sql}) as passed from a" for k, (_, sql) in CHECKED.items())
+)
+def instruction_checks(spark, d):
+    a = table(spark, d, "dpo_tokenize").filter("chosen is not null").dropDuplicates(["record_id"])
+    each = a.select("chosen", F.explode(F.array(*[F.struct(F.lit(k).alias("id"), F.lit(v[0]).alias("kw")) for k, v in CHECKED.items()])).alias("c"))
+    each = each.select(F.col("c.id").alias("check_id"), checks.verdict(F.col("c.id"), F.col("chosen"), F.col("c.kw")).alias("ok"))
+    return each.groupBy("check_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("passed"))
+
+
+# --- numerics -----------------------------------------------------------------------------------------
+LOGITS = "(select vec_id as row_id, unnest(range(len(embedding)))::int as token_id, unnest(embedding)::double * 10 as logit from embeddings)"
+
+
+def _logits(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.posexplode("embedding").alias("token_id", "v"))
+    return e.select("row_id", "token_id", (F.col("v").cast("double") * 10).alias("logit"))
+
+
+@query(f"""
+with k as (select *, rank() over (partition by row_id order by logit desc) as r from {LOGITS} qualify r <= 20),
+e as (select *, exp(logit - max(logit) over (partition by row_id)) as e from k), s as (select *, e / sum(e) over (partition by row_id) as p from e),
+c as (select *, coalesce(sum(p) over (partition by row_id order by logit desc, token_id rows between unbounded preceding and 1 preceding), 0) as before from s),
+q as (select * from c where before <= 0.8), z as (select row_id, token_id, e / sum(e) over (partition by row_id) as prob from q)
+select row_id, count(*) as kept, round(max(prob), 6) as top, sum(token_id)::bigint as token_sum from z group by 1""")
+def sampling_filters(spark, d):
+    z = numerics.filtered(_logits(spark, d), k=20, p=0.8)
+    return z.groupBy("row_id").agg(F.count(F.lit(1)).alias("kept"), r6(F.max("prob"), "top"), F.sum("token_id").alias("token_sum"))
+
+
+@query(f"""
+with c as (select vec_id as row_id, (vec_id % 8)::int as token_id, 3 as n from embeddings), l as (select row_id, token_id, logit / 0.7 - 0.5 * coalesce(n, 0) as logit from {LOGITS} left join c using (row_id, token_id))
+select row_id, arg_max(token_id, logit)::int as token_id, round(max(logit), 5) as logit from l group by 1""")
+def frequency_penalty(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), (F.col("vec_id") % 8).cast("int").alias("token_id"))
+    counts = numerics.occurrence_counts(e.withColumn("x", F.explode(F.array_repeat(F.lit(1), 3))))
+    out = numerics.frequency_penalty(numerics.with_temperature(_logits(spark, d), 0.7), counts, 0.5)
+    best = out.groupBy("row_id").agg(F.max(F.struct("logit", -F.col("token_id"))).alias("b"))
+    return best.select("row_id", (-F.col("b.col2")).cast("int").alias("token_id"), F.round("b.logit", 5).alias("logit"))
+
+
+@query(f"""
+with z as (select row_id, max(logit) as m, ln(sum(exp(logit))) as s from {LOGITS} group by 1)
+select l.row_id, l.token_id, round(l.logit - z.s, 6) as logprob from {LOGITS} l join z using (row_id) where l.token_id = l.row_id % 16""")
+def log_softmax_gather(spark, d):
+    t = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), (F.col("vec_id") % 16).cast("int").alias("token_id"))
+    return numerics.log_softmax_gather(_logits(spark, d), t).select("row_id", "token_id", r6(F.col("logprob"), "logprob"))
+
+
+@query()
+def sampled_tokens(spark, d):
+    return numerics.sample_tokens(_logits(spark, d), seed=11, temperature=0.8, k=40, p=0.95)
+
+
+@query(f"""
+with g as (select row_id, token_id, exp(logit) as w from {LOGITS} where token_id < 8), t as (select *, row_number() over (partition by row_id order by w desc, token_id) as r from g qualify r <= 2)
+select row_id, token_id as expert, round(w / sum(w) over (partition by row_id), 6) as weight from t""")
+def expert_routing(spark, d):
+    g = _logits(spark, d).filter("token_id < 8").select("row_id", F.col("token_id").alias("expert"), F.exp("logit").alias("weight"))
+    return numerics.route_experts(g, 2).select("row_id", "expert", r6(F.col("weight"), "weight"))
+
+
+@query("""
+with r as (select any_value(sequence) as s, any_value(loss_mask) as m, record_id from single_output_mask_builder where loss_mask is not null group by record_id)
+select record_id, round(sum_ / greatest(list_sum(m), 1), 6) as mean, sum_::double as total from (select *, list_sum([s[i] * m[i] for i in range(1, len(s) + 1)]) as sum_ from r)""")
+def masked_reduction(spark, d):
+    rows = table(spark, d, "single_output_mask_builder").filter("loss_mask is not null").dropDuplicates(["record_id"])
+    s, m = F.col("sequence").cast("array<double>"), F.col("loss_mask").cast("array<double>")
+    return rows.select("record_id", r6(numerics.masked_reduce(s, m), "mean"), numerics.masked_reduce(s, m, "sum").alias("total"))
+
+
+@query("""
+with x as (select l_orderkey, l_linenumber, 0.5 * ((l_discount * 10 - l_tax * 10) - (l_quantity / 50 - 0.5)) as z from lineitem)
+select round(avg(ln(1 + exp(-z))), 6) as loss, count(*) as n from x""")
+def dpo_loss(spark, d):
+    x = table(spark, d, "lineitem")
+    loss = numerics.dpo_loss(F.col("l_discount") * 10, F.col("l_tax") * 10, F.col("l_quantity") / 50, F.lit(0.5), beta=0.5)
+    return x.select(loss.alias("l")).agg(r6(F.avg("l"), "loss"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+with x as (select exp(l_discount - l_tax) as ratio, exp(l_discount - 0.04) as r, l_quantity / 25 - 1 as a from lineitem)
+select round(avg(-least(ratio * a, least(greatest(ratio, 0.8), 1.2) * a) + 0.01 * (r - ln(r + 1e-8) - 1)), 6) as loss from x""")
+def grpo_loss(spark, d):
+    x = table(spark, d, "lineitem")
+    loss = numerics.grpo_token_loss(F.col("l_discount"), F.col("l_tax"), F.lit(0.04), F.col("l_quantity") / 25 - 1)
+    return x.select(loss.alias("l")).agg(r6(F.avg("l"), "loss"))
+
+
+@query("""
+with x as (select event_id, user_id, (value - avg(value) over (partition by user_id)) / (stddev_pop(value) over (partition by user_id) + 1e-8) as a from events)
+select user_id, count(*) as n, round(sum(a * a), 3) as squares, round(max(a), 5) as most from x group by 1""")
+def group_advantages(spark, d):
+    x = numerics.group_advantage(table(spark, d, "events"), "user_id", "value")
+    return x.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("advantage") * F.col("advantage")), 3).alias("squares"), F.round(F.max("advantage"), 5).alias("most"))
+
+
+@query("""
+with x as (select user_id, event_id, row_number() over (partition by user_id order by value desc, event_id) as b, row_number() over (partition by user_id order by value, event_id) as w from events)
+select user_id, max(case when b = 1 then event_id end) as best, max(case when w = 1 then event_id end) as worst from x group by 1""")
+def best_and_worst(spark, d):
+    return numerics.best_and_worst(table(spark, d, "events"), "user_id", "event_id", "value")
+
+
+@query("""
+with s as (select range as step from range(0, 1000))
+select step, round(case when step < 100 then greatest(step / 100, 0.1) else greatest(0.5 * (1 + cos(pi() * least((step - 100) / 900, 1))), 0.1) end, 9) as cosine,
+ round(case when step < 100 then greatest(step / 100, 0.1) when step < 600 then 1.0 else 0.1 + 0.9 * (1 - least((step - 600) / 300, 1)) * (1 - least((step - 600) / 300, 1)) end, 9) as stable,
+ round(case when step < 100 then greatest(step / 100, 0.1) else 0.1 + 0.9 * 0.5 * (1 + cos(pi() * case when step < 200 then (step - 100) / 100 when step < 400 then (step - 200) / 200 when step < 800 then (step - 400) / 400 else (step - 800) / 800 end)) end, 9) as restarts from s""")
+def learning_rates(spark, d):
+    s = F.col("step")
+    out = spark.range(0, 1000).withColumnRenamed("id", "step")
+    return out.select("step", F.round(numerics.cosine_rate(s, 100, 1000), 9).alias("cosine"), F.round(numerics.stable_decay_rate(s, 100, 500, 300), 9).alias("stable"), F.round(numerics.restart_rate(s, 100, 100), 9).alias("restarts"))
+
+
+@query("""
+with x as (select vec_id, [v::double * 3 for v in embedding] as e from embeddings)
+select vec_id, round(list_sum([v * v for v in e]) / list_sum([v * v for v in e]), 6) as norm, round(e[1] / sqrt(list_sum([v * v for v in e])), 5) as first, round((e[2] + e[4]) / 2, 5) as mean_second from x""")
+def pooled_embeddings(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double") * 3).alias("e"))
+    unit = numerics.l2_normalise(F.col("e"))
+    states = F.array(F.slice("e", 1, 2), F.slice("e", 3, 2), F.slice("e", 5, 2))
+    mean = numerics.pool(states, F.array(F.lit(1), F.lit(1), F.lit(0)), "mean")
+    rows = e.select("vec_id", unit.alias("u"), mean.alias("m"))
+    return rows.select("vec_id", F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"), F.round(F.col("u")[0], 5).alias("first"), F.round(F.col("m")[1], 5).alias("mean_second"))
+
+
+# --- serving ------------------------------------------------------------------------------------------
+@query("""
+with r as (select record_id, any_value(sequence) as s from single_output_mask_builder group by 1)
+select record_id, list_reduce([0::hugeint] || [x::hugeint for x in s[1:16]], lambda h, x: (h * 31 + x) % 18446744073709551616)::varchar as hash from r where len(s) >= 16""")
+def page_hashes(spark, d):
+    rows = table(spark, d, "single_output_mask_builder").dropDuplicates(["record_id"]).filter(F.size("sequence") >= 16)
+    return pages.pages(rows, "record_id", "sequence", 16).filter("page = 0").select("record_id", F.col("hash").cast("string").alias("hash"))
+
+
+@query("""
+with r as (select record_id, any_value(sequence) as s from single_output_mask_builder group by 1),
+p as (select record_id, i as page, s[i * 16 + 1 : i * 16 + 16] as ids from r, unnest(range(len(s) // 16)) as u(i)),
+c as (select distinct ids from p where record_id % 2 = 0), h as (select p.record_id, p.page, (c.ids is not null)::int as hit from p left join c using (ids)),
+m as (select record_id, min(hit) over (partition by record_id order by page) as ok from h)
+select r.record_id, coalesce(sum(ok), 0)::bigint as cached_pages from r left join m using (record_id) group by 1""")
+def prefix_cache(spark, d):
+    rows = table(spark, d, "single_output_mask_builder").dropDuplicates(["record_id"]).select("record_id", "sequence")
+    known = pages.pages(rows.filter("record_id % 2 = 0"), "record_id", "sequence", 16)
+    return pages.cached_prefix(rows, known, "record_id", "sequence", 16)
+
+
+@query("""
+with a as (select record_id, any_value(chosen) as r from dpo_tokenize where chosen is not null group by 1),
+s as (select record_id, r, case when contains(r, '```') then '```' when contains(r, 'because') then 'because' when contains(r, '. ') then '. ' end as stop from a)
+select record_id, stop, length(case when stop is null then r else left(r, length(r) - strpos(reverse(r), reverse(stop)) + 1 - length(stop)) end)::int as kept from s""")
+def stop_sequences(spark, d):
+    a = table(spark, d, "dpo_tokenize").filter("chosen is not null").dropDuplicates(["record_id"])
+    s = a.select("record_id", "chosen", text.first_stop(F.col("chosen"), ["```", "because", ". "]).alias("stop"))
+    return s.select("record_id", "stop", F.length(F.coalesce(text.cut_at_last(F.col("chosen"), F.col("stop")), "chosen")).alias("kept"))
+
+
+@query()
+def tool_calls(spark, d):
+    a = table(spark, d, "dpo_tokenize").dropDuplicates(["record_id"]).select("record_id", F.concat_ws(" ", "chosen", F.lit('{"name": "look", "arguments": {"id":'), F.col("record_id").cast("string"), F.lit("}}")).alias("t"))
+    return toolcalls.parse_tool_calls(a, "t").select("record_id", F.explode("tool_calls").alias("c")).select("record_id", "c.name", "c.arguments", "c.complete")
+
+
+@query("""
+with m as (select any_value(loss) as loss, kind, run_id, step, logged_at from metric_log group by kind, run_id, step, logged_at)
+select kind, date_trunc('month', logged_at) as month, count(loss) as n, round(avg(loss), 6) as loss from m group by 1, 2""")
+def metric_summary(spark, d):
+    m = table(spark, d, "metric_log").dropDuplicates(["kind", "run_id", "step", "logged_at"])
+    return m.groupBy("kind", F.date_trunc("month", "logged_at").alias("month")).agg(F.count("loss").alias("n"), r6(F.avg("loss"), "loss"))
+
+
+@query("""
+with m as (select any_value(loss) as loss, run_id from metric_log where kind = 'validation' group by kind, run_id, step, logged_at)
+select round(sum(loss) / count(loss), 6) as loss, count(loss) as n from m""")
+def validation_loss(spark, d):
+    m = table(spark, d, "metric_log").filter("kind = 'validation'").dropDuplicates(["kind", "run_id", "step", "logged_at"])
+    parts = m.groupBy("run_id").agg(F.sum("loss").alias("loss_sum"), F.count("loss").alias("loss_count"))
+    out = metric_stream.validation_loss(parts)
+    return out.select(r6(F.col("loss"), "loss"), "n")
+
+
+# --- sources and sinks --------------------------------------------------------------------------------
+@query("select doc_id, md5(text) as digest, source from documents")
+def json_round_trip(spark, d):
+    path = scratch(spark, "json")
+    json_files.write_records(table(spark, d, "documents").select("doc_id", "text", "source"), path)
+    back = json_files.read_records(spark, path, "doc_id bigint, text string, source string")
+    return back.select("doc_id", F.md5("text").alias("digest"), "source")
+
+
+@query("select record_id, len(any_value(sequence)) as n, list_sum(any_value(sequence))::bigint as checksum, coalesce(any_value(domain), '__default__') as domain from single_output_mask_builder group by 1")
+def shard_round_trip(spark, d):
+    rows = table(spark, d, "single_output_mask_builder").dropDuplicates(["record_id"]).withColumn("domain", text.domain_of(F.col("domain")))
+    rows = rows.select("record_id", "sequence", F.col("domain").alias("name"), F.regexp_replace(F.trim(F.lower("domain")), " ", "_").alias("domain"), F.floor(F.col("record_id") / 5000).cast("int").alias("shard_idx"))
+    path = scratch(spark, "shards")
+    store.write_shards(rows, path, {"sequence": "int32"})
+    back = store.read_shards(spark, path)
+    return back.select("record_id", F.size("sequence").cast("bigint").alias("n"), F.aggregate("sequence", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("checksum"), F.col("name").alias("domain"))
+
+
+@query("with r as (select any_value(sequence) as s from single_output_mask_builder group by record_id) select count(*) as records, sum(len(s))::bigint as tokens, sum(list_sum(s))::bigint as checksum from r")
+def bin_round_trip(spark, d):
+    rows = table(spark, d, "single_output_mask_builder").dropDuplicates(["record_id"]).select("record_id", "sequence")
+    path = scratch(spark, "bin").removeprefix("file://").removeprefix("file:")
+    store.write_bin(rows, path, ["sequence"], "record_id")
+    spark.dataSource.register(store.BinSource)
+    back = spark.read.format("tokenbin").option("key", "sequence").load(path)
+    return back.agg(F.count(F.lit(1)).alias("records"), F.sum(F.size("values")).alias("tokens"), total("values").alias("checksum"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
