@@ -27,10 +27,14 @@ def words(text: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """All runs of ``n`` tokens as strings, in order; none if there are fewer."""
-    at = F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1)))
-    runs = F.transform(at, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), "\x01"))
-    return F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<string>"))
+    """All runs of ``n`` tokens as strings, in order; none if there are fewer. ``tokens`` is computed once."""
+
+    def runs(t: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(1)))
+        joined = F.transform(at, lambda i: F.array_join(F.slice(t, i, F.lit(n)), "\x01"))
+        return F.when(F.size(t) >= n, joined).otherwise(F.array().cast("array<string>"))
+
+    return F.transform(F.array(tokens), runs)[0]
 
 
 def word_count(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokenmill.functions.text import f1, ngrams, words
+from tokenmill.functions.text import f1, words
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -20,14 +20,23 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def rouge_n(df: DataFrame, key: str, reference: str, candidate: str, n: int) -> DataFrame:
-    """precision, recall and F1 per row from counted n-grams; linear in the texts (join on the n-gram, not pair by pair)."""
-    def grams(col: str, name: str) -> DataFrame:
-        each = df.select(key, F.explode(ngrams(words(F.col(col)), n)).alias("g"))
-        return each.groupBy(key, "g").agg(F.count(F.lit(1)).alias(name))
-
-    both = grams(reference, "r").join(grams(candidate, "c"), [key, "g"], "full")
-    sums = both.groupBy(key).agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("r", "c")], F.coalesce(F.sum(F.least(F.coalesce("r", F.lit(0)), F.coalesce("c", F.lit(0)))), F.lit(0)).alias("shared"))
-    rows = df.select(key).join(sums, key, "left").na.fill(0, ["r", "c", "shared"])
+    """precision, recall and F1 per row (``key`` is unique) from counted n-grams.
+
+    Both texts explode to 64-bit hashes of their n-grams and are counted by (key, n-gram),
+    linear in the texts; rows that are partitioned by ``key`` already aren't shuffled again.
+    """
+    def side(col: str, name: str) -> Column:
+        def grams(t: Column) -> Column:
+            at = F.sequence(F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(1)))
+            runs = F.transform(at, lambda i: F.struct(F.xxhash64(F.slice(t, i, F.lit(n))).alias("g"), F.lit(name).alias("side")))
+            return F.when(F.size(t) >= n, runs).otherwise(F.array().cast("array<struct<g:bigint,side:string>>"))
+
+        # through a lambda variable, so that the text is split once and not per n-gram
+        return F.transform(F.array(words(F.col(col))), grams)[0]
+
+    each = df.select(key, F.explode_outer(F.concat(*[F.coalesce(side(c, s), F.array().cast("array<struct<g:bigint,side:string>>")) for c, s in ((reference, "r"), (candidate, "c"))])).alias("x"))
+    counts = each.groupBy(key, F.col("x.g").alias("g")).agg(F.count_if(F.col("x.side") == "r").alias("r"), F.count_if(F.col("x.side") == "c").alias("c"))
+    rows = counts.groupBy(key).agg(F.sum("r").alias("r"), F.sum("c").alias("c"), F.sum(F.least("r", "c")).alias("shared"))
     p = F.when(F.col("c") > 0, F.col("shared") / F.col("c")).otherwise(F.lit(0.0))
     r = F.when(F.col("r") > 0, F.col("shared") / F.col("r")).otherwise(F.lit(0.0))
     return rows.select(key, p.alias("precision"), r.alias("recall"), f1(p, r).alias("f1"))

@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def spread(df: DataFrame, small: int = 256 << 20) -> DataFrame:
+    """A small table in fewer files than there are cores, dealt to all of them; larger ones as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if len(df.inputFiles()) >= cores or not 1 << 17 < size < small else df.repartition(cores)
+
+
 def prefix_sum(df: DataFrame, order: str, value: str, out: str = "offset", bucket: int = 100_000) -> DataFrame:
     """Sum of ``value`` of all rows before, in the order of the whole number ``order``.
 

@@ -92,7 +92,8 @@ class VocabularyFile:
             for batch in batches:
                 texts = batch.column(1).to_pylist()
                 done = iter(tok.encode_batch([t for t in texts if t is not None], add_special_tokens=special))
-                got = [None if t is None else ((e := next(done)).tokens if as_tokens else e.ids) for t in texts]
+                done = (e.tokens if as_tokens else e.ids for e in done)
+                got = [None if t is None else next(done) for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(kind))], names=["row", out])
 
         schema = f"row {rows.schema['row'].dataType.simpleString()}, {out} array<{'string' if as_tokens else 'int'}>"

@@ -8,13 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MODULUS, BASE = 1 << 64, 31
+BASE = 31  # fixed value
 
 
 def page_hash(ids: Column, base: int = BASE) -> Column:
-    """Polynomial hash of a page's ids in 64 unsigned bits, as DECIMAL(38,0); only of the page itself, so equal pages share it."""
-    zero, m = F.lit(0).cast("decimal(38,0)"), F.expr(f"cast('{MODULUS}' as decimal(38,0))")
-    return F.aggregate(ids, zero, lambda h, x: ((h * F.lit(base) + x) % m).cast("decimal(38,0)"))
+    """Polynomial hash of a page's ids (0 or more) in 64 unsigned bits, as DECIMAL(38,0); only of the page itself, so equal pages share it.
+
+    The fold holds two halves of 32 bits in BIGINTs, which never overflow.
+    """
+    low = F.lit((1 << 32) - 1)
+    zero = F.struct(F.lit(0).cast("bigint").alias("hi"), F.lit(0).cast("bigint").alias("lo"))
+
+    def step(h: Column, x: Column) -> Column:
+        lo = h["lo"] * base + x
+        return F.struct((h["hi"] * base + F.shiftright(lo, 32)).bitwiseAND(low).alias("hi"), lo.bitwiseAND(low).alias("lo"))
+
+    whole = lambda h: (h["hi"].cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(12,0)") + h["lo"]).cast("decimal(38,0)")
+    return F.aggregate(ids, zero, step, whole)
 
 
 def pages(df: DataFrame, key: str, ids: str, size: int) -> DataFrame:
