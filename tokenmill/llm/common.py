@@ -13,7 +13,19 @@ TOKENIZER_DIR = os.environ.get("TOKENMILL_TOKENIZERS", "/opt/tokenizers")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame, small: int = 256 << 20) -> DataFrame:
+    """A small table in fewer files than there are cores, dealt to all of them; larger ones as they are.
+
+    A file with one row group is one task however many cores wait; from some hundred
+    megabytes on there are splits enough, and nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= small:
+        return df
+    return df.repartition(cores)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,11 +60,5 @@ def first_delivery(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return df.select(key, *columns).dropDuplicates([key])
 
 
-def per_bytes(df: DataFrame, target: int = 32 << 20, least: int = 1) -> int:
-    """Number of partitions so that each reads about ``target`` bytes of input files."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return max(least, int(min(int(str(size)), 1 << 50) // target) + 1)
-
-
 def prompt_of(df: DataFrame):
     return F.coalesce(df["prompt"], df["legacy_input"])
