@@ -42,6 +42,7 @@ CUE = {
 AGAINST = ("label", "schedule", "version", "order no", "range", "commit", "job", "rows", "spans", "shape", "pinned", "section", "step", "queue", "items", "field", "port", "batch")
 _WORDS = "|".join(AGAINST)
 AGAINST_BEFORE, AGAINST_AFTER = re.compile(rf"\b(?:{_WORDS})\b[^.!?]*$"), re.compile(rf"[^.!?]{{0,14}}\b(?:{_WORDS})\b")
+JOINERS = frozenset("und and or oder et ou y o the der die das le la el".split())
 COMPANY = frozenset("systems labs inc ltd llc gmbh corp company group institute university foundation bank cloud software detection optimizer street road avenue lane court crescent drive st rd ave allee gasse straße".split())
 PLACE = frozenset("saint port north south east west new old upper lower quarry".split())
 
@@ -163,7 +164,8 @@ def _numbers(text: str, start: int, end: int, add) -> None:
             s = text[lo:hi].translate(WIDE)
             for name, shape in ID_SHAPES:
                 if shape.fullmatch(s):
-                    add(lo, hi, "identity", name)
+                    between = text[max(0, lo - 3) : lo].rstrip(" ").endswith((";", "|")) and text[hi : hi + 2].lstrip(" ")[:1] in (";", "|")
+                    add(lo, hi, "identity", name, *(["between fields"] if between else []))
     lo = start
     while lo and text[lo - 1] in "+(＋（" and start - lo < 2:
         lo -= 1
@@ -274,7 +276,7 @@ _FLAGS = _Flags()
 def _name(text: str, n: re.Match, form: str, add) -> None:
     first, last = n.group(1), n.group(3) if form != "family, given" else n.group(2).rstrip(".")
     family, given = (last, first) if form != "family, given" else (first, last)
-    if len(family) < 2 or first.lower() in TITLES:
+    if len(family) < 2 or first.lower() in TITLES or {first.lower(), last.lower()} & JOINERS:
         return
     features = [form]
     if form == "given family":
