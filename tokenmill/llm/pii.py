@@ -42,7 +42,7 @@ CUE = {
 AGAINST = ("label", "schedule", "version", "order no", "range", "commit", "job", "rows", "spans", "shape", "pinned", "section", "step", "queue", "items", "field", "port", "batch")
 _WORDS = "|".join(AGAINST)
 AGAINST_BEFORE, AGAINST_AFTER = re.compile(rf"\b(?:{_WORDS})\b[^.!?]*$"), re.compile(rf"[^.!?]{{0,14}}\b(?:{_WORDS})\b")
-JOINERS = frozenset("und and or oder et ou y o the der die das le la el".split())
+JOINERS = frozenset("und and or oder et ou the der die das le la el".split())
 COMPANY = frozenset("systems labs inc ltd llc gmbh corp company group institute university foundation bank cloud software detection optimizer street road avenue lane court crescent drive st rd ave allee gasse straße".split())
 PLACE = frozenset("saint port north south east west new old upper lower quarry".split())
 
@@ -138,7 +138,7 @@ ID_SHAPES = (
     ("nine digits", re.compile(r"\d{9}")),
     ("two letters, six, letter", re.compile(r"[A-Za-z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Da-d]")),
     ("two letters, seven", re.compile(r"[A-Za-z]{2} ?\d{7}")),
-    ("eleven", re.compile(r"\d{2} ?\d{3} ?\d{3} ?\d{3}")),
+    ("eleven", re.compile(r"\d{11}|\d{2} \d{3} \d{3} \d{3}")),
     ("fifteen", re.compile(r"\d ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3} ?\d{2}")),
     ("eight, letter", re.compile(r"\d{8}[ \-]?[A-Za-z]")),
     ("eighteen", re.compile(r"\d{17}[\dXx]")),
@@ -165,7 +165,7 @@ def _numbers(text: str, start: int, end: int, add) -> None:
             for name, shape in ID_SHAPES:
                 if shape.fullmatch(s):
                     between = text[max(0, lo - 3) : lo].rstrip(" ").endswith((";", "|")) and text[hi : hi + 2].lstrip(" ")[:1] in (";", "|")
-                    add(lo, hi, "identity", name, *(["between fields"] if between else []))
+                    add(lo, hi, "identity", name, *(["between fields"] if between and name == "nine digits" else []))
     lo = start
     while lo and text[lo - 1] in "+(＋（" and start - lo < 2:
         lo -= 1
