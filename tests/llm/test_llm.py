@@ -328,3 +328,11 @@ def test_regular_expressions_stay_linear():
     pii.candidates("A. " * 20000), pii.candidates("1" * 20000), pii.candidates("a@" * 5000)
     assert time.time() - t < 20
     assert re.match("x", "x")
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_budget_in_two_steps_equals_one(spark):
+    from tokenmill.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    assert sorted(map(str, queries.p4_update(spark, d).collect())) == sorted(map(str, queries.p4_cube(spark, d).collect()))
