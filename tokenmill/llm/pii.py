@@ -19,7 +19,7 @@ WEIGHTS = Path(__file__).with_name("pii_weights.json")
 # --- fixed values: words that the features look up ---------------------------------------
 GIVEN = frozenset(
     """adam adrian agnes alan albert alejandro alexander alice amparo ana andrea anna annegret anton antoine aurélien bastien beatrix begoña bärbel
-    brigitte callum camille capucine carlos carmen catherine charles claire clara claude daniel david desmond detlef diego dieter dolores
+    brigitte callum camille capucine carlos carmen catherine charles claire clara daniel david desmond detlef diego dieter dolores
     edwin efraín elena elizabeth emma erik fabrice fatima felix fernando françois frank gaspard george gesine gonzalo greta günter hannah hans heike helen
     henri ingrid iñigo irene isabel itziar ivan jack jacinto james jan javier jean joan john jorge josé juan julia jürgen karl kofi laura lionel louis
     lourdes lucas maëlle marcel marco maren maria marie marisol mark martin mary mechthild michael miguel nadia nicolas noémie nuria odette olivier pablo
