@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tokenmill.llm import bpe, budget, chunks, containers, encode, leakage, mixing, neardup, pairs, pii
+from tokenmill.llm import bpe, budget, chunks, containers, encode, leakage, mixing, neardup, pairs, pii, queries
 
 TEXT = "id long, text string, ids string, item_id string, row string"
 
@@ -172,6 +172,24 @@ def test_near_duplicates_equal_brute_force(spark, hot):
         assert len(classes) == len({i for i, t in one.items() if len(leakage.tokens(t or "")) >= 3})
 
 
+def test_classes_of_both_corpora(spark, tmp_path):
+    base = [f"w{i}" for i in range(60)]
+    near = base[:50] + [f"x{i}" for i in range(8)]  # 48 of 66 runs: between 0.6 and 0.8
+    talk = [f"t{i}" for i in range(40)]
+    assert 0.6 < jaccard(" ".join(base), " ".join(near), 3) < 0.8
+    pretrain = [(5, " ".join(base)), (7, " ".join(near)), (8, "nothing like the others here"), (8, "nothing like the others here"), (9, None)]
+    rollout = [(2, [("user", " ".join(talk[:20])), ("assistant", " ".join(talk[20:]))]), (3, [("user", " ".join(talk)), ("assistant", None)]), (4, [("user", " ".join(base))]), (6, None)]
+    spark.createDataFrame(pretrain, "record_id long, text string").write.parquet(f"{tmp_path}/pretrain.parquet")
+    spark.createDataFrame(rollout, "rollout_id long, messages array<struct<role string, content string>>").write.parquet(f"{tmp_path}/rollout.parquet")
+    rows = queries.p1_classes(spark, str(tmp_path)).collect()
+    got = {(x.corpus, x.record_id): (x.class_corpus, x.class_id) for x in rows}
+    assert len(rows) == len(got)
+    assert got == {
+        ("pretrain", 5): ("pretrain", 5), ("pretrain", 7): ("pretrain", 5), ("rollout", 4): ("pretrain", 5), ("pretrain", 8): ("pretrain", 8),
+        ("rollout", 2): ("rollout", 2), ("rollout", 3): ("rollout", 2),
+    }
+
+
 def test_near_duplicates_of_nothing(spark):
     links, members = neardup.near_duplicates(texts(spark, []), "id", "text")
     assert links.count() == 0 and members.count() == 0

@@ -40,8 +40,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_classes(spark: SparkSession, d: str) -> DataFrame:
-    links, members = neardup.near_duplicates(table(spark, d, "pretrain"), "record_id", "text")
-    return neardup.duplicate_classes(links, members).withColumnRenamed("id", "record_id")
+    """Classes over both corpora. class_corpus and class_id name a class's first record: the least id of pretrain, else of rollout."""
+    classes = neardup.duplicate_classes(*_near(spark, d))
+    first = classes.groupBy("class_id").agg(F.min(F.struct(F.col("id") < 0, _own_id(F.col("id")).alias("id"))).alias("first"))
+    corpus = lambda rollout: F.when(rollout, "rollout").otherwise("pretrain")
+    return classes.join(first, "class_id").select(
+        corpus(F.col("id") < 0).alias("corpus"), _own_id(F.col("id")).alias("record_id"), corpus(F.col("first.col1")).alias("class_corpus"), F.col("first.id").alias("class_id"), "n_links"
+    )
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
