@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tokenmill import queries
 from tokenmill.config import BuildConfig
 from tokenmill.functions import checks, text, toolcalls
 from tokenmill.operators import build, metrics, numerics, pack, scans
@@ -357,6 +358,18 @@ def test_pages(spark):
     assert t.alloc() == 0 and t.lookup([111]) == []
 
 
+def test_every_page_is_hashed_and_cached(spark, tmp_path):
+    a, b, c = list(range(16)), list(range(100, 116)), list(range(200, 216))
+    rows = [(1, a + b + c[:5], "2024-01-01"), (1, a + b + c[:5], "2024-03-01"), (2, a + b + c, "2024-02-01"), (3, a + c + b, "2024-02-02"), (4, a[:15], "2024-02-03"), (5, c + a, "2024-02-01")]
+    spark.createDataFrame(rows, "record_id long, sequence array<int>, t string").selectExpr("record_id", "sequence", "timestamp(t) as built_at").write.parquet(f"{tmp_path}/single_output_mask_builder.parquet")
+    fold = lambda ids: str(sum(x * 31 ** (len(ids) - 1 - i) for i, x in enumerate(ids)) % 2**64)
+    got = {(x.record_id, x.page): x.hash for x in queries.page_hashes_all(spark, str(tmp_path)).collect()}
+    full = {1: [a, b], 2: [a, b, c], 3: [a, c, b], 5: [c, a]}
+    assert got == {(i, k): fold(ids) for i, own in full.items() for k, ids in enumerate(own)}
+    cached = {x.record_id: x.cached_pages for x in queries.prefix_cache_earlier(spark, str(tmp_path)).collect()}
+    assert cached == {1: 0, 2: 2, 3: 3, 4: 0, 5: 0}
+
+
 def test_stateful_stream(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     events = [("t1", i, ch) for i, ch in enumerate("hello STOP rest")] + [("t2", i, ch) for i, ch in enumerate("bye")]

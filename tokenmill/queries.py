@@ -586,6 +586,29 @@ def prefix_cache(spark, d):
     return pages.cached_prefix(rows, known, "record_id", "sequence", 16)
 
 
+@query("""
+with r as (select record_id, any_value(sequence) as s from single_output_mask_builder group by 1),
+p as (select record_id, i as page, s[i * 16 + 1 : i * 16 + 16] as ids from r, unnest(range(len(s) // 16)) as u(i))
+select record_id, page, list_reduce([0::hugeint] || [x::hugeint for x in ids], lambda h, x: (h * 31 + x) % 18446744073709551616)::varchar as hash from p""")
+def page_hashes_all(spark, d):
+    """Every full page; ``page_hashes`` has the first of each sequence."""
+    rows = table(spark, d, "single_output_mask_builder").dropDuplicates(["record_id"])
+    return pages.pages(rows, "record_id", "sequence", 16).select("record_id", "page", F.col("hash").cast("string").alias("hash"))
+
+
+@query("""
+with r as (select record_id, any_value(sequence) as s, min(built_at) as t from single_output_mask_builder group by 1),
+p as (select record_id, t, i as page, s[i * 16 + 1 : i * 16 + 16] as ids from r, unnest(range(len(s) // 16)) as u(i)),
+c as (select ids, min(t) as first from p group by 1), h as (select record_id, page, (first < t)::int as hit from p join c using (ids)),
+m as (select record_id, min(hit) over (partition by record_id order by page) as ok from h)
+select r.record_id, coalesce(sum(ok), 0)::bigint as cached_pages from r left join m using (record_id) group by 1""")
+def prefix_cache_earlier(spark, d):
+    """Each record asks for its pages when it was built; the pages of all records built earlier are cached."""
+    built = table(spark, d, "single_output_mask_builder").select("record_id", "sequence", "built_at")
+    rows = built.groupBy("record_id").agg(F.any_value("sequence").alias("sequence"), F.min("built_at").alias("built_at"))
+    return pages.cached_before(rows, built, "record_id", "sequence", "built_at", 16)
+
+
 @query("""
 with a as (select record_id, any_value(chosen) as r from dpo_tokenize where chosen is not null group by 1),
 s as (select record_id, r, case when contains(r, '```') then '```' when contains(r, 'because') then 'because' when contains(r, '. ') then '. ' end as stop from a)

@@ -27,17 +27,31 @@ def page_hash(ids: Column, base: int = BASE) -> Column:
     return F.aggregate(ids, zero, step, whole)
 
 
-def pages(df: DataFrame, key: str, ids: str, size: int) -> DataFrame:
-    """Full pages of each row: key, ``page`` (from 0) and ``hash``."""
+def pages(df: DataFrame, key: str, ids: str, size: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Full pages of each row: key, the columns ``keep``, ``page`` (from 0) and ``hash``."""
     n = F.floor(F.size(ids) / size)
-    each = df.filter(n > 0).select(key, ids, F.explode(F.sequence(F.lit(0), n - 1)).alias("page"))
-    return each.select(key, "page", page_hash(F.slice(ids, (F.col("page") * size + 1).cast("int"), F.lit(size))).alias("hash"))
+    each = df.filter(n > 0).select(key, *keep, ids, F.explode(F.sequence(F.lit(0), n - 1)).alias("page"))
+    return each.select(key, *keep, "page", page_hash(F.slice(ids, (F.col("page") * size + 1).cast("int"), F.lit(size))).alias("hash"))
 
 
 def cached_prefix(requests: DataFrame, cached: DataFrame, key: str, ids: str, size: int) -> DataFrame:
     """key and ``cached_pages``: how many leading full pages are all in ``cached`` (a table with ``hash``)."""
     mine = pages(requests, key, ids, size)
     hit = mine.join(cached.select("hash").distinct().withColumn("hit", F.lit(1)), "hash", "left")
+    return _leading(hit, requests, key)
+
+
+def cached_before(requests: DataFrame, seen: DataFrame, key: str, ids: str, at: str, size: int) -> DataFrame:
+    """key and ``cached_pages`` where every request comes at its time ``at`` and the cache holds the full pages of all rows ``seen`` earlier.
+
+    Rows of ``seen`` may come several times; the earliest counts.
+    """
+    first = pages(seen, key, ids, size, (at,)).groupBy("hash").agg(F.min(at).alias("_first"))
+    mine = pages(requests, key, ids, size, (at,)).join(first, "hash", "left")
+    return _leading(mine.withColumn("hit", (F.col("_first") < F.col(at)).cast("int")), requests, key)
+
+
+def _leading(hit: DataFrame, requests: DataFrame, key: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
     run = hit.withColumn("ok", F.min(F.coalesce("hit", F.lit(0))).over(w))
     found = run.groupBy(key).agg(F.sum("ok").alias("cached_pages"))
