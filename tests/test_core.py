@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tokenmill import queries
 from tokenmill.config import BuildConfig
 from tokenmill.functions import checks, text, toolcalls
-from tokenmill.operators import build, metrics, numerics, pack, scans
+from tokenmill.operators import build, collate, metrics, numerics, pack, scans
 from tokenmill.operators.tokenize import TOKENIZERS, Codepoints, VocabularyFile
 from tokenmill.plans import corpus
 from tokenmill.registry import Registry
@@ -358,6 +358,28 @@ def test_pages(spark):
     assert t.alloc() == 0 and t.lookup([111]) == []
 
 
+def test_grpo_batches_of_uneven_groups(spark):
+    fields = "batch long, record_id long, prompts array<int>, responses array<array<int>>, masks array<array<int>>, rewards array<double>"
+    ones = lambda r: [[1] * len(x) for x in r]
+    rows = [(b, i, p, r, ones(r), w) for b, i, p, r, w in (
+        (0, 1, [7], [[1, 2], [3]], [0.5, 1.0]), (0, 2, [8, 9], [[4]], [2.0]), (0, 3, [5], [[6], [], [1, 1, 1]], [1.0, 2.0, 3.0]), (0, 4, [5], [], []), (1, 5, [3], [], []), (1, 6, [4], [[9]], [1.0]),
+    )]
+    got = {x.record_id: x for x in collate.collate_grpo(spark.createDataFrame(rows, fields)).collect()}
+    none = [0, 0, 0]  # the third answer of 3 is beyond G, yet sets the width
+    assert [got[i].responses for i in (1, 2, 3, 4)] == [[[1, 2, 0], [3, 0, 0]], [[4, 0, 0], none], [[6, 0, 0], none], [none, none]]
+    assert [got[i].masks for i in (1, 2, 3, 4)] == [[[1, 1, 0], [1, 0, 0]], [[1, 0, 0], none], [[1, 0, 0], none], [none, none]]
+    assert [got[i].rewards for i in (1, 2, 3, 4)] == [[0.5, 1.0], [2.0, 0.0], [1.0, 2.0], [0.0, 0.0]]
+    assert got[2].prompts == [8, 9] and got[1].prompt_mask == [False, True] and got[5].responses == got[6].responses == got[6].rewards == []
+
+
+def test_grpo_takes_every_rollout(spark, tmp_path):
+    say = lambda *c: [("user", "hi"), *(("assistant", x) for x in c)]
+    rows = [(1, say("ab", "c", "defg")), (2, say("x")), (2, say("x")), (3, say()), (4, []), (5, None)]
+    spark.createDataFrame(rows, "rollout_id long, messages array<struct<role string, content string>>").write.parquet(f"{tmp_path}/rollout.parquet")
+    (x,) = queries.grpo_collate_all(spark, str(tmp_path)).collect()
+    assert (x.rows, x.width, x.group_size, x.longest, x.filled, x.trained) == (3, 2, 3, 4, 4, 8)
+
+
 def test_every_page_is_hashed_and_cached(spark, tmp_path):
     a, b, c = list(range(16)), list(range(100, 116)), list(range(200, 216))
     rows = [(1, a + b + c[:5], "2024-01-01"), (1, a + b + c[:5], "2024-03-01"), (2, a + b + c, "2024-02-01"), (3, a + c + b, "2024-02-02"), (4, a[:15], "2024-02-03"), (5, c + a, "2024-02-01")]

@@ -32,20 +32,28 @@ def collate_dpo(df: DataFrame, batch: str = "batch") -> DataFrame:
     return rows.withColumns({c: pad_right(F.col(c), F.col("_size")) for c in ("chosen", "chosen_mask", "rejected", "rejected_mask")}).drop("_size")
 
 
+def _rows_to(lists: Column, size: Column) -> Column:
+    """The first ``size`` lists, filled up with empty ones."""
+    return F.concat(F.slice(lists, F.lit(1), size), F.array_repeat(F.array(), F.greatest(size - F.size(lists), F.lit(0))))
+
+
 def collate_grpo(df: DataFrame, batch: str = "batch") -> DataFrame:
-    """Prompts padded left with a mask; responses and masks to [G, R]; G is that of the batch's first row (by ``record_id``)."""
+    """Prompts padded left with a mask; responses and masks to [G, R], rewards to [G], with zeros.
+
+    G is the number of responses of the batch's first row (by ``record_id``): surplus ones of other rows are ignored,
+    but R is the longest of all responses, as in the reference.
+    """
     w = Window.partitionBy(batch)
     rows = df.withColumn("_p", F.max(F.size("prompts")).over(w))
     rows = rows.withColumn("_g", F.min_by(F.size("responses"), "record_id").over(w))
-    rows = rows.withColumn("responses", F.slice("responses", F.lit(1), F.col("_g"))).withColumn("masks", F.slice("masks", F.lit(1), F.col("_g")))
     longest = F.greatest(F.array_max(F.transform("responses", F.size)), F.lit(1))
     rows = rows.withColumn("_r", F.max(longest).over(w))
+    padded = lambda c: F.transform(_rows_to(F.col(c), F.col("_g")), lambda x: pad_right(x, F.col("_r")))
     return rows.select(
         batch, "record_id",
         pad_left(F.col("prompts"), F.col("_p")).alias("prompts"), valid_mask(F.col("prompts"), F.col("_p"), left=True).alias("prompt_mask"),
-        F.transform("responses", lambda x: pad_right(x, F.col("_r"))).alias("responses"),
-        F.transform("masks", lambda x: pad_right(x, F.col("_r"))).alias("masks"),
-        F.slice(F.col("rewards").cast("array<float>"), F.lit(1), F.col("_g")).alias("rewards"),
+        padded("responses").alias("responses"), padded("masks").alias("masks"),
+        pad_right(F.slice(F.col("rewards").cast("array<float>"), F.lit(1), F.col("_g")), F.col("_g"), 0.0).cast("array<float>").alias("rewards"),
     )
 
 

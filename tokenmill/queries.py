@@ -152,6 +152,30 @@ def grpo_collate(spark, d):
     )
 
 
+@query("""
+with x as (select rollout_id, any_value(messages) as messages from rollout where len(messages) > 0 group by 1),
+y as (select rollout_id // 32 as batch, rollout_id, length(coalesce(messages[1].content, '')) as p, [coalesce(m.content, '') for m in messages if m.role = 'assistant'] as r from x),
+b as (select batch, count(*) as rows, max(p) as width, arg_min(len(r), rollout_id) as g, greatest(coalesce(max(list_max([length(c) for c in r])), 1), 1) as longest from y group by 1),
+z as (select *, r[1:g] as taken from y join b using (batch))
+select batch, any_value(rows) as rows, any_value(width) as width, any_value(g)::bigint as group_size, any_value(case when g = 0 then 0 else longest end)::bigint as longest, sum(len(taken))::bigint as filled,
+ sum(coalesce(list_sum([length(c) for c in taken]), 0))::bigint as trained, sum(coalesce(list_sum([list_sum([unicode(u) for u in string_split(c, '')]) for c in taken if c <> '']), 0))::bigint as checksum from z group by 1""")
+def grpo_collate_all(spark, d):
+    """All rollouts that hold a message, with all their answers; an answer's number, from 1, stands in for its reward."""
+    rows = table(spark, d, "rollout").filter(F.size("messages") > 0).dropDuplicates(["rollout_id"])
+    ids = lambda m: CP.ids(F.coalesce(m["content"], F.lit("")))
+    answers = F.filter("messages", lambda m: m["role"] == "assistant")
+    rows = rows.select(F.col("rollout_id").alias("record_id"), F.floor(F.col("rollout_id") / 32).alias("batch"), ids(F.col("messages")[0]).alias("prompts"), F.transform(answers, ids).alias("responses"))
+    rows = rows.withColumn("masks", F.transform("responses", lambda x: F.transform(x, lambda _: F.lit(1)))).withColumn("rewards", F.transform("responses", lambda _, i: i + F.lit(1.0)))
+    add = lambda c: F.sum(F.aggregate(F.flatten(c), F.lit(0).cast("bigint"), lambda a, x: a + x))
+    same = lambda c: F.when(F.min(c) == F.max(c), F.max(c).cast("bigint"))
+    sizes = F.transform("responses", F.size)
+    wide = F.when((F.size(sizes) == 0) | (F.array_min(sizes) == F.array_max(sizes)), F.coalesce(F.array_max(sizes), F.lit(0)))
+    return collate.collate_grpo(rows).groupBy("batch").agg(
+        F.count(F.lit(1)).alias("rows"), same(F.size("prompt_mask")).alias("width"), same(F.size("responses")).alias("group_size"), same(wide).alias("longest"),
+        F.sum(F.size(F.filter("rewards", lambda x: x > 0))).cast("bigint").alias("filled"), add("masks").alias("trained"), add("responses").alias("checksum"),
+    )
+
+
 @query("""
 with r as (select record_id, any_value(sequence) as s from single_output_mask_builder where len(sequence) > 0 group by 1),
 t as (select record_id, unnest(s) as id, unnest(range(len(s))) as i from r),
