@@ -137,6 +137,16 @@ def test_leaks(spark):
     assert leakage.find_leaks(texts(spark, rows), "id", "text", items.limit(0)).count() == 0
 
 
+def test_removal_spans_of_both_corpora(spark, tmp_path):
+    q = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    spark.createDataFrame([(9, q)], "item_id long, question string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    spark.createDataFrame([(1, f"see {q}"), (2, "clean"), (3, None)], "record_id long, text string").write.parquet(f"{tmp_path}/pretrain.parquet")
+    asked = [(1, f"now say {q}", None), (1, f"now say {q}", None), (2, None, f"{q}!"), (3, "clean", q), (4, None, None)]
+    spark.createDataFrame(asked, "record_id long, prompt string, legacy_input string").write.parquet(f"{tmp_path}/dpo_tokenize.parquet")
+    got = sorted(tuple(x) for x in queries.p5_spans(spark, str(tmp_path)).select("corpus", "record_id", "start_char", "end_char").collect())
+    assert got == [("dpo_tokenize", 1, 8, 8 + len(q)), ("dpo_tokenize", 2, 0, len(q)), ("pretrain", 1, 4, 4 + len(q))]
+
+
 # --- 1: near-duplicates
 def corpus(n=60, seed=3):
     r = random.Random(seed)

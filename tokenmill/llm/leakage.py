@@ -258,8 +258,8 @@ def leaked_pairs(found: DataFrame, id_col: str) -> DataFrame:
     return found.select(id_col, "item_id").distinct()
 
 
-def removal_spans(found: DataFrame, id_col: str) -> DataFrame:
-    """Spans to remove from each text: those of all its items, merged where they meet."""
+def removal_spans(found: DataFrame, *id_cols: str) -> DataFrame:
+    """Spans to remove from each text, which ``id_cols`` name: those of all its items, merged where they meet."""
     spans = F.array_sort(F.collect_set(F.struct("start_char", "end_char")))
     start = F.expr("array(struct(int(-1) as start_char, int(-1) as end_char))")
     merged = F.aggregate(
@@ -273,4 +273,4 @@ def removal_spans(found: DataFrame, id_col: str) -> DataFrame:
             ),
         ).otherwise(F.concat(acc, F.array(F.struct(x["start_char"].alias("start_char"), x["end_char"].alias("end_char"))))),
     )
-    return found.groupBy(id_col).agg(spans.alias("spans")).select(id_col, F.explode(merged).alias("span")).select(id_col, "span.start_char", "span.end_char")
+    return found.groupBy(*id_cols).agg(spans.alias("spans")).select(*id_cols, F.explode(merged).alias("span")).select(*id_cols, "span.start_char", "span.end_char")

@@ -101,8 +101,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_spans(spark: SparkSession, d: str) -> DataFrame:
-    found = leakage.find_leaks(table(spark, d, "pretrain"), "record_id", "text", table(spark, d, "eval_items"))
-    return leakage.removal_spans(found, "record_id")
+    return leakage.removal_spans(_leaks(spark, d), "corpus", "record_id")
 
 
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
