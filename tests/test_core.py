@@ -358,6 +358,17 @@ def test_pages(spark):
     assert t.alloc() == 0 and t.lookup([111]) == []
 
 
+def test_corpus_queries_lose_no_text(spark, tmp_path):
+    rows = [(1, "ab c" * 2500, "web"), (2, "x" * 100, "web"), (3, "y" * 2049, None), (4, "short", "web"), (5, None, "web")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    bins = queries.corpus_prepare(spark, str(tmp_path)).collect()
+    assert all(x.n <= 8192 for x in bins)
+    of = lambda domain: sum(x.n for x in bins if x.domain == domain)
+    assert (of("web"), of("__default__")) == (10100, 2049)
+    whole = {x.domain: (x.docs, x.tokens) for x in queries.corpus_build_whole(spark, str(tmp_path)).collect()}
+    assert whole == {"web": (2, 10100), "__default__": (1, 2049)}
+
+
 def test_grpo_batches_of_uneven_groups(spark):
     fields = "batch long, record_id long, prompts array<int>, responses array<array<int>>, masks array<array<int>>, rewards array<double>"
     ones = lambda r: [[1] * len(x) for x in r]

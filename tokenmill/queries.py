@@ -68,6 +68,20 @@ def corpus_build_counts(spark, d):
     return built.groupBy("domain").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("sequence")).cast("bigint").alias("tokens"), total("sequence").alias("checksum"))
 
 
+WHOLE = {"max_seq_len": 10_000_000}  # above max_chars: a token is one code point here, and no text is cut
+
+
+@query("""
+with d as (select coalesce(source, '__default__') as domain, [unicode(c) for c in string_split(text, '')] as ids from documents
+  where length(text) between 50 and 2000000 and regexp_matches(text, '[^\\s\\x0B\\x1C-\\x1F\\x85\\pZ]'))
+select domain, count(*) as docs, sum(len(ids))::bigint as tokens, sum(list_sum(ids))::bigint as checksum from d group by 1""")
+def corpus_build_whole(spark, d):
+    """``corpus_build_counts`` without its cut to 2,048 code points."""
+    conf = BuildConfig.from_dict(corpus.TEXT_CONFIG.to_dict() | {"preprocessing": WHOLE})
+    built = build.build(table(spark, d, "documents"), conf, CP)
+    return built.groupBy("domain").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("sequence")).cast("bigint").alias("tokens"), total("sequence").alias("checksum"))
+
+
 @query("""select lang, count(*) as n, count(*) filter (where length(text) between 50 and 2000) as kept,
   count(*) filter (where regexp_matches(text, '[^\\s\\x0B\\x1C-\\x1F\\x85\\pZ]')) as filled from documents group by 1""")
 def length_and_blank_filters(spark, d):
@@ -241,7 +255,8 @@ def packing_bfd(spark, d):
 
 @query()
 def corpus_prepare(spark, d):
-    conf = BuildConfig.from_dict(corpus.TEXT_CONFIG.to_dict() | {"preprocessing": {"packing_strategy": "bfd"}, "output": {"domain_key": "source", "max_tokens_per_shard": 200_000}})
+    """Whole texts: none is cut before sharding, and those above a bin's size are split over bins."""
+    conf = BuildConfig.from_dict(corpus.TEXT_CONFIG.to_dict() | {"preprocessing": WHOLE | {"packing_strategy": "bfd_split"}, "output": {"domain_key": "source", "max_tokens_per_shard": 200_000}})
     return corpus.prepare(table(spark, d, "documents"), "doc_id", conf).select("domain", "shard_idx", "bin", "members", F.size("sequence").alias("n"))
 
 
