@@ -369,6 +369,14 @@ def test_corpus_queries_lose_no_text(spark, tmp_path):
     assert whole == {"web": (2, 10100), "__default__": (1, 2049)}
 
 
+def test_documents_of_packed_rows(spark, tmp_path):
+    sizes = {1: 2048, 2: 1500, 3: 500, 4: 40, 5: 9, 6: 0, 7: 1}
+    rows = [(i, [7] * n) for i, n in sizes.items()]
+    spark.createDataFrame(rows + rows[:2], "record_id long, sequence array<int>").write.parquet(f"{tmp_path}/single_output_mask_builder.parquet")
+    got = {x.bin: (x.members, x.documents) for x in queries.packed_documents(spark, str(tmp_path)).collect()}
+    assert got == {0: (1, 1), 1: (4, 4), 2: (1, 1)}
+
+
 def test_grpo_batches_of_uneven_groups(spark):
     fields = "batch long, record_id long, prompts array<int>, responses array<array<int>>, masks array<array<int>>, rewards array<double>"
     ones = lambda r: [[1] * len(x) for x in r]

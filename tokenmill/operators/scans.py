@@ -105,16 +105,10 @@ def position_ids(ids: Column, mode: str, offset: Column | None = None) -> Column
 
 def document_ids(positions: Column) -> Column:
     """Number of the document of each token: a new one where a position isn't above the one before."""
-    state = F.aggregate(
-        positions,
-        F.struct(F.expr(f"{'cast(array() as array<int>)'}").alias("out"), F.lit(-1).alias("last"), F.lit(0).alias("doc")),
-        lambda s, p: F.struct(
-            F.concat(s["out"], F.array(F.when((F.size(s["out"]) > 0) & (p <= s["last"]), s["doc"] + 1).otherwise(s["doc"]))).alias("out"),
-            p.cast("int").alias("last"),
-            F.when((F.size(s["out"]) > 0) & (p <= s["last"]), s["doc"] + 1).otherwise(s["doc"]).alias("doc"),
-        ),
-    )
-    return state["out"]
+    start = F.transform(positions, lambda p, i: F.when((i == 0) | (p <= F.get(positions, i - 1)), i))
+    starts = F.filter(start, lambda i: i.isNotNull())
+    size = lambda i, k: F.coalesce(F.get(starts, k + 1), F.size(positions)) - i
+    return F.flatten(F.transform(starts, lambda i, k: F.array_repeat(k, size(i, k))))
 
 
 def seeded_order(df: DataFrame, key: str, seed: int, epoch: int = 0, out: str = "position", buckets: int = 4096) -> DataFrame:

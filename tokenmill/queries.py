@@ -271,6 +271,17 @@ def position_ids(spark, d):
     return out.select("record_id", "n", "position_sum", F.when(F.size("sequence") > 0, F.try_element_at(small, F.lit(-1))).otherwise(F.lit(-1)).alias("last_doc"))
 
 
+@query()
+def packed_documents(spark, d):
+    """Documents in each bin, told from the position ids of its packed row, beside the members that were put there."""
+    rows = table(spark, d, "single_output_mask_builder").select("record_id", F.size("sequence").alias("n")).filter("n > 0").dropDuplicates(["record_id"])
+    cut = scans.shard_epochs(rows, "record_id", "n", 100_000)
+    cut = cut.withColumn("position_ids", scans.position_ids(F.array_repeat(F.lit(0), F.col("n")), "doc_reset"))
+    packed = pack.pack(cut, "record_id", ["position_ids"], 2048, ["epoch"], "bfd")
+    docs = scans.document_ids(F.col("position_ids"))
+    return packed.select("epoch", "bin", "members", (F.try_element_at(docs, F.lit(-1)) + 1).cast("bigint").alias("documents"))
+
+
 @query("select doc_id from documents where length(text) between 50 and 2000000 order by doc_id limit 100")
 def accepted_limit(spark, d):
     conf = BuildConfig.from_dict(corpus.TEXT_CONFIG.to_dict() | {"preprocessing": {"max_items": 100}})
