@@ -342,6 +342,14 @@ def test_pii_on_rows(spark):
     assert pii.find_mentions(texts(spark, []), "id", "text").count() == 0
 
 
+@pytest.mark.parametrize("text", ["12 Rue Victor Hugo", "7 av. Foch", "Kurfürstendamm 21", "Paul-Lincke-Ufer 5", "Halleschesufer 5", "Pza. Mayor 3", "Travesía Luna 4", "calle Mayor 3"])
+def test_no_gate_hides_an_address(text):
+    shapes = (pii.ADDRESS_DE, pii.ADDRESS_FR, pii.ADDRESS_ES)
+    want = {m.span() for shape in shapes for m in shape.finditer(text)}
+    assert want <= {(s, e) for s, e, kind, _ in pii.candidates(text) if kind == "address"}
+    assert want
+
+
 def test_crf_marginals_sum():
     model = pii.SemiMarkovCRF({"a": 1.0, "b": 0.5})
     p = model.marginals([(0, 3, ["a"]), (2, 5, ["b"])])

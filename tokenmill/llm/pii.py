@@ -67,9 +67,10 @@ NAME_FORMS = (
     ("initial family", re.compile(rf"([A-ZÀ-Þ])\. (?:([A-ZÀ-Þ])\. )?({WORD})(?![\w@])")),
     ("family, given", re.compile(rf"({WORD}), ({WORD}|[A-ZÀ-Þ]\.)(?![\w@])")),
 )
-SPACES_ADDRESS = ("Straße", "straße", "Strasse", "Str.", "str.", "Allee", "allee", "Gasse", "gasse", "Weg", "weg ", "Platz", "platz", "Ring", "Damm", "Ufer")
-FRENCH = (" rue ", " boulevard ", " bd ", " avenue ", " chemin ", " allée ", " place ", " quai ", " impasse ", " route ", " passage ", " cours ")
-SPANISH = ("Calle", "C/", "Avenida", "Avda", "Plaza", "Paseo", "Camino", "Ronda", "CALLE", "AVENIDA", "PLAZA", "PASEO")
+#: The words of the three patterns above; those of French and Spanish ignore case there, and are looked for in lower case.
+SPACES_ADDRESS = ("Straße", "straße", "Strasse", "strasse", "Str.", "str.", "Allee", "allee", "Gasse", "gasse", "Weg", "weg", "Platz", "platz", "Ring", "Damm", "damm", "Ufer", "ufer")
+FRENCH = (" rue ", " boulevard ", " bd ", " avenue ", " av. ", " chemin ", " allée ", " place ", " quai ", " impasse ", " cours ", " route ", " passage ")
+SPANISH = ("calle", "c/", "avenida", "avd", "plaza", "pza.", "paseo", "camino", "ronda", "travesía")
 WIDE = str.maketrans("０１２３４５６７８９＋－（）．　", "0123456789+-(). ")
 
 
@@ -193,10 +194,11 @@ def _addresses(text: str, add) -> None:
             words = re.split(r" ", m.group())
             if len(words) > 3 or (len(words) == 3 and re.match(r"\w+(?:straße|str\.|allee|gasse|weg|platz)$", words[1])):
                 add(m.start() + cut + 1, m.end(), "address", "de", "short")
-    if any(w in text for w in FRENCH) or "RUE " in text:
+    low = text.lower()
+    if any(w in low for w in FRENCH):
         for m in ADDRESS_FR.finditer(text):
             add(m.start(), m.end(), "address", "fr")
-    if any(w in text for w in SPANISH):
+    if any(w in low for w in SPANISH):
         for m in ADDRESS_ES.finditer(text):
             add(m.start(), m.end(), "address", "es")
     if "号" in text:
