@@ -1,125 +1,242 @@
-"""Personal information in free text by a semi-Markov conditional random field (problem 9)."""
+"""Personal information in free text by a semi-Markov conditional random field (problem 9).
+
+Candidate segments come from shape alone: digit groups in formats of numbers, spans around an at sign, street words
+beside a number, every run of capitalised words, and ideographs that can begin a name. No list of given names is
+looked up. What a segment is follows from features of the whole span (form, word classes, endings), of the words
+beside it and of its place in the line; their weights are fitted on the sentences of ``pii_training``. Word classes
+come from public vocabularies: whether a word has a token of its own in lower case, only capitalised, or not at all.
+"""
 
 from __future__ import annotations
 
+import base64
 import json
 import math
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenmill.llm.common import TOKENIZER_DIR
+
 KINDS = ("email", "phone", "identity", "address", "name")
 WEIGHTS = Path(__file__).with_name("pii_weights.json")
 
-# --- fixed values: words that the features look up ---------------------------------------
-GIVEN = frozenset(
-    """adam adrian agnes alan albert alejandro alexander alice amparo ana andrea anna annegret anton antoine aurélien bastien beatrix begoña bärbel
-    brigitte callum camille capucine carlos carmen catherine charles claire clara daniel david desmond detlef diego dieter dolores
-    edwin efraín elena elizabeth emma erik fabrice fatima felix fernando françois frank gaspard george gesine gonzalo greta günter hannah hans heike helen
-    henri ingrid iñigo irene isabel itziar ivan jack jacinto james jan javier jean joan john jorge josé juan julia jürgen karl kofi laura lionel louis
-    lourdes lucas maëlle marcel marco maren maria marie marisol mark martin mary mechthild michael miguel nadia nicolas noémie nuria odette olivier pablo
-    paul pedro peter phoebe pierre priya rachel renate robert rodrigo rowan ruth sarah silas simon sofia solène sophie swantje thandi thibault
-    thomas tobias torsten ulf volker wendell yusra yves élodie""".split()
-)
-FAMILY_ENDS = ("otte", "urst", "enko", "anova", "ington", "by", "iska", "wick", "ov", "hardt", "sson", "uma", "dale", "mere", "strand", "sen", "son", "ez", "mann", "ski", "sky", "escu", "berg", "stein", "field", "ton", "ley")
-FAMILY_ZH = frozenset("臧柏佟蔺荀郗宓桑简闻赵钱孙李周吴郑王冯陈褚卫蒋沈韩杨朱秦尤许吕张孔曹严魏陶姜戚谢邹喻苏潘葛范彭郎鲁韦马苗凤俞任袁柳唐罗薛雷贺倪汤滕殷毕郝邬顾孟黄穆萧尹姚邵湛汪祁毛禹狄")
-RARE_FAMILY_ZH = frozenset("臧柏佟蔺荀郗宓桑闻邹褚戚俞倪滕邬祁狄")
-GIVEN_ZH = frozenset("霁知溪舟砚岚桐疏若予临禾棠澄伟芳娜敏静丽强磊洋艳勇军杰娟涛超明霞秀兰英华慧建国文辉力健世广志义兴良海山仁波宁贵福龙元全胜学祥才发武新利清飞彬富顺信子昌成康星光天达安岩中茂进林有坚和彪博诚先敬震振壮会思群豪心邦承乐绍功松善厚庆民友裕河哲江浩亮政谦亨奇固之轮翰朗伯宏言若鸣朋斌梁栋维启克伦翔旭鹏泽晨辰士以建家致树炎德行时泰盛雄琛钧冠策腾楠榕风航弘")
-STREET_EN = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Court|Ct|Crescent|Cres|Drive|Dr|Way|Place|Pl|Terrace|Close|Square|Boulevard|Blvd"
-TITLES = frozenset("dr mr mrs ms miss prof sir herr frau monsieur madame mme mlle señor señora sr sra don doña".split())
-CUE = {
-    "email": ("mail", "contact", "write", "mailto", "cc", "forwarded", "schreib", "écrire", "escribir", "reenviado", "weitergeleitet", "邮件", "转发自", "邮箱", "<", "("),
-    "phone": ("phone", "tel", "tél", "call", "ring", "dial", "ruf", "number is", "nummer ist", "teléfono", "电话", "号码", "reach", "fax", "mobile", "telefon"),
-    "identity": ("ssn", "passport", "tax number", "identity number", "national id", "steuer-id", "kennnummer", "sécurité sociale", "identité", "dni", "documento", "nif", "身份证", "证件号", "社保", "护照"),
-    "address": ("living at", "live at", "deliver", "ship", "return", "room at", "wohne", "anschrift", "gehen an", "vivo en", "discos a", "domicile", "disques au", "meet", "letter to", "address", "住在", "地址", "寄到", "|"),
-    "name": ("by", "thanks to", "signed", "according to", "asked", "yesterday", "author", "reviewer", "name", "night shift", "deliver to", "dear", "this is", "letter to", "showed", "regards", "gestern hat", "nachtschicht", "gemeldet von", "laut", "von", "und", "grüßen", "hier", "selon", "signalé par", "équipe de nuit", "cordialement", "contact", "según", "avisó", "ayer", "turno de noche", "saludo", "de", "et", "y", "and", "联系人", "作者", "收件人", "审核人", "我叫", "找", "昨晚", "和", "出现了", "用户"),
-}
-AGAINST = ("label", "schedule", "version", "order no", "range", "commit", "job", "rows", "spans", "shape", "pinned", "section", "step", "queue", "items", "field", "port", "batch")
-_WORDS = "|".join(AGAINST)
-AGAINST_BEFORE, AGAINST_AFTER = re.compile(rf"\b(?:{_WORDS})\b[^.!?]*$"), re.compile(rf"[^.!?]{{0,14}}\b(?:{_WORDS})\b")
-JOINERS = frozenset("und and or oder et ou the der die das le la el".split())
-COMPANY = frozenset("systems labs inc ltd llc gmbh corp company group institute university foundation bank cloud software detection optimizer street road avenue lane court crescent drive st rd ave allee gasse straße".split())
-PLACE = frozenset("saint port north south east west new old upper lower quarry".split())
+# --- fixed values ------------------------------------------------------------------------------------
+#: The hundred most frequent family names of China, then the first twelve lines of the Hundred Family Surnames.
+FAMILY_ZH_COMMON = "王李张刘陈杨黄赵周吴徐孙朱马胡郭林何高梁郑罗宋谢唐韩曹许邓萧冯曾程蔡彭潘袁于董余苏叶吕魏蒋田杜丁沈姜范江傅钟卢汪戴崔任陆廖姚方金邱夏谭韦贾邹石熊孟秦阎薛侯雷白龙段郝孔邵史毛常万顾赖武康贺严尹钱施牛洪龚"
+FAMILY_ZH_CLASSIC = "赵钱孙李周吴郑王冯陈褚卫蒋沈韩杨朱秦尤许何吕施张孔曹严华金魏陶姜戚谢邹喻柏水窦章云苏潘葛奚范彭郎鲁韦昌马苗凤花方俞任袁柳酆鲍史唐费廉岑薛雷贺倪汤滕殷罗毕郝邬安常乐于时傅皮卞齐康伍余元卜顾孟平黄"
+GIVEN_ZH = "伟芳娜敏静丽强磊军洋勇艳杰娟涛明超秀霞平刚桂英华文玉红建国志海龙俊宇欣雨佳嘉思晨轩梓涵浩博"
+TITLES = "dr mr mrs ms miss prof sir herr frau m mme mlle monsieur madame señor señora sr sra don doña doktor professor".split()
+PARTICLES = "van von der den de del della di da la le du dos das bin ibn al el y"
+STREETS = {
+    "en": "street st road rd avenue ave lane ln court ct crescent cres drive dr way place pl terrace close square sq boulevard blvd parkway pkwy highway hwy row walk mews gardens grove hill circle trail alley quay wharf",
+    "de": "straße strasse str. allee gasse weg platz ring damm ufer", "fr": "rue boulevard bd avenue av. chemin allée place quai impasse cours route passage square",
+    "es": "calle c/ avenida avda. av. plaza pza. paseo camino ronda travesía carretera", "zh": "大道 路 街 巷 弄 道",
+}
+
+
+# --- word classes --------------------------------------------------------------------------------------
+class Lexicon:
+    """Classes of words by the public byte-level vocabularies of a folder.
+
+    ``common``: with a token in lower case, more frequent than the capitalised one;
+    ``either``: the capitalised one is more frequent; ``proper``: only capitalised; ``rare``: no token.
+    """
+
+    def __init__(self, folder: str):
+        tokens: set[str] = set()
+        kinds: dict[str, str] = {}
+        for name in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"):
+            ranks: dict[str, int] = {}
+            with open(f"{folder}/{name}", "rb") as f:
+                for line in f:
+                    token, rank = line.split()
+                    try:
+                        ranks[base64.b64decode(token).decode()] = int(rank)
+                    except UnicodeDecodeError:
+                        continue
+            tokens.update(ranks)
+            words = {t[1:].lower() for t in ranks if t[:1] == " " and len(t) > 2 and t[1:].isalpha() and (t.islower() or t.istitle())}
+            for w in words - kinds.keys():  # a smaller rank is a more frequent token
+                low, title = ranks.get(" " + w), ranks.get(" " + w.title())
+                kinds[w] = "proper" if low is None else "common" if title is None or low < title else "either"
+        self.kinds = kinds
+        self.han = frozenset(t for t in tokens if t and all("一" <= c <= "鿿" for c in t))
+        self.lower_words, self.title_words = sorted(w for w, k in kinds.items() if k != "proper" and len(w) > 3), sorted(w.title() for w, k in kinds.items() if k == "proper" and len(w) > 3)
+        self.all_han = "".join(chr(c) for c in range(0x4E00, 0x9FA6) if _in_gb2312(chr(c)))
+        self.rare = frozenset(chr(c) for c in range(0x4E00, 0xA000)) - self.han - frozenset(self.all_han)
+        self.zh_first = re.compile(f"[{''.join(sorted(_COMMON_ZH | self.rare))}](?=[一-鿿])|(?<=[{re.escape(''.join(sorted(ZH_OPENS)))}])[一-鿿](?=[一-鿿])")
+        self.rare_han = "".join(sorted(c for c in self.rare if _in_gb2312(c, 2)))
+
+    @lru_cache(maxsize=200_000)  # noqa: B019 - one lexicon per worker
+    def features(self, word: str) -> tuple[str, str, tuple[str, ...]]:
+        """Class, shape and endings of a word."""
+        low = word.lower()
+        parts = low.replace("’", "'").split("-")
+        of = {self.kinds.get(p, "rare") for p in parts}
+        kind = next(k for k in ("rare", "proper", "either", "common") if k in of)
+        shape = "initial" if len(word.rstrip(".")) == 1 else "upper" if word.isupper() else "title" if word[1:].islower() else "hyphen" if "-" in word and all(p[1:].islower() for p in word.split("-")) else "mixed"
+        if any(c.isdigit() or c == "_" for c in word):
+            shape = "digit"
+        ends = (f"~{low[-3:]}", f"~{low[-2:]}", f"^{low[:2]}", f"#{min(len(low), 12)}")
+        return kind, shape, ends
+
+
+def _in_gb2312(c: str, level: int = 1) -> bool:
+    """Whether a character is of the first level of the standard (in daily use) or the second."""
+    try:
+        return (0xB0 <= c.encode("gb2312")[0] <= 0xD7) == (level == 1)
+    except UnicodeEncodeError:
+        return False
+
+
+@lru_cache(maxsize=4)
+def lexicon(folder: str = TOKENIZER_DIR) -> Lexicon:
+    return Lexicon(folder)
+
 
 # --- candidate segments ----------------------------------------------------------------------
 _AT = r"(?:\s?[@＠]\s?|\s?[\[(]\s?at\s?[\])]\s?|\s+at\s+)"
 _DOT = r"(?:\.|\s?[\[(]\s?dot\s?[\])]\s?|\s+dot\s+)"
 EMAIL = re.compile(rf"(?<![A-Za-z0-9À-ÿ._%+\-])[A-Za-z0-9À-ÿ][A-Za-z0-9À-ÿ._%+\-]*{_AT}[A-Za-z0-9][A-Za-z0-9\-]*(?:{_DOT}[A-Za-z0-9\-]+)*{_DOT}[A-Za-z]{{2,}}(?![A-Za-z0-9@])", re.I)
+AT_WORD = re.compile(r"\b[Aa][Tt]\b")
 DIGITS = re.compile(r"\d(?:[ \-–./()]{0,3}\d){5,}")
-_REST = r"(?:, (?:Apt|Apartment|Unit|Flat|Suite)\.? ?\d+[A-Za-z]?)?(?:, (?:\d{4,5} )?[A-ZÀ-Þ][\w’'\-]+(?: [A-ZÀ-Þ][\w’'\-]+)?(?!\w))?"
-ADDRESS_EN = re.compile(rf"\d{{1,5}}[A-Za-z]?,? (?:[A-ZÀ-Þ][\w'’\-]*\.? ){{1,3}}(?:{STREET_EN}|{STREET_EN.upper()})\b\.?{_REST}")
-UNIT = re.compile(r"(?:Apt|Apartment|Unit|Flat|Suite|APT|UNIT|FLAT)\.? ?\d+[A-Za-z]?, $")
-ADDRESS_DE = re.compile(r"(?:[A-ZÄÖÜ][\wäöüß]*[ \-])?[A-ZÄÖÜ][\wäöüß]*(?:[ \-]?(?:Straße|Strasse|Str\.|Allee|Gasse|Weg|Platz|Ring|Damm|Ufer)|(?:straße|strasse|str\.|allee|gasse|weg|platz|damm|ufer))\s\d{1,4}(?:\s?[A-Za-z])?\b" + _REST)
-ADDRESS_FR = re.compile(r"(?<![\w\-])\d{1,4}(?:\s?(?:bis|ter))?,? (?:rue|boulevard|bd|avenue|av\.|chemin|allée|place|quai|impasse|cours|route|passage) (?:de la |de l['’]|du |des |de |d['’])?[A-ZÀ-Þ][\w'’\-]*(?:[ \-][A-ZÀ-Þ][\w'’\-]*)*" + _REST, re.I)
-ADDRESS_ES = re.compile(r"(?<!\w)(?:Calle|C/|Avenida|Avda?\.|Plaza|Pza\.|Paseo|Camino|Ronda|Travesía) ?(?:de las |de los |de la |del |de )?[A-ZÀ-Þ][\w'’\-]*(?: [A-ZÀ-Þ][\w'’\-]*)*,? (?:n\.?[º°o]\.? ?|núm\. )?\d{1,4}\b" + _REST, re.I)
-ADDRESS_ZH = re.compile(r"(?:大道|路|街|巷|弄|道)[\d０-９]+号(?:[\d０-９]+[栋幢座])?(?:[\d０-９]+室)?")
+CAP = r"[A-ZÀ-ÖØ-Þ]"
+WORD = rf"{CAP}(?:[\w'’]*\w)?(?:-{CAP}[\w'’]*)*"
+_TOWN = rf"(?:, (?:\d{{4,5}} )?{CAP}[\w’'\-]+(?: {CAP}[\w’'\-]+)?(?!\w))"
+_UNIT = r"(?:Apt|Apartment|Unit|Flat|Suite)\.? ?\d+[A-Za-z]?"
+_REST = rf"(?:, {_UNIT})?{_TOWN}?"
+
+
+def _either(lang: str, title: bool = False) -> str:
+    words = sorted(STREETS[lang].split(), key=len, reverse=True)
+    words = [w.title() for w in words] + [w.upper() for w in words] if title else words
+    return "|".join(re.escape(w) for w in words)
+
+
+ADDRESS_EN = re.compile(rf"\d{{1,5}}[A-Za-z]?,? (?:{CAP}[\w'’\-]*\.? ){{1,3}}(?:{_either('en', True)})\b\.?{_REST}")
+ADDRESS_EN_BARE = re.compile(rf"\d{{1,5}}[A-Za-z]? {CAP}[\w'’\-]+{_TOWN}")
+UNIT = re.compile(rf"{_UNIT}, $", re.I)
+ADDRESS_DE = re.compile(rf"(?<!\w)(?:{CAP}[\wß]*[ \-])?{CAP}[\wß]*(?:[ \-]?(?i:{_either('de')}))\s\d{{1,4}}(?:\s?[A-Za-z])?\b{_REST}")
+DE_WORD = re.compile(_either("de"), re.I)  # of one word only
+DE_WORDS, ES_WORDS = STREETS["de"].split(), STREETS["es"].split()
+FR_WORDS = [f" {w} " for w in STREETS["fr"].split()]
+ADDRESS_FR = re.compile(rf"(?<![\w\-])\d{{1,4}}(?:\s?(?:bis|ter))?,? (?:{_either('fr')}) (?:de la |de l['’]|du |des |de |d['’])?{CAP}[\w'’\-]*(?:[ \-]{CAP}[\w'’\-]*)*{_REST}", re.I)
+ADDRESS_ES = re.compile(rf"(?<!\w)(?:{_either('es')}) ?(?:de las |de los |de la |del |de )?{CAP}[\w'’\-]*(?: (?:de |del |de la |de los )?{CAP}[\w'’\-]*)*,? (?:n\.?[º°o]\.? ?|núm\. )?\d{{1,4}}\b{_REST}", re.I)
+ADDRESS_ZH = re.compile(rf"(?:{_either('zh')})[\d０-９]+号(?:[\d０-９]+[栋幢座])?(?:[\d０-９]+室)?")
 CITY_ZH = re.compile(r"[一-鿿]{2}市$|[一-鿿]{3}市$")
-WORD = r"[A-ZÀ-ÖØ-Þ](?:[\w'’]*\w)?(?:-[A-ZÀ-ÖØ-Þ][\w'’]*)*"
-CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ][\w'’\-]*")
-INITIAL = re.compile(r"[A-ZÀ-Þ]\. [A-ZÀ-Þ]")
+#: Where a run can begin: a capital with another, an initial or a particle behind its word.
+CAPITAL = re.compile(rf"{CAP}(?=[\w'’\-]*\.?,? ?(?:{CAP}|{PARTICLES} ))")
 NAME_FORMS = (
-    ("given family", re.compile(rf"({WORD}) (?:([A-ZÀ-Þ])\. )?({WORD})(?![\w@])")),
-    ("initial family", re.compile(rf"([A-ZÀ-Þ])\. (?:([A-ZÀ-Þ])\. )?({WORD})(?![\w@])")),
-    ("family, given", re.compile(rf"({WORD}), ({WORD}|[A-ZÀ-Þ]\.)(?![\w@])")),
+    ("two", re.compile(rf"({WORD}) ({WORD})(?![\w@])")),
+    ("middle", re.compile(rf"({WORD}) (?:{CAP}\. ){{1,2}}({WORD})(?![\w@])")),
+    ("initial", re.compile(rf"({CAP})\.(?:[ -]?{CAP}\.)? ?({WORD})(?![\w@])")),
+    ("comma", re.compile(rf"({WORD}), ({WORD})(?![\w@])")),
+    ("comma initial", re.compile(rf"({WORD}), ({CAP})\.(?![\w@])")),
+    ("three", re.compile(rf"({WORD}) {WORD} ({WORD})(?![\w@])")),
+    ("particle", re.compile(rf"({WORD}|{CAP}\.) {PARTICLES} ({WORD})(?![\w@])")),
 )
-#: The words of the three patterns above; those of French and Spanish ignore case there, and are looked for in lower case.
-SPACES_ADDRESS = ("Straße", "straße", "Strasse", "strasse", "Str.", "str.", "Allee", "allee", "Gasse", "gasse", "Weg", "weg", "Platz", "platz", "Ring", "Damm", "damm", "Ufer", "ufer")
-FRENCH = (" rue ", " boulevard ", " bd ", " avenue ", " av. ", " chemin ", " allée ", " place ", " quai ", " impasse ", " cours ", " route ", " passage ")
-SPANISH = ("calle", "c/", "avenida", "avd", "plaza", "pza.", "paseo", "camino", "ronda", "travesía")
 WIDE = str.maketrans("０１２３４５６７８９＋－（）．　", "0123456789+-(). ")
+LATIN = re.compile(r"[^\W\d_一-鿿]+")
+LAST_WORDS = re.compile(r"[^\W\d_一-鿿]+(?=[\W\d_]|$)")
+LAST_WORD, NEXT_WORD = re.compile(r"([^\W\d_一-鿿]+)[ .:]{0,2}$"), re.compile(r" ?([^\W\d_一-鿿]+)")
+
 
+def _han(c: str) -> bool:
+    return "一" <= c <= "鿿"
 
-def _is_given(word: str) -> bool:
-    return word.lower() in GIVEN
 
+def _sign(c: str) -> str:
+    """The kind of a character beside a segment."""
+    return "end" if not c else "han" if _han(c) else "0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else "_" if c == " " else "/" if c == "\n" else c
 
-def _is_family(word: str) -> bool:
-    last = word.lower().rsplit("-", 1)[-1]
-    return len(last) > 4 and last.endswith(FAMILY_ENDS) and last not in GIVEN
 
+def _ahead(text: str, start: int, kind: str) -> list[str]:
+    """Features of what stands before a segment.
 
-def _cues(text: str, start: int, end: int, kind: str) -> list[str]:
-    before, after = text[max(0, start - 34) : start].lower(), text[end : end + 30].lower()
-    near = re.split(r"[.!?。！？\n]", before)[-1] if kind not in ("name", "phone") else before
-    out = []
-    stem = near.rstrip(" :：,，\"'\n")
-    for cue in CUE[kind]:
-        if cue in near and (len(cue) > 3 or not cue.isascii() or re.search(rf"(?:^|\W){re.escape(cue)}(?:\W|$)", near)):
-            out.append(f"{kind}:cue")
-            break
-    if stem.endswith(CUE[kind]):
-        out.append(f"{kind}:cue beside")
-    if AGAINST_BEFORE.search(before) or AGAINST_AFTER.match(after):
-        out.append(f"{kind}:against")
-    if before.endswith((";", "; ", "| ", "|", "\": \"", "\":\"", ": ")):
+    Numbers and addresses look at the words of the line; names at the word
+    beside them only, so that what a sentence is about tells them nothing.
+    """
+    before = text[max(0, start - 60) : start]
+    line = before.rsplit("\n", 1)[-1]
+    stem = line.rstrip(" \"'«“|>*`")
+    end = stem[-1:]
+    out = [f"{kind}:pre{_sign(before[-1:])}"]
+    if end in (":", "：", "="):
+        out.append(f"{kind}:key")
+    if not stem or stem in ("-", "#", "user:"):
+        out.append(f"{kind}:first")
+    elif end in (";", "|", ",", "，", "、"):
         out.append(f"{kind}:field")
+    bare = line.rstrip(" .:")
+    if kind == "name":
+        word = bare.rsplit(" ", 1)[-1].lstrip("(\"'«“>*`") if len(line) - len(bare) < 3 else ""
+        if word.isalpha() and not _han(word[-1]):
+            out += (f"name:-1={word.lower()}", f"name:-1{'upper' if word[0].isupper() else 'lower'}")
+        else:
+            out.append("name:-1none")
+    else:
+        words = LATIN.findall(line.lower())[-6:]
+        out += {f"{kind}:bag={w}" for w in words}
+        if words:
+            out.append(f"{kind}:-1={words[-1]}")
+        if len(words) > 1:
+            out.append(f"{kind}:-2={words[-2]}")
+    near = stem.rstrip(":：（( ")
+    if near and _han(near[-1]):
+        out += (f"{kind}:h1={near[-1]}", f"{kind}:h2={near[-2:]}")
+        if kind != "name":
+            out += {f"{kind}:hb={near[i : i + 2]}" for i in range(max(0, len(near) - 8), len(near) - 1)}
     return out
 
 
-def candidates(text: str) -> list[tuple[int, int, str, list[str]]]:
+def _behind(text: str, end: int, kind: str) -> list[str]:
+    """Features of what stands after a segment."""
+    after = text[end : end + 30]
+    rest = after.split("\n", 1)[0]
+    out = [f"{kind}:post{_sign(after[:1])}"]
+    if not rest.strip(" .!?,;。，"):
+        out.append(f"{kind}:last")
+    if after and _han(after[0]):
+        out += (f"{kind}:n1={after[0]}", f"{kind}:n2={after[:2]}")
+    elif kind == "name":
+        more = NEXT_WORD.match(rest)
+        out += (f"name:+1={more.group(1).lower()}", f"name:+1{'upper' if more.group(1)[0].isupper() else 'lower'}") if more else ("name:+1none",)
+    else:
+        more = LATIN.findall(rest.lower())[:3]
+        out += {f"{kind}:then={w}" for w in more}
+        if more:
+            out.append(f"{kind}:+1={more[0]}")
+    return out
+
+
+def candidates(text: str, lex: Lexicon | None = None) -> list[tuple[int, int, str, list[str]]]:
     """Segments that could be a mention: start, end, kind, features. Overlaps are left to the model."""
+    lex = lex or lexicon()
     out: list[tuple[int, int, str, list[str]]] = []
 
     def add(start: int, end: int, kind: str, *features: str) -> None:
-        out.append((start, end, kind, [f"{kind}:bias", *(f"{kind}:{f}" for f in features), *_cues(text, start, end, kind)]))
+        out.append((start, end, kind, [f"{kind}:bias", *[f"{kind}:{f}" for f in features], *_ahead(text, start, kind), *_behind(text, end, kind)]))
 
-    low = text.lower()
-    if "@" in low or "＠" in low or "at)" in low or "at]" in low or (" at " in low and ("dot" in low or ".example" in low)):
+    if "@" in text or "＠" in text or AT_WORD.search(text):
         for m in EMAIL.finditer(text):
             s = m.group()
             bare = re.search(r"\sat\s", s, re.I) is not None
-            hidden = "dot" in s.lower() and re.search(r"[\[(\s]dot", s, re.I) is not None
-            domain = re.split(r"@|＠|at", s, flags=re.I)[-1]
+            hidden = re.search(r"[\[(\s]dot[\])\s]", s, re.I) is not None
+            domain = re.split(r"@|＠|\bat\b", s, flags=re.I)[-1]
             add(m.start(), m.end(), "email", *(["number in domain"] if re.search(r"\d", domain) else []), "bare at" if bare else "sign", *(["bare at, plain dot"] if bare and not hidden else []))
     for m in DIGITS.finditer(text):
         _numbers(text, m.start(), m.end(), add)
     _addresses(text, add)
-    _names(text, add)
+    _names(text, lex, out)
+    _names_zh(text, lex, out)
     return out
 
 
@@ -128,8 +245,9 @@ PHONE_SHAPES = (
     ("bracket", re.compile(r"(?:1 ?)?\(\d{2,5}\)[ \-]?\d[\d \-]{4,}")),
     ("3-3-4", re.compile(r"(?:1[ \-.])?[2-9]\d{2}([ \-.])\d{3}\1\d{4}")),
     ("ten digits", re.compile(r"[2-9]\d{2}[2-9]\d{6}")),
-    ("0", re.compile(r"00?[1-9]\d{0,4}([ \-./])?\d[\d \-./]{4,}")),
-    ("900", re.compile(r"[6-9]\d{2} \d{2} \d{2} \d{2}")),
+    ("00", re.compile(r"00[1-9]\d{0,2}([ \-./])?\d[\d \-./]{4,}")),
+    ("0", re.compile(r"0[1-9]\d{0,4}([ \-./])?\d[\d \-./]{4,}")),
+    ("900", re.compile(r"[6-9]\d{2} \d{2} \d{2} \d{2}|\d{2} \d{3} \d{2} \d{2}|[6-9]\d{2} \d{3} \d{3}")),
     ("nine", re.compile(r"[6-9]\d{8}")),
     ("zh mobile", re.compile(r"1[3-9]\d[ \-]?\d{4}[ \-]?\d{4}")),
     ("zh land", re.compile(r"0\d{2,3}[ \-]?\d{7,8}")),
@@ -138,20 +256,25 @@ ID_SHAPES = (
     ("3-2-4", re.compile(r"\d{3}([ \-–])\d{2}\1\d{4}")),
     ("nine digits", re.compile(r"\d{9}")),
     ("two letters, six, letter", re.compile(r"[A-Za-z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Da-d]")),
-    ("two letters, seven", re.compile(r"[A-Za-z]{2} ?\d{7}")),
+    ("two letters, more", re.compile(r"[A-Za-z]{2} ?\d{6,7}")),
+    ("letter, more", re.compile(r"[A-Za-z]\d{7,8}")),
+    ("three letters, six", re.compile(r"[A-Za-z]{3}\d{6}")),
     ("eleven", re.compile(r"\d{11}|\d{2} \d{3} \d{3} \d{3}")),
-    ("fifteen", re.compile(r"\d ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3} ?\d{2}")),
-    ("eight, letter", re.compile(r"\d{8}[ \-]?[A-Za-z]")),
+    ("fifteen", re.compile(r"\d ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3}(?: ?\d{2})?")),
+    ("digits, letter", re.compile(r"\d{8}[ \-]?[A-Za-z]")),
+    ("ten, letter", re.compile(r"\d{10}[A-Za-z]")),
+    ("letter, digits, letter", re.compile(r"[A-Za-z]\d{7}[A-Za-z]")),
+    ("two, letters, five", re.compile(r"\d{2}[A-Za-z]{2}\d{5}")),
     ("eighteen", re.compile(r"\d{17}[\dXx]")),
 )
 
 
-PAIR = re.compile(r"(?<![A-Za-z0-9À-ÿ])[A-Za-z]{2}[ \-]?$")
-TAIL = re.compile(r"[ \-–]?[A-Za-z](?![A-Za-z])")
+PAIR = re.compile(r"(?<![A-Za-z0-9À-ÿ])(?:\d{2})?[A-Za-z]{1,3}[ \-]?$")
+TAIL = re.compile(r"[ \-–]?[A-Za-z](?![A-Za-z0-9])")
 
 
 def _numbers(text: str, start: int, end: int, add) -> None:
-    lead = PAIR.search(text[max(0, start - 4) : start])
+    lead = PAIR.search(text[max(0, start - 7) : start])
     before = text[start - 1 : start]
     if not lead and before and (before in "@_" or (before.isascii() and before.isalnum()) or (before == "." and text[start - 2 : start - 1].isdigit())):
         return
@@ -165,40 +288,41 @@ def _numbers(text: str, start: int, end: int, add) -> None:
             s = text[lo:hi].translate(WIDE)
             for name, shape in ID_SHAPES:
                 if shape.fullmatch(s):
-                    between = text[max(0, lo - 3) : lo].rstrip(" ").endswith((";", "|")) and text[hi : hi + 2].lstrip(" ")[:1] in (";", "|")
-                    add(lo, hi, "identity", name, *(["between fields"] if between and name == "nine digits" else []))
+                    add(lo, hi, "identity", name, *(["upper"] if s.upper() == s else []))
+                    break
     lo = start
     while lo and text[lo - 1] in "+(＋（" and start - lo < 2:
         lo -= 1
     s = text[lo:end].translate(WIDE)
     if s.startswith("(") and ")" not in s:
         lo, s = start, text[start:end].translate(WIDE)
-    if 7 <= sum(c.isdigit() for c in s) <= 14:
+    if 7 <= sum(c.isdigit() for c in s) <= 15:
         for name, shape in PHONE_SHAPES:
             if shape.fullmatch(s):
-                add(lo, end, "phone", name)
+                add(lo, end, "phone", name, f"{sum(c.isdigit() for c in s)} digits", "parted" if re.search(r"\d[ \-./()]+\d", s) else "whole")
                 break
 
 
 def _addresses(text: str, add) -> None:
-    for m in ADDRESS_EN.finditer(text):
-        at = m.start()
-        if at and (text[at - 1].isalnum() and text[at - 1] < "一" or text[at - 1] in "-@."):
-            continue
-        unit = UNIT.search(text[max(0, at - 20) : at])
-        add(at - len(unit.group()) if unit else at, m.end(), "address", "en", *(["unit"] if unit else []))
-    if any(w in text for w in SPACES_ADDRESS):
+    for lang, shape in (("en", ADDRESS_EN), ("en bare", ADDRESS_EN_BARE)):
+        for m in shape.finditer(text):
+            at = m.start()
+            if at and (text[at - 1].isalnum() and text[at - 1] < "一" or text[at - 1] in "-@."):
+                continue
+            unit = UNIT.search(text[max(0, at - 20) : at])
+            add(at - len(unit.group()) if unit else at, m.end(), "address", lang, *(["unit"] if unit else []))
+    low = text.lower()
+    if any(w in low for w in DE_WORDS):
         for m in ADDRESS_DE.finditer(text):
             cut = m.group().find(" ")
-            add(m.start(), m.end(), "address", "de")
-            words = re.split(r" ", m.group())
-            if len(words) > 3 or (len(words) == 3 and re.match(r"\w+(?:straße|str\.|allee|gasse|weg|platz)$", words[1])):
-                add(m.start() + cut + 1, m.end(), "address", "de", "short")
-    low = text.lower()
-    if any(w in low for w in FRENCH):
+            words = m.group().split(" ")
+            add(m.start(), m.end(), "address", "de", f"{len(words)} words", f"lead={words[0].lower()}", f"de {'joined' if DE_WORD.search(words[0]) else 'apart'}")
+            if len(words) > 3 or (len(words) == 3 and len(words[1]) > 6 and DE_WORD.search(words[1])):
+                add(m.start() + cut + 1, m.end(), "address", "de", "short", f"behind={words[0].lower()}")
+    if any(w in low for w in FR_WORDS):
         for m in ADDRESS_FR.finditer(text):
             add(m.start(), m.end(), "address", "fr")
-    if any(w in low for w in SPANISH):
+    if any(w in low for w in ES_WORDS):
         for m in ADDRESS_ES.finditer(text):
             add(m.start(), m.end(), "address", "es")
     if "号" in text:
@@ -206,7 +330,7 @@ def _addresses(text: str, add) -> None:
             at = m.start()
             for k in range(1, 5):
                 street = text[at - k : at] if at >= k else ""
-                if not street or not all("一" <= c <= "鿿" for c in street):
+                if not street or not all(map(_han, street)):
                     break
                 rest = text[max(0, at - k - 4) : at - k]
                 city = CITY_ZH.search(rest)
@@ -215,100 +339,81 @@ def _addresses(text: str, add) -> None:
                 add(at - k, m.end(), "address", "zh", f"zh street {k}", *(["zh city before"] if city else []))
                 if city:
                     for c in (2, 3):
-                        if len(rest) > c and rest[-1] == "市" and all("一" <= x <= "鿿" for x in rest[-1 - c : -1]):
+                        if len(rest) > c and rest[-1] == "市" and all(map(_han, rest[-1 - c : -1])):
                             add(at - k - c - 1, m.end(), "address", "zh", "zh city", f"zh city {c}", f"zh street {k}")
 
 
-def _names(text: str, add) -> None:
-    seen: set[tuple[int, int]] = set()
-    initials = INITIAL.search(text) is not None
-    for m in CAPITAL.finditer(text) if initials or any(map(_FLAGS.__getitem__, set(CAPITAL.findall(text)))) else ():
-        word = m.group()
-        if not (_FLAGS[word] or (initials and len(word) == 1 and text[m.end() : m.end() + 2] == ". ")):
+def _names(text: str, lex: Lexicon, out: list) -> None:
+    """Every run of two or three capitalised words, with initials, a comma or particles between them."""
+    for m in CAPITAL.finditer(text):
+        before = text[m.start() - 1 : m.start()]
+        if before and (before in "@_+-'’" or (before.isalnum() and not _han(before)) or (before == "." and text[m.start() - 2 : m.start() - 1].isalnum())):
             continue
-        if m.start() and (text[m.start() - 1] in "@.+-_" or (text[m.start() - 1].isalnum() and text[m.start() - 1] < "一")) and text[m.start() - 2 : m.start()] not in (". ", ".."):
-            if text[m.start() - 1] != "." or "@" in text[m.start() : m.end() + 20]:
+        for form, shape in NAME_FORMS:
+            n = shape.match(text, m.start())
+            if not n:
                 continue
-        # an anchor: forms that begin here, or one word (and an initial) before
-        starts = {m.start()}
-        before = re.search(rf"(?:({WORD}),? (?:[A-ZÀ-Þ]\. )?|[A-ZÀ-Þ]\. (?:[A-ZÀ-Þ]\. )?)$", text[max(0, m.start() - 40) : m.start()])
-        if before:
-            starts.add(max(0, m.start() - 40) + before.start())
-        for at in starts:
-            if at and (text[at - 1].isalnum() or text[at - 1] in "@_-.+") and not "一" <= text[at - 1] <= "鿿":
-                if text[at - 1] != ".":
-                    continue
-            for form, shape in NAME_FORMS:
-                n = shape.match(text, at)
-                if not n or (at, n.end()) in seen:
-                    continue
-                seen.add((at, n.end()))
-                _name(text, n, form, add)
-    for m in ZH_NAME.finditer(text):
+            a, b = n.group(1).rstrip("."), n.group(2)
+            ka, sa, ea = lex.features(a)
+            kb, sb, eb = lex.features(b)
+            if "digit" in (sa, sb) or (sb == "initial" and form != "comma initial"):
+                continue
+            before = LAST_WORDS.findall(text[max(0, n.start() - 24) : n.start()].rsplit("\n", 1)[-1])[-1:]
+            after = re.match(rf" ({WORD})", text[n.end() : n.end() + 30])
+            features = [form, f"{ka}+{kb}", f"{form}:{ka}+{kb}", f"{sa}+{sb}", f"1{ka}", f"2{kb}", *[f"1{x}" for x in ea], *[f"2{x}" for x in eb], f"1={a.lower()}" if ka == "common" else "1other", f"2={b.lower()}" if kb == "common" else "2other"]
+            if before and before[0].lower() in TITLES:
+                features.append("title")
+            if before and before[0][0].isupper() and before[0].lower() not in TITLES and text[n.start() - 1 : n.start()] == " ":
+                features += ["capital before", f"capital before {lex.features(before[0])[0]}"]
+            if after:
+                features += ["capital after", f"capital after {lex.features(after.group(1))[0]}"]
+            if a.lower() in TITLES:
+                features.append("begins with title")
+            if b.lower() in STREET_WORDS:
+                features.append("street word")
+            if text[n.start() - 2 : n.start() - 1].isdigit():
+                features.append("number before")
+            beside = [*_ahead(text, n.start(), "name"), *_behind(text, n.end(), "name")]
+            side = "".join(x[5:] for x in beside if x[:7] in ("name:-1", "name:+1") and "=" not in x)
+            out.append((n.start(), n.end(), "name", ["name:bias", *[f"name:{x}" for x in features], *beside, f"name:{ka}+{kb}{side}", f"name:{form}{side}"]))
+
+
+STREET_WORDS = frozenset(STREETS["en"].split())
+
+
+def _names_zh(text: str, lex: Lexicon, out: list) -> None:
+    """Two or three ideographs behind a frequent family name, a rare ideograph, or a sign or word that opens a field."""
+    for m in lex.zh_first.finditer(text):
         at = m.start()
-        if m.group() not in RARE_FAMILY_ZH and text[at - 1 : at] not in ZH_BEFORE:
+        c, before = m.group(), text[at - 1 : at]
+        kind = "common" if c in _COMMON_ZH else "rare" if c in lex.rare else "other" if before in ZH_OPENS else ""
+        if not kind:
             continue
+        first = ["name:bias", "name:zh", f"name:zh {kind}", f"name:zf={c}" if kind == "common" else "name:zf", *_ahead(text, at, "name")]
+        if text[at : at + 2] in lex.han:
+            first.append("name:zh pair is a word")
+        if before + c in lex.han:
+            first.append("name:zh runs on from a word")
         for k in (2, 3):
-            s = text[at : at + k]
-            if len(s) == k and all("一" <= c <= "鿿" for c in s):
-                given = sum(c in GIVEN_ZH for c in s[1:])
-                after = text[at + k : at + k + 1]
-                add(at, at + k, "name", "zh", f"zh {k}", "zh rare" if s[0] in RARE_FAMILY_ZH else "zh common",
-                    "zh given" if given == k - 1 else "zh not given", *(["zh given goes on"] if after in GIVEN_ZH and after else []),
-                    *(["zh end"] if not after or not "一" <= after <= "鿿" or after in "的即已一和，住" else []))
-
-
-ZH_NAME = re.compile(f"[{''.join(sorted(FAMILY_ZH))}]")
-ZH_BEFORE = frozenset("：人叫找晚和了户")
-
-
-class _Flags(dict):
-    """Whether a capitalised word can anchor a name."""
-
-    def __missing__(self, word: str) -> bool:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = out = len(word) > 1 and (_is_given(word) or _is_family(word))
-        return out
+            given, after = text[at + 1 : at + k], text[at + k : at + k + 1]
+            if len(given) < k - 1 or not _han(given[-1]):
+                break
+            rare = sum(x in lex.rare for x in given)
+            features = first + [f"name:zh {k}", f"name:zg{sum(x in GIVEN_ZH for x in given)} of {k - 1}", f"name:zr{rare} of {k - 1}", *[f"name:zc={x}" for x in given], *_behind(text, at + k, "name")]
+            if k == 3 and given in lex.han:
+                features.append("name:zh given is a word")
+            if given[-1] + after in lex.han:
+                features.append("name:zh runs into a word")
+            if not _han(before or "a") and not _han(after or "a"):
+                features.append("name:zh whole")
+            if after and (after in GIVEN_ZH or after in lex.rare):
+                features.append("name:zh next given")
+            out.append((at, at + k, "name", features))
 
 
-_FLAGS = _Flags()
-
-
-def _name(text: str, n: re.Match, form: str, add) -> None:
-    first, last = n.group(1), n.group(3) if form != "family, given" else n.group(2).rstrip(".")
-    family, given = (last, first) if form != "family, given" else (first, last)
-    if len(family) < 2 or first.lower() in TITLES or {first.lower(), last.lower()} & JOINERS:
-        return
-    features = [form]
-    if form == "given family":
-        if _is_family(first) and _is_given(last):
-            features = ["family given"]
-            family, given = first, last
-    if _is_given(given):
-        features.append("known given")
-    elif len(given) == 1:
-        features.append("initial")
-    else:
-        features.append("unknown given")
-    if _is_family(family):
-        features.append("family end")
-    else:
-        features.append("unknown family")
-        if family.lower() in GIVEN:
-            features.append("given as family")
-    if {first.lower(), last.lower()} & COMPANY:
-        features.append("company")
-    if {first.lower(), last.lower()} & PLACE:
-        features.append("place")
-    nxt = re.match(r" ([A-ZÀ-Þ][\w'’\-]*)", text[n.end() : n.end() + 30])
-    if nxt:
-        features.append("capital after")
-        if nxt.group(1).lower() in COMPANY:
-            features.append("company after")
-    if re.match(r"[^.!?]*\d", text[max(0, n.start() - 6) : n.start()]):
-        features.append("number before")
-    add(n.start(), n.end(), "name", *features)
+_COMMON_ZH = frozenset(FAMILY_ZH_COMMON + FAMILY_ZH_CLASSIC)
+#: Words of grammar that stand before names, signs, and the last signs of words for people.
+ZH_OPENS = frozenset("由和与跟给找让叫被请及同是人员者户长师友生：、；|:（(")
 
 
 # --- the model -------------------------------------------------------------------------------
@@ -319,8 +424,8 @@ class SemiMarkovCRF:
     the ends of candidate segments only and is exact for the whole text.
     """
 
-    def __init__(self, weights: dict[str, float]):
-        self.weights = weights
+    def __init__(self, weights: dict[str, float], lex: Lexicon | None = None):
+        self.weights, self.lex = weights, lex or lexicon()
 
     @classmethod
     def load(cls, path: str | Path = WEIGHTS) -> SemiMarkovCRF:
@@ -331,7 +436,7 @@ class SemiMarkovCRF:
         return sum(w.get(f, 0.0) for f in features)
 
     def decode(self, text: str) -> list[tuple[int, int, str]]:
-        found = candidates(text)
+        found = candidates(text, self.lex)
         if not found:
             return []
         segments = sorted((end, start, kind, self.score(f)) for start, end, kind, f in found)
@@ -370,10 +475,15 @@ class SemiMarkovCRF:
         return [math.exp(min(0.0, fwd[place[s]] + scores[i] + bwd[place[e]] - fwd[-1])) for i, (s, e, _) in enumerate(segments)]
 
 
-def fit(examples: list[tuple[str, list[tuple[int, str]]]], epochs: int = 12, rate: float = 0.4, decay: float = 2e-4) -> SemiMarkovCRF:
+OF_HAN = ("name:z", "name:h1=", "name:h2=", "name:n1=", "name:n2=")
+
+
+def fit(examples: list[tuple[str, list[tuple[int, str]]]], epochs: int = 10, rate: float = 0.3, decay: float = 0.1, name_decay: float = 2e-3, least: int = 12, name_least: int = 120) -> SemiMarkovCRF:
     """Conditional likelihood by AdaGrad. An example is a text and its (start, kind) mentions.
 
     Of several candidates with the same start and kind the longest is the true one.
+    Features of fewer than ``least`` examples get no weight (``name_least`` for names in letters, so that rare words of
+    the sentences and single names weigh nothing).
     """
     data = []
     for text, gold in examples:
@@ -386,6 +496,8 @@ def fit(examples: list[tuple[str, list[tuple[int, str]]]], epochs: int = 12, rat
             if same:
                 true.add(max(same, key=lambda i: found[i][1]))
         data.append(([(s, e, f) for s, e, _, f in found], true))
+    seen = Counter(x for segments, _ in data for x in {x for _, _, f in segments for x in f})
+    data = [([(s, e, [x for x in f if seen[x] >= (name_least if x.startswith("name:") and not x.startswith(OF_HAN) else least)]) for s, e, f in segments], true) for segments, true in data]
     weights: dict[str, float] = {}
     squares: dict[str, float] = {}
     model = SemiMarkovCRF(weights)
@@ -397,7 +509,7 @@ def fit(examples: list[tuple[str, list[tuple[int, str]]]], epochs: int = 12, rat
                     for x in f:
                         grad[x] = grad.get(x, 0.0) + d
             for x, g in grad.items():
-                g -= decay * weights.get(x, 0.0)
+                g -= (name_decay if x.startswith("name:") else decay) * weights.get(x, 0.0)
                 squares[x] = squares.get(x, 1e-6) + g * g
                 weights[x] = weights.get(x, 0.0) + rate * g / math.sqrt(squares[x])
     return model
@@ -408,7 +520,7 @@ def find_mentions(df: DataFrame, id_col: str, text_col: str, weights: dict[str,
 
     One narrow stage over whole texts. Null and empty texts have none; a text
     repeated under other ids has its mentions under each. Only the two columns
-    are read.
+    are read. The vocabularies of the word classes must lie in ``TOKENIZER_DIR`` on every executor.
     """
     weights = weights or SemiMarkovCRF.load().weights
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
