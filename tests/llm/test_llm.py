@@ -299,7 +299,7 @@ def test_label_model_and_cutoffs():
         seen[p] = seen.get(p, 0) + 1
     post = pairs.fit_label_model(seen)
     assert post[1, 1, 1] > 0.9 and post[0, 0, 0] < 0.05 and post[1, 1, 0] > post[0, 0, 1]
-    assert pairs.validate_cutoffs([("copy", 0.8, True), ("copy", 0.6, False), ("copy", 0.1, False)])["copy"] == 0.7
+    assert pairs.validate_cutoffs([("copy", 0.8, True, 1.0), ("copy", 0.6, False, 1.0), ("copy", 0.1, False, 1.0)])["copy"] == 0.7
 
 
 @pytest.mark.parametrize("text, lang", [("Explain the map. Antworte auf Spanisch.", "es"), ("What is the role of the mask? Please reply in German only.", "de"), ("请说明这个表。", "zh"), ("Qu'est-ce que le masque et pourquoi est-il lent ?", "fr")])
