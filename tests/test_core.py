@@ -1,4 +1,5 @@
 import json
+import math
 import random
 
 import pytest
@@ -148,6 +149,29 @@ def test_epochs_reset(spark):
     assert [r.epoch for r in scans.shard_epochs(rows, "i", "n", 10, "floor").orderBy("i").collect()] == [0, 0, 1, 1, 1, 2, 3]
 
 
+@pytest.mark.parametrize("bucket, kept", [(7, 10**6), (7, 0), (10**6, 10**6)])
+def test_epochs_over_ranges_equal_a_running_total(spark, bucket, kept):
+    r = random.Random(bucket + kept)
+    rows = [(r.randint(-(2**62), 2**62), r.choice([None, 0, 1, 5, 40, 300])) for _ in range(120)]
+    total, epoch, want = 0, 0, {}
+    for i, n in sorted(rows):
+        want[i], total = epoch, total + (n or 0)
+        if total >= 100:
+            total, epoch = 0, epoch + 1
+    got = {x.i: x.epoch for x in scans.shard_epochs(spark.createDataFrame(rows, "i long, n int"), "i", "n", 100, bucket=bucket, kept=kept).collect()}
+    assert got == want
+    assert scans.shard_epochs(spark.createDataFrame([], "i long, n int"), "i", "n", 100).count() == 0
+
+
+def test_prefix_sum_over_sparse_order(spark):
+    r = random.Random(4)
+    rows = [(r.randint(-(2**62), 2**62), r.randint(0, 9)) for _ in range(300)]
+    run, want = 0, {}
+    for i, n in sorted(rows):
+        want[i], run = run, run + n
+    assert {x.i: x.offset for x in scans.prefix_sum(spark.createDataFrame(rows, "i long, n int"), "i", "n", bucket=20).collect()} == want
+
+
 def test_positions(spark):
     df = spark.createDataFrame([([0, 1, 2, 0, 1, 0],)], "p array<int>")
     assert df.select(scans.document_ids(F.col("p")).alias("d")).first().d == [0, 0, 0, 1, 1, 2]
@@ -159,11 +183,17 @@ def test_sampler_is_seeded_and_resumes(spark):
     df = spark.range(0, 23)
     order = lambda **k: [r.id for r in scans.sampler(df, "id", **k).orderBy("step").collect()]
     a = order(seed=1)
-    assert sorted(a) == list(range(23)) and a == order(seed=1) and a != order(seed=2) and a != order(seed=1, epoch=1)
-    assert order(seed=1, resume=5) == a[5:]
+    assert sorted(a) == list(range(23)) and a == order(seed=1) and a != order(seed=2) and order(seed=2) == order(seed=1, epoch=1)
+    assert order(seed=1, resume=5) == a[5:] and order(seed=1, resume=28) == a[5:] and order(seed=1, shuffle=False) == list(range(23))
     parts = [order(seed=1, replicas=4, rank=r) for r in range(4)]
     assert [len(p) for p in parts] == [6] * 4 and [parts[i % 4][i // 4] for i in range(23)] == a and parts[3][5] == a[0]
+    # a resumed replica gives the rest of the same epoch, padding included
+    assert [order(seed=1, replicas=4, rank=r, resume=2) for r in range(4)] == [p[2:] for p in parts]
     assert [len(order(seed=1, replicas=4, rank=r, drop_last=True)) for r in range(4)] == [5] * 4
+    assert [len([x for x in scans.sampler(spark.range(1), "id", 1, replicas=4, rank=r).collect()]) for r in range(4)] == [1, 1, 0, 0]
+    assert scans.sampler(spark.range(0), "id", 1).count() == 0 and scans.sampler(spark.range(3), "id", 1, replicas=4, drop_last=True).count() == 0
+    assert (scans.sampler_length(23, 4), scans.sampler_length(23, 4, 2), scans.sampler_length(23, 4, 8), scans.sampler_length(0)) == (6, 4, 4, 0)
+    assert scans.sampler_next(23, 3, 2, 4) == (4, 0)
     assert scans.split_validation(df, "id", 0.001, 1).filter("is_validation").count() == 1
 
 
@@ -203,34 +233,115 @@ def test_trim_pair_and_stop(spark):
 @pytest.mark.parametrize(
     "name, kwargs, good, bad",
     [
-        ("detectable_content:postscript", {"postscript_marker": "P.S."}, "x\nP.S. y", "x"),
-        ("detectable_format:multiple_sections", {"section_spliter": "Section", "num_sections": 2}, "Section 1 a Section 2 b", "Section 1 a"),
+        ("keywords:existence", {"keywords": ["a.b", "ÄH"]}, "äh A.B", "äh aXb"),
+        ("keywords:frequency", {"keyword": "the"}, "Other", "no"),
+        ("keywords:frequency", {"keyword": "the", "frequency": 2, "relation": "less than"}, "the", "the the"),
+        ("keywords:frequency", {"keyword": "a", "relation": None}, "a", "b"),
+        ("keywords:forbidden_words", {"forbidden_words": ["cat"]}, "category", "a Cat."),
+        ("keywords:forbidden_words", {"forbidden_words": ["self-aware", "don't"]}, "selfaware dont", "it is Self-Aware now"),
+        ("keywords:forbidden_words", {"forbidden_words": ["c++"]}, "I like c++ a lot", "I like c++x"),
+        ("keywords:letter_frequency", {"letter": "E"}, "see", "ooo"),
+        ("keywords:letter_frequency", {"letter": "e", "let_frequency": 3, "let_relation": "less than"}, "see", "seee"),
+        ("detectable_content:number_placeholders", {}, "[]", "[a\nb]"),
+        ("detectable_content:number_placeholders", {"num_placeholders": 2}, "[a] [[b]", "[a [b]"),
+        ("detectable_content:postscript", {}, "so it is, p. s. or not", "x"),
+        ("detectable_content:postscript", {"postscript_marker": "P.P.S"}, "a p.\np. s", "P.S."),
+        ("detectable_content:postscript", {"postscript_marker": "N.B."}, "see n.b. here", "nxbx"),
+        ("detectable_format:number_bullet_lists", {"num_bullets": 3}, "-one\n  *two\n- three", "- one\n**two**\n- three"),
+        ("detectable_format:number_bullet_lists", {}, "a\n\n - b", "a"),
         ("detectable_format:number_highlighted_sections", {"num_highlights": 2}, "*a* and *b*", "*a* and * *"),
-        ("detectable_format:number_highlighted_words", {"num_highlights": 1}, "**a**", "a"),
-        ("detectable_format:json_format", {}, '```json\n{"a": 1}\n```', "{a"),
+        ("detectable_format:number_highlighted_sections", {}, "*a*", "**"),
+        ("detectable_format:multiple_sections", {"section_spliter": "Part.", "num_sections": 2}, "Part.1 a Part. 2 b", "PartX 1 Part. 2"),
+        ("detectable_format:multiple_sections", {}, "Section 1", "Section one"),
+        ("detectable_format:title", {}, "<<a>>", "<<<  >>"),
+        ("detectable_format:json_format", {}, '```JSON\n{"a": 1}\n```', "{a"),
+        ("detectable_format:json_format", {}, " [1, null] ", "```json```"),
+        ("detectable_format:general_punctuation", {"punctuation_blacklist": [";", "!"]}, "a.", "a!"),
+        ("detectable_format:number_highlighted_words", {}, "*bold words*", "*a*"),
+        ("startend:end_checker", {"end_phrase": " The End "}, 'so, the END"  \n', "the end."),
+        ("startend:quotation", {}, '\n"a" ', 'a"'),
+        ("startend:quotation", {}, '"', "'"),
+        ("startend:start_checker", {"starter": "If"}, "x\n \t\nIf so", "if so"),
+        ("change_case:english_capital", {}, "A1", "Aa"),
+        ("change_case:english_lowercase", {}, "a1", "12"),
+        ("change_case:capital_word_frequency", {}, "AB c", "Ab"),
+        ("change_case:capital_word_frequency", {"capital_frequency": 1, "capital_relation": "less than"}, "ABc", "AB"),
+        ("punctuation:no_comma", {}, "a", "a,"),
+        ("length_constraints:number_words", {}, "w " * 100, "w " * 99),
+        ("length_constraints:number_words", {"num_words": 2, "relation": "less than"}, "it_is", "it's"),
+        ("length_constraints:number_sentences", {}, "A. B! C? D. E.", "A. B.C. D. E"),
         ("length_constraints:number_sentences", {"num_sentences": 2, "relation": "less than"}, "One.", "One. Two! Three?"),
-        ("length_constraints:nth_paragraph_first_word", {"num_paragraphs": 2, "nth_paragraph": 2, "first_word": "so"}, "a\n\nSo it", "a\n\nNo"),
-        ("length_constraints:nth_word_checker", {"n": 2, "word": "two"}, "one Two", "one"),
-        ("combination:two_responses", {}, "a ****** b", "a ****** a"),
-        ("keywords:forbidden_words", {"forbidden_words": ["cat"]}, "category", "a Cat."),
+        ("length_constraints:number_paragraphs", {"num_paragraphs": 2}, "a\n\n\nb", "a\n \nb"),
+        ("length_constraints:number_paragraphs", {"num_paragraphs": 2}, "a***b*** ", "a\n\nb***"),
+        ("length_constraints:nth_paragraph_first_word", {"num_paragraphs": 2, "nth_paragraph": 2, "first_word": "So"}, 'a\n\n "so," it', "a\n\nNo"),
+        ("length_constraints:nth_paragraph_first_word", {"first_word": "x"}, "X y", "x\n\ny"),
+        ("length_constraints:nth_word_checker", {"nth_word": 2, "target_word": "Two"}, "one two", "one"),
+        ("combination:repeat_prompt", {"prompt_to_repeat": " Say it "}, " say IT again", "it say"),
+        ("combination:two_responses", {}, "a ****** b ******", "a ****** a"),
     ],
 )
 def test_checks(spark, name, kwargs, good, bad):
+    """Expected values are those of the survey's definitions, with arguments as JSON and as literals."""
     for t, want in ((good, True), (bad, False)):
         assert one(spark, checks.verdict(F.lit(name), F.col("t"), F.lit(json.dumps(kwargs))), t=t) is want
+        assert one(spark, checks.holds(name, F.col("t"), kwargs), t=t) is want
     assert len(checks.CHECKS.list_registered()) == 27
 
 
-def test_unknown_check_is_null_and_missing_argument_false(spark):
+def test_unknown_check_is_null_and_missing_or_null_argument_false(spark):
     assert one(spark, checks.verdict(F.lit("no:such"), F.col("t"), F.lit("{}")), t="x") is None
-    assert one(spark, checks.verdict(F.lit("keywords:existence"), F.col("t"), F.lit("{}")), t="x") is False
+    for name, kwargs in (("keywords:existence", "{}"), ("keywords:frequency", '{"keyword": "x", "frequency": null}'), ("length_constraints:number_words", '{"num_words": null}')):
+        assert one(spark, checks.verdict(F.lit(name), F.col("t"), F.lit(kwargs)), t="x") is False
 
 
 def test_instruction_report(spark):
-    rows = spark.createDataFrame([(1, 0, "a,", ["punctuation:no_comma", "odd:one"], ["{}", "{}"]), (1, 1, "a", ["punctuation:no_comma", "odd:one"], ["{}", "{}"])], "key long, sample int, response string, instruction_id_list array<string>, kwargs array<string>")
+    ids = ["punctuation:no_comma", "odd:one", "change_case:english_capital"]
+    rows = spark.createDataFrame([(1, 0, "a,", ids, ["{}", "{}"]), (1, 1, "a", ids, ["{}", "{}"]), (2, 0, "a", ["odd:one"], [])], "key long, sample int, response string, instruction_id_list array<string>, kwargs array<string>")
     r = checks.instruction_report(rows)
-    assert r["by_problem"].first().ok is True
-    assert {x.instruction: (x.pass_rate, x.unsupported) for x in r["by_type"].collect()} == {"punctuation:no_comma": (1.0, 0), "odd:one": (None, 1)}
+    assert {x.key: tuple(x)[1:] for x in r["by_problem"].collect()} == {1: (3, 2, 1, 0.5), 2: (1, 0, 0, None)}
+    assert {x.instruction: tuple(x)[1:] for x in r["by_type"].collect()} == {"punctuation:no_comma": (1, 1, 1.0), "change_case:english_capital": (1, 0, 0.0)}
+    assert tuple(r["summary"].first()) == (2, 2, 1, 0.5, 2)
+
+
+def test_choice_prompts(spark):
+    rows = spark.createDataFrame([(1, "Q1 ?", "law", "B"), (2, None, "law", "C"), (3, "Q3", None, "A")], "id long, question string, subject string, answer string")
+    c = [F.lit(x) for x in ("w", "x", None, "z")]
+    rows = rows.withColumn("p", metrics.choice_prompt(F.col("question"), c, F.col("subject")))
+    got = {r.id: r for r in metrics.few_shot_chat(rows, rows, "id", "subject", "p", "answer", 1).collect()}
+    first = "The following are multiple choice questions (with answers) about law.\n\nQuestion: Q1 ?\nA. w\nB. x\nC. \nD. z\nAnswer:"
+    assert got[1].p == first
+    assert got[1].chat == f"<|im_start|>user\n{first}<|im_end|>\n<|im_start|>assistant\nB<|im_end|>\n<|im_start|>user\n{first}<|im_end|>\n<|im_start|>assistant\n"
+    assert got[3].chat.startswith("<|im_start|>user\nThe following") and got[3].chat.count("im_start") == 2
+    assert metrics.few_shot_chat(rows, rows, "id", "subject", "p", "answer", 0).filter("chat like '%B<|im_end|>%'").count() == 0
+    texts, letter = metrics.permuted_choices(F.col("id"), [F.lit(x) for x in "wxyz"], F.col("answer"), 5)
+    for r in spark.range(0, 40).withColumn("answer", F.lit("B")).select(F.array(*texts).alias("t"), letter.alias("a")).collect():
+        assert sorted(r.t) == list("wxyz") and r.t["ABCD".index(r.a)] == "x"
+
+
+@pytest.mark.parametrize(
+    "code, want",
+    [
+        ("x = 1\ndef f(a):\n\n    b = a  \n\n    return b\nprint(f)", "    b = a\n\n    return b"),
+        ("def f(a):\nreturn 1", None), ("def g(a):\n    pass", "def g(a):\n    pass"), ("def f(a):", None), ("def f(a) -> int:\n\tpass\n\n", "\tpass\n\n"),
+    ],
+)
+def test_function_body(spark, code, want):
+    assert one(spark, metrics.function_body(F.col("t"), F.lit("f")), t=code) == want
+
+
+def test_left_overflow(spark):
+    df = spark.createDataFrame([([1, 2, 3, 4], [9])], "c array<int>, x array<int>")
+    ids, n = metrics.left_overflow(F.col("c"), F.col("x"), 3)
+    assert df.select(ids.alias("i"), n.alias("n")).first() == ([3, 4, 9], 2)
+    assert df.select(metrics.choice_score(F.array(F.lit(-1.0), F.lit(-2.0)), F.lit(2), F.lit(2)).alias("s")).first().s == -2.0
+
+
+def test_grpo_loss_by_hand(spark):
+    rows = spark.createDataFrame([(-1.0, -1.0, -2.0, 1.0, 1), (-1.0, -1.0, -2.0, 5.0, 0)], "p double, o double, r double, a double, m int")
+    loss = numerics.grpo_token_loss(F.col("p"), F.col("o"), F.col("r"), F.col("a"), kl=1.0)
+    got = rows.agg(numerics.token_mean(loss, F.col("m")).alias("x")).first().x
+    assert abs(got - (-1.0 + math.exp(-1) + 1 - 1)) < 1e-6  # r = e^-1: r - ln r - 1
+    assert rows.limit(0).agg(numerics.token_mean(loss, F.col("m")).alias("x")).first().x == 0.0
 
 
 # --- numerics
@@ -297,22 +408,34 @@ def test_prepare_and_views(spark):
 
 
 # --- serving
-CALL = 'Look: {"name": "find", "arguments": {"q": "a}\\"b", "n": [1, 2]}} and {"x": 1} {"name": "go", "arguments": {}}'
+CALL = 'Look: {"name": "find", "arguments": {"q": "a}\\"b", "n": [1, 2]}} and {"x": {"y": 1}} {"name": "go", "arguments": {}}'
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        (CALL, [("find", '"q": "a}\\"b", "n": [1, 2]', True), ("go", "", True)]),
+        ('{"name": "f", "arguments": [1]} {"name": "g", "arguments": "s"} {"name": "h", "arguments": null}', [("f", "[1]", True), ("g", "s", True), ("h", "", True)]),
+        ('{"name": "f", "parameters": {"a": 1}}', [("f", "", True)]),
+        ('{"name": 3} {"x": {"name": "inner"}} {bad}', [("inner", "", False)]), ('{"name": 3} {bad}', []),
+        ('{"name": "find", "arguments": {"q": "a', [("find", '"q": "a', False)]),
+        ('{"name": "find", "arguments": {"q": 1}', [("find", '"q": 1', False)]),
+        ('{"name": "f", "arguments": {"a": 1}} {"name": "g", "arg', [("f", '"a": 1', True), ("g", "", False)]),
+        ('{"nam', []), ("no call", []), ("", []), (None, []), ("[{]}", []), ('{"name": "f", "arguments": true}', [("f", "True", True)]),
+    ],
+)
+def test_tool_calls(text, want):
+    assert [(c["name"], c["arguments"], c["complete"]) for c in toolcalls.find_calls(text)] == want
 
 
 def test_tool_calls_whole_and_token_by_token(spark):
-    calls = toolcalls.find_calls(CALL)
-    assert [(c["name"], json.loads(c["arguments"]), c["complete"]) for c in calls] == [("find", {"q": 'a}"b', "n": [1, 2]}, True), ("go", {}, True)]
-    assert toolcalls.content_before(CALL, calls) == "Look:"
-    partial = toolcalls.find_calls('{"name": "find", "arguments": {"q": "a')
-    assert partial[0]["complete"] is False and partial[0]["arguments"] == '{"q": "a'
     state, events = {}, []
     for ch in CALL:
         events += decode.tool_step(state, ch)
     assert [e["text"] for e in events if e["type"] == "name"] == ["find", "go"]
-    joined = "".join(e["text"] for e in events if e["type"] == "arguments" and e["index"] == 0)
-    assert json.loads(joined) == {"q": 'a}"b', "n": [1, 2]}
-    assert "".join(e["text"] for e in events if e["type"] == "content").strip() == "Look:"
+    assert "".join(e["text"] for e in events if e["type"] == "arguments" and e["index"] == 0) == '"q": "a}\\"b", "n": [1, 2]'
+    assert toolcalls.parse_complete(CALL) == {"content": "Look:", "tool_calls": [("find", '"q": "a}\\"b", "n": [1, 2]'), ("go", "")]}
+    assert toolcalls.parse_complete('{"name": "f"') is None and toolcalls.parse_complete('{"name": "f"}')["content"] is None
     df = spark.createDataFrame([(CALL,), (None,), ("",)], "t string")
     assert [len(r.tool_calls) for r in toolcalls.parse_tool_calls(df, "t").collect()] == [2, 0, 0]
 
@@ -362,10 +485,8 @@ def test_corpus_queries_lose_no_text(spark, tmp_path):
     rows = [(1, "ab c" * 2500, "web"), (2, "x" * 100, "web"), (3, "y" * 2049, None), (4, "short", "web"), (5, None, "web")]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     bins = queries.corpus_prepare(spark, str(tmp_path)).collect()
-    assert all(x.n <= 8192 for x in bins)
-    of = lambda domain: sum(x.n for x in bins if x.domain == domain)
-    assert (of("web"), of("__default__")) == (10100, 2049)
-    whole = {x.domain: (x.docs, x.tokens) for x in queries.corpus_build_whole(spark, str(tmp_path)).collect()}
+    assert {(x.domain, x.tokens, x.documents, x.within) for x in bins} == {("web", 10100, 2, True), ("__default__", 2049, 1, True)}
+    whole = {x.domain: (x.docs, x.tokens) for x in queries.corpus_build_counts(spark, str(tmp_path)).collect()}
     assert whole == {"web": (2, 10100), "__default__": (1, 2049)}
 
 
@@ -395,7 +516,7 @@ def test_grpo_takes_every_rollout(spark, tmp_path):
     say = lambda *c: [("user", "hi"), *(("assistant", x) for x in c)]
     rows = [(1, say("ab", "c", "defg")), (2, say("x")), (2, say("x")), (3, say()), (4, []), (5, None)]
     spark.createDataFrame(rows, "rollout_id long, messages array<struct<role string, content string>>").write.parquet(f"{tmp_path}/rollout.parquet")
-    (x,) = queries.grpo_collate_all(spark, str(tmp_path)).collect()
+    (x,) = queries.grpo_collate(spark, str(tmp_path)).collect()
     assert (x.rows, x.width, x.group_size, x.longest, x.filled, x.trained) == (3, 2, 3, 4, 4, 8)
 
 
@@ -404,10 +525,10 @@ def test_every_page_is_hashed_and_cached(spark, tmp_path):
     rows = [(1, a + b + c[:5], "2024-01-01"), (1, a + b + c[:5], "2024-03-01"), (2, a + b + c, "2024-02-01"), (3, a + c + b, "2024-02-02"), (4, a[:15], "2024-02-03"), (5, c + a, "2024-02-01")]
     spark.createDataFrame(rows, "record_id long, sequence array<int>, t string").selectExpr("record_id", "sequence", "timestamp(t) as built_at").write.parquet(f"{tmp_path}/single_output_mask_builder.parquet")
     fold = lambda ids: str(sum(x * 31 ** (len(ids) - 1 - i) for i, x in enumerate(ids)) % 2**64)
-    got = {(x.record_id, x.page): x.hash for x in queries.page_hashes_all(spark, str(tmp_path)).collect()}
+    got = {(x.record_id, x.page): x.hash for x in queries.page_hashes(spark, str(tmp_path)).collect()}
     full = {1: [a, b], 2: [a, b, c], 3: [a, c, b], 5: [c, a]}
     assert got == {(i, k): fold(ids) for i, own in full.items() for k, ids in enumerate(own)}
-    cached = {x.record_id: x.cached_pages for x in queries.prefix_cache_earlier(spark, str(tmp_path)).collect()}
+    cached = {x.record_id: x.cached_pages for x in queries.prefix_cache(spark, str(tmp_path)).collect()}
     assert cached == {1: 0, 2: 2, 3: 3, 4: 0, 5: 0}
 
 

@@ -1,145 +1,162 @@
-"""Instruction-following checks: a registry of predicates over (response, keyword arguments).
+"""Instruction-following checks: a registry of predicates over (response, arguments).
 
-Arguments come as JSON text; ``arg`` reads one. An unknown check is null, a missing
-argument false.
+Arguments are JSON texts of a column, or a dict known on the driver (then they are literals of the plan). A check
+whose argument is missing or of another type is false; an unknown check is null. White space is what Unicode calls so.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.functions.text import sentence_count, word_count
+from tokenmill.functions.text import WORD, WS, quoted, strip
 from tokenmill.registry import Registry
 
 CHECKS = Registry()
 check = CHECKS.register
-WORD_EDGE = r"[\p{L}\p{N}_]"
+LINES = "(?md)"  # only a line feed ends a line
 
 
-def arg(kwargs: Column, name: str, kind: str = "string") -> Column:
-    value = F.get_json_object(kwargs, f"$.{name}")
-    return F.from_json(value, "array<string>") if kind == "array" else value.cast(kind) if kind != "string" else value
+class Args:
+    """Arguments by name; a default stands in where the name is absent, not where its value is null."""
 
+    def __init__(self, source: Column | dict):
+        self.source = source
 
-def compare(count: Column, n: Column, relation: Column) -> Column:
-    return F.when(F.coalesce(relation, F.lit("at least")) == "less than", count < n).otherwise(count >= n)
+    def get(self, name: str, kind: str = "string", default=None) -> Column:
+        spark_type = "array<string>" if kind == "array" else kind
+        empty = F.lit(default).cast(spark_type) if not isinstance(default, list) else F.array(*map(F.lit, default)).cast(spark_type)
+        if isinstance(self.source, dict):
+            if name not in self.source:
+                return empty
+            value = self.source[name]
+            return F.array(*map(F.lit, value)).cast(spark_type) if isinstance(value, list) else F.lit(value).cast(spark_type)
+        raw = F.get_json_object(self.source, f"$.{name}")
+        value = F.from_json(raw, spark_type) if kind == "array" else raw.try_cast(spark_type)
+        return value if default is None else F.when(F.array_contains(F.json_object_keys(self.source), name), value).otherwise(empty)
 
 
-def occurrences(text: Column, part: Column) -> Column:
-    """Occurrences that don't overlap."""
-    return F.when(F.length(part) > 0, ((F.length(text) - F.length(F.replace(text, part, F.lit("")))) / F.length(part)).cast("int")).otherwise(F.lit(0))
+def found(text: Column, pattern: str | Column) -> Column:
+    return F.regexp_count(text, F.lit(pattern) if isinstance(pattern, str) else pattern)
 
 
-def count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
+def filled(parts: Column) -> Column:
+    return F.filter(parts, lambda p: strip(p) != "")
 
 
-def nonblank_parts(text: Column, pattern: str) -> Column:
-    return F.filter(F.split(text, pattern), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")) != "")
+def at_python_index(items: Column, nth: Column) -> Column:
+    """Item number ``nth`` from 1; 0 and less count from the end, as an index below zero would."""
+    return F.try_element_at(items, F.when(nth >= 1, nth).otherwise(nth - 1))
+
+
+def at_least(number: Column, k: Args, name: str, default: int, relation: str) -> Column:
+    bound = k.get(name, "int", default)
+    return F.when(k.get(relation, default="at least").eqNullSafe("less than"), number < bound).otherwise(number >= bound)
 
 
 @check("keywords:existence")
 def _(r, k):
-    return F.forall(arg(k, "keywords", "array"), lambda w: F.contains(F.lower(r), F.lower(w)))
+    return F.forall(k.get("keywords", "array"), lambda w: F.regexp_like(r, F.concat(F.lit("(?iu)"), quoted(w))))
 
 
 @check("keywords:frequency")
 def _(r, k):
-    return compare(occurrences(F.lower(r), F.lower(arg(k, "keyword"))), arg(k, "frequency", "int"), arg(k, "relation"))
+    return at_least(found(r, F.concat(F.lit("(?iu)"), quoted(k.get("keyword")))), k, "frequency", 1, "relation")
 
 
 @check("keywords:forbidden_words")
 def _(r, k):
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(r), r"[^\p{L}\p{N}_]+", " "), F.lit(" "))
-    return F.forall(arg(k, "forbidden_words", "array"), lambda w: ~F.contains(padded, F.concat(F.lit(" "), F.lower(w), F.lit(" "))))
+    edge = lambda w, behind: F.when(w.rlike(rf"{WORD}\z" if behind else f"^{WORD}"), f"(?{'' if behind else '<'}!{WORD})").otherwise(f"(?{'' if behind else '<'}={WORD})")
+    return ~F.exists(k.get("forbidden_words", "array"), lambda w: F.regexp_like(r, F.concat(F.lit("(?iu)"), edge(w, False), quoted(w), edge(w, True))))
 
 
 @check("keywords:letter_frequency")
 def _(r, k):
-    return compare(occurrences(F.lower(r), F.lower(arg(k, "letter"))), arg(k, "let_frequency", "int"), arg(k, "let_relation"))
+    text, letter = F.lower(r), F.lower(k.get("letter"))
+    times = F.when(letter == "", F.length(text) + 1).otherwise((F.length(text) - F.length(F.replace(text, letter, F.lit("")))) / F.length(letter))
+    return at_least(times, k, "let_frequency", 1, "let_relation")
 
 
 @check("detectable_content:number_placeholders")
 def _(r, k):
-    return count(r, r"\[[^\[\]]*\]") >= arg(k, "num_placeholders", "int")
+    return found(r, r"\[[^\n]*?\]") >= k.get("num_placeholders", "int", 1)
 
 
 @check("detectable_content:postscript")
 def _(r, k):
-    marker = F.coalesce(arg(k, "postscript_marker"), F.lit("P.S."))
-    return F.when(marker == "P.P.S", r.rlike(r"(?im)^\s*p\.\s?p\.\s?s")).when(marker == "P.S.", r.rlike(r"(?im)^\s*p\.\s?s\.")).otherwise(F.contains(F.lower(r), F.lower(marker)))
+    marker, low = k.get("postscript_marker", default="P.S."), F.lower(r)
+    return F.when(marker == "P.P.S", low.rlike(rf"p\.{WS}?p\.{WS}?s")).when(marker == "P.S.", low.rlike(rf"p\.{WS}?s\.")).otherwise(F.contains(low, F.lower(marker)))
 
 
 @check("detectable_format:number_bullet_lists")
 def _(r, k):
-    return count(r, r"(?m)^\s*[*-]\s+\S") == arg(k, "num_bullets", "int")
+    return found(r, rf"{LINES}^{WS}*\*[^*].*$") + found(r, rf"{LINES}^{WS}*-.*$") == k.get("num_bullets", "int", 1)
 
 
 @check("detectable_format:number_highlighted_sections")
 def _(r, k):
-    found = F.regexp_extract_all(r, F.lit(r"\*([^\n*]*)\*"), F.lit(1))
-    return F.size(F.filter(found, lambda x: F.trim(x) != "")) >= arg(k, "num_highlights", "int")
+    return F.size(filled(F.regexp_extract_all(r, F.lit(r"\*([^\n*]+)\*"), F.lit(1)))) >= k.get("num_highlights", "int", 1)
 
 
 @check("detectable_format:multiple_sections")
 def _(r, k):
-    marker = F.coalesce(arg(k, "section_spliter"), F.lit("Section"))
-    return F.size(F.filter(F.call_function("split", r, F.concat(F.lit(r"\s?"), marker, F.lit(r"\s?\d+\s?"))), lambda x: x.isNotNull())) - 1 >= arg(k, "num_sections", "int")
+    return found(r, F.concat(F.lit(f"{WS}?"), quoted(k.get("section_spliter", default="Section")), F.lit(rf"{WS}?\p{{Nd}}+{WS}?"))) >= k.get("num_sections", "int", 1)
 
 
 @check("detectable_format:title")
 def _(r, k):
-    return F.exists(F.regexp_extract_all(r, F.lit(r"<<([^\n]+?)>>"), F.lit(1)), lambda x: F.trim(x) != "")
+    return F.exists(F.regexp_extract_all(r, F.lit(r"<<([^>\n]+)>>"), F.lit(1)), lambda t: strip(strip(t, "<")) != "")
 
 
 @check("detectable_format:json_format")
 def _(r, k):
-    bare = F.regexp_replace(F.trim(r), r"(?i)^```(?:json)?\s*|\s*```$", "")
-    return F.try_parse_json(bare).isNotNull()
+    bare = F.regexp_replace(strip(r), rf"(?i)^(?:```json{WS}*){{0,3}}(?:```{WS}*)?", "")
+    return F.try_parse_json(strip(F.regexp_replace(bare, r"```\z", ""))).isNotNull()
 
 
 @check("detectable_format:general_punctuation")
 def _(r, k):
-    return ~F.exists(F.coalesce(arg(k, "blacklist", "array"), F.array().cast("array<string>")), lambda p: F.contains(r, p))
+    return ~F.exists(k.get("punctuation_blacklist", "array", []), lambda p: F.contains(r, p))
 
 
 @check("detectable_format:number_highlighted_words")
 def _(r, k):
-    return count(r, r"\*\*[^*\n]+\*\*") >= arg(k, "num_highlights", "int")
+    edge = WS.replace("[", "[^*", 1)
+    return found(r, rf"\*{edge}[^*]*{edge}\*") >= k.get("num_highlights", "int", 1)
 
 
 @check("startend:end_checker")
 def _(r, k):
-    return F.endswith(F.lower(F.btrim(F.trim(r), F.lit("\""))), F.lower(F.trim(arg(k, "end_phrase"))))
+    closed = F.regexp_replace(strip(r), rf'"+{WS}*\z', "")
+    return F.endswith(F.lower(F.regexp_replace(closed, rf"{WS}+\z", "")), F.lower(strip(k.get("end_phrase"))))
 
 
 @check("startend:quotation")
 def _(r, k):
-    t = F.trim(r)
-    return (F.length(t) > 1) & F.startswith(t, F.lit("\"")) & F.endswith(t, F.lit("\""))
+    t = strip(r)
+    return F.startswith(t, F.lit('"')) & F.endswith(t, F.lit('"'))
 
 
 @check("startend:start_checker")
 def _(r, k):
-    return F.exists(F.split(r, "\n"), lambda line: F.startswith(F.lower(F.ltrim(line)), F.lower(F.trim(arg(k, "starter")))))
+    return F.regexp_like(r, F.concat(F.lit(f"{LINES}^{WS}*"), quoted(k.get("starter"))))
 
 
 @check("change_case:english_capital")
 def _(r, k):
-    return (r == F.upper(r)) & (r != F.lower(r))
+    return r.rlike(r"\p{IsUppercase}") & ~r.rlike(r"[\p{IsLowercase}\p{Lt}]")
 
 
 @check("change_case:english_lowercase")
 def _(r, k):
-    return (r == F.lower(r)) & (r != F.upper(r))
+    return r.rlike(r"\p{IsLowercase}") & ~r.rlike(r"[\p{IsUppercase}\p{Lt}]")
 
 
 @check("change_case:capital_word_frequency")
 def _(r, k):
-    return compare(count(r, r"\b[A-Z]{2,}\b"), arg(k, "capital_frequency", "int"), arg(k, "capital_relation"))
+    return at_least(found(r, rf"(?<!{WORD})[A-Z]{{2,}}(?!{WORD})"), k, "capital_frequency", 1, "capital_relation")
 
 
 @check("punctuation:no_comma")
@@ -149,66 +166,82 @@ def _(r, k):
 
 @check("length_constraints:number_words")
 def _(r, k):
-    return compare(word_count(r), arg(k, "num_words", "int"), arg(k, "relation"))
+    return at_least(found(r, f"{WORD}+"), k, "num_words", 100, "relation")
 
 
 @check("length_constraints:number_sentences")
 def _(r, k):
-    return compare(sentence_count(r), arg(k, "num_sentences", "int"), arg(k, "relation"))
-
-
-def paragraphs(r: Column) -> Column:
-    return F.when(F.contains(r, F.lit("***")), nonblank_parts(r, r"\*\*\*")).otherwise(nonblank_parts(r, r"\n\s*\n"))
+    return at_least(F.size(filled(F.split(strip(r), rf"(?<=[.!?]){WS}+"))), k, "num_sentences", 5, "relation")
 
 
 @check("length_constraints:number_paragraphs")
 def _(r, k):
-    return F.size(paragraphs(r)) == arg(k, "num_paragraphs", "int")
+    parts = F.when(F.contains(r, F.lit("***")), F.split(r, rf"{WS}?\*\*\*{WS}?")).otherwise(F.split(r, r"\n\n+"))
+    return F.size(filled(parts)) == k.get("num_paragraphs", "int", 1)
 
 
 @check("length_constraints:nth_paragraph_first_word")
 def _(r, k):
-    parts, n = nonblank_parts(r, r"\n\s*\n"), arg(k, "nth_paragraph", "int")
-    first = F.lower(F.regexp_extract(F.try_element_at(parts, n), r"^\W*([\p{L}\p{N}_'-]+)", 1))
-    return (F.size(parts) == arg(k, "num_paragraphs", "int")) & (first == F.lower(arg(k, "first_word")))
+    parts = filled(F.split(r, r"\n\n+"))
+    word = F.regexp_extract(at_python_index(parts, k.get("nth_paragraph", "int", 1)), rf"(?d)^{WS}*([^\s\x1c-\x1f\x85\p{{Z}}]+)", 1)
+    bare = F.regexp_replace(F.regexp_replace(word, r"^['\"]+", ""), r"[.,!?:;\"']+\z", "")
+    return (F.size(parts) == k.get("num_paragraphs", "int", 1)) & (F.lower(bare) == F.lower(k.get("first_word", default="")))
 
 
 @check("length_constraints:nth_word_checker")
 def _(r, k):
-    return F.lower(F.try_element_at(F.regexp_extract_all(r, F.lit(rf"({WORD_EDGE}+)"), F.lit(1)), arg(k, "n", "int"))) == F.lower(arg(k, "word"))
+    words = F.regexp_extract_all(r, F.lit(f"({WORD}+)"), F.lit(1))
+    return F.lower(at_python_index(words, k.get("nth_word", "int", 1))) == F.lower(k.get("target_word", default=""))
 
 
 @check("combination:repeat_prompt")
 def _(r, k):
-    return F.startswith(F.lower(F.trim(r)), F.lower(F.trim(arg(k, "prompt_to_repeat"))))
+    return F.startswith(F.lower(strip(r)), F.lower(strip(k.get("prompt_to_repeat"))))
 
 
 @check("combination:two_responses")
 def _(r, k):
-    parts = nonblank_parts(r, r"\*{6}")
-    return (F.size(parts) == 2) & (F.trim(F.try_element_at(parts, F.lit(1))) != F.trim(F.try_element_at(parts, F.lit(2))))
+    parts = filled(F.split(r, r"\*{6}"))
+    return (F.size(parts) == 2) & (strip(F.try_element_at(parts, F.lit(1))) != strip(F.try_element_at(parts, F.lit(2))))
+
+
+def holds(check_id: str, response: Column, kwargs: Column | dict) -> Column:
+    """Whether one check holds; false for a null response or a missing argument."""
+    return F.coalesce(CHECKS.get(check_id)(response, Args(kwargs)), F.lit(False))
 
 
 def verdict(check_id: Column, response: Column, kwargs: Column) -> Column:
     """One expression over all registered checks: null for an unknown id."""
     out = None
     for name in CHECKS.list_registered():
-        one = F.coalesce(CHECKS.get(name)(response, kwargs), F.lit(False))
+        one = holds(name, response, kwargs)
         out = F.when(check_id == name, one) if out is None else out.when(check_id == name, one)
     return out
 
 
+def pass_counts(df: DataFrame, response: str, asked: list[tuple[str, dict]]) -> DataFrame:
+    """``check_id``, ``kwargs``, ``n``, ``passed`` of the same checks on every response: one pass, no copies of rows."""
+    counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(holds(name, F.col(response), kwargs)).alias(f"c{i}") for i, (name, kwargs) in enumerate(asked)])
+    rows = F.array(*[F.struct(F.lit(name).alias("check_id"), F.lit(json.dumps(kwargs)).alias("kwargs"), F.col("n"), F.col(f"c{i}").alias("passed")) for i, (name, kwargs) in enumerate(asked)])
+    return counts.select(F.inline(rows))
+
+
 def instruction_report(df: DataFrame, response: str = "response") -> dict[str, DataFrame]:
-    """df: key, sample, response, instruction_id_list, kwargs (JSON texts of one length).
+    """df: key, sample, response, instruction_id_list, kwargs (JSON texts; those missing at the end are empty).
 
-    ``by_problem``: all supported instructions of any sample pass (best of n); ``by_type``: pass rate and
-    unsupported count per instruction; rates to 4 places.
+    An instruction is passed if any sample passes it (best of n). ``by_problem``: constraints, verified (supported)
+    ones, passed ones, and accuracy, the passed share of the verified ones, null where none is; ``by_type``: total,
+    passed, accuracy of each supported instruction; ``summary``: totals over all. Accuracies to 4 places.
     """
-    each = df.select("key", "sample", response, F.explode(F.arrays_zip("instruction_id_list", "kwargs")).alias("i"))
-    each = each.select("key", "sample", F.col("i.instruction_id_list").alias("instruction"), verdict(F.col("i.instruction_id_list"), F.col(response), F.col("i.kwargs")).alias("ok"))
-    best = each.groupBy("key", "instruction").agg(F.bool_or("ok").alias("ok"))
-    sample = each.filter("ok is not null").groupBy("key", "sample").agg(F.bool_and("ok").alias("ok"))
-    by_type = best.groupBy("instruction").agg(
-        F.round(F.avg(F.col("ok").cast("double")), 4).alias("pass_rate"), F.count("ok").alias("supported"), F.count_if(F.col("ok").isNull()).alias("unsupported")
-    )
-    return {"by_problem": sample.groupBy("key").agg(F.bool_or("ok").alias("ok")), "by_type": by_type}
+    at = F.posexplode("instruction_id_list").alias("place", "instruction")
+    each = df.select("key", "sample", response, "kwargs", at).withColumn("k", F.coalesce(F.get("kwargs", F.col("place")), F.lit("{}")))
+    each = each.select("key", "place", "instruction", verdict(F.col("instruction"), F.col(response), F.col("k")).alias("ok"))
+    best = each.groupBy("key", "place", "instruction").agg(F.bool_or("ok").alias("ok"), F.lit(1).alias("one"))
+    share = F.round(F.count_if("ok") / F.nullif(F.count("ok"), F.lit(0)), 4)
+    by_problem = best.groupBy("key").agg(F.count(F.lit(1)).alias("constraints"), F.count("ok").alias("verified"), F.count_if("ok").alias("passed"), share.alias("accuracy"))
+    by_type = best.filter("ok is not null").groupBy("instruction").agg(F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("passed"), share.alias("accuracy"))
+    summary = best.agg(
+        F.countDistinct("key").alias("problems"), F.count("ok").alias("verified"), F.count_if("ok").alias("passed"), F.coalesce(share, F.lit(0.0)).alias("accuracy"),
+        F.count_if(F.col("ok").isNull()).alias("unsupported"),
+    )
+    return {"by_problem": by_problem, "by_type": by_type, "summary": summary}

@@ -6,6 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DEFAULT_DOMAIN = "__default__"
+# One sign of white space, one of a word.
+WS, WORD = r"[\s\x1c-\x1f\x85\p{Z}]", r"[\p{L}\p{N}_]"
+
+
+def strip(text: Column, signs: str = "") -> Column:
+    """Without white space (or the given signs) at both ends."""
+    of = f"[{signs}]" if signs else WS
+    return F.regexp_replace(text, f"(?d)^{of}+|{of}+\\z", "")
+
+
+def quoted(part: Column) -> Column:
+    """A text as a pattern of itself."""
+    return F.regexp_replace(part, r"([^\p{L}\p{N}_\s])", r"\\$1")
 
 
 def length_between(text: Column, least: int = 50, most: int = 2_000_000) -> Column:

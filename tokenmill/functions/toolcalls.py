@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,79 +16,87 @@ PARSERS = Registry()
 CALLS = "array<struct<start:int,end:int,name:string,arguments:string,complete:boolean>>"
 
 
+_MARKS = re.compile(r'\\.|["{}]', re.S)
+_NAME = re.compile(r'"name"\s*:\s*"([^"]*)"')
+_ARGUMENTS = re.compile(r'"arguments"\s*:\s*(.*)', re.S)
+
+
 def object_end(text: str, start: int) -> int | None:
-    """Place behind the object that opens at ``start``, strings and escapes respected; null while it is open."""
-    depth, quoted, skip = 0, False, False
-    for i in range(start, len(text)):
-        c = text[i]
-        if skip:
-            skip = False
-        elif quoted:
-            skip, quoted = c == "\\", c != '"'
-        elif c == '"':
-            quoted = True
-        elif c in "{[":
-            depth += 1
-        elif c in "}]":
-            depth -= 1
+    """Place behind the object that opens at ``start``; null while it is open. Braces in strings and what a backslash stands before don't count."""
+    depth, quoted = 0, False
+    for m in _MARKS.finditer(text, start):
+        mark = m.group()
+        if mark == '"':
+            quoted = not quoted
+        elif len(mark) == 1 and not quoted:
+            depth += 1 if mark == "{" else -1
             if depth == 0:
-                return i + 1
+                return m.end()
     return None
 
 
-def as_call(value) -> tuple[str, str] | None:
-    if not isinstance(value, dict) or not isinstance(value.get("name"), str):
+def argument_text(value) -> str:
+    """Arguments as they are sent: the inside of an object, a list as JSON, a string as it is, nothing for what is empty."""
+    if isinstance(value, str):
+        return value
+    if isinstance(value, (dict, list)):
+        whole = json.dumps(value, ensure_ascii=False) if value else ""
+        return whole[1:-1].rstrip() if isinstance(value, dict) else whole
+    return "" if value is None else str(value)
+
+
+def as_call(text: str) -> tuple[str, str] | None:
+    """Name and arguments of a whole object; null if it isn't JSON or names nothing."""
+    try:
+        value = json.loads(text)
+    except ValueError:
         return None
-    args = value.get("arguments", value.get("parameters", {}))
-    return value["name"], args if isinstance(args, str) else json.dumps(args, ensure_ascii=False)
+    name = value.get("name")
+    return (name, argument_text(value.get("arguments"))) if isinstance(name, str) and name else None
 
 
-@PARSERS.register("simple_json")
-def find_calls(text: str | None) -> list[dict]:
-    """All calls in order; an object still open at the end is partial (complete = false) once its name is there."""
+def whole_calls(text: str) -> list[dict]:
+    """All complete calls in order. An object that is no call is passed over with all that it holds; an open one ends the search."""
     out, at = [], 0
-    while text and (at := text.find("{", at)) >= 0:
-        end = object_end(text, at)
-        if end is None:
-            name, args = partial_call(text[at:])
-            if name is not None:
-                out.append({"start": at, "end": len(text), "name": name, "arguments": args, "complete": False})
-            break
-        try:
-            call = as_call(json.loads(text[at:end]))
-        except ValueError:
-            call = None
-        if call:
+    while (at := text.find("{", at)) >= 0 and (end := object_end(text, at)) is not None:
+        if call := as_call(text[at:end]):
             out.append({"start": at, "end": end, "name": call[0], "arguments": call[1], "complete": True})
-            at = end
-        else:
-            at += 1
+        at = end
+    return out
+
+
+@PARSERS.register("simple_json")
+def find_calls(text: str | None) -> list[dict]:
+    """All complete calls, then the one that is still open behind them once its name is there (complete = false)."""
+    if not text:
+        return []
+    out = whole_calls(text)
+    at = text.find("{", out[-1]["end"] if out else 0)
+    if at >= 0 and (call := partial_call(text[at:])):
+        out.append({"start": at, "end": len(text), "name": call[0], "arguments": call[1], "complete": False})
     return out
 
 
-def partial_call(text: str) -> tuple[str | None, str]:
-    """Name and the raw beginning of the arguments of an open object."""
-    decoder, name, args = json.JSONDecoder(), None, ""
-    for key in ("name", "arguments", "parameters"):
-        at = text.find(f'"{key}"')
-        if at < 0 or (colon := text.find(":", at)) < 0:
-            continue
-        rest = text[colon + 1 :].lstrip()
-        if key == "name":
-            try:
-                name = decoder.raw_decode(rest)[0]
-            except ValueError:
-                return None, ""
-            if not isinstance(name, str):
-                return None, ""
-        else:
-            end = object_end(rest, 0) if rest.startswith("{") else None
-            args = rest[:end] if end else rest
-    return name, args
+def partial_call(text: str) -> tuple[str, str] | None:
+    """Name and the beginning of the arguments, without the braces around them, of an open object."""
+    if not (name := _NAME.search(text)):
+        return None
+    found = _ARGUMENTS.search(text)
+    raw = found.group(1).rstrip() if found else ""
+    if raw.startswith("{"):
+        raw = raw[1:].rstrip()
+        raw = raw.removesuffix("}").rstrip() if raw.endswith("}") else raw
+    return name.group(1), raw
 
 
 def content_before(text: str, calls: list[dict]) -> str:
-    return text[: calls[0]["start"]].rstrip() if calls else text
+    return text[: calls[0]["start"]] if calls else text
+
+
+def parse_complete(text: str | None) -> dict | None:
+    """Content before the first call (null if blank) and the complete calls; null if there is none."""
+    calls = whole_calls(text or "")
+    return {"content": text[: calls[0]["start"]].strip() or None, "tool_calls": [(c["name"], c["arguments"]) for c in calls]} if calls else None
 
 
 def parse_tool_calls(df: DataFrame, text_col: str, parser: str = "simple_json", out: str = "tool_calls") -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokenmill.functions.text import f1, words
+from tokenmill.functions.text import WS, f1, quoted, strip, words
+from tokenmill.operators.build import render_chat
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -135,18 +136,63 @@ def trim_pair(context: Column, response: Column, most: int) -> tuple[Column, Col
     return F.slice(context, F.greatest(F.size(context) - room + 1, F.lit(1)), F.greatest(room, F.lit(0))), r
 
 
-def choice_prompt(question: Column, choices: list[Column], answer: Column | None = None) -> Column:
+def choice_prompt(question: Column, choices: list[Column], subject: Column) -> Column:
+    """One question as the scorer asks it; null parts are empty."""
     lines = [F.concat(F.lit(f"{'ABCD'[i]}. "), F.coalesce(c, F.lit(""))) for i, c in enumerate(choices)]
-    tail = F.concat(F.lit("Answer: "), answer) if answer is not None else F.lit("Answer:")
-    return F.concat_ws("\n", question, *lines, tail)
+    about = F.concat(F.lit("The following are multiple choice questions (with answers) about "), F.coalesce(subject, F.lit("")), F.lit(".\n"))
+    return F.concat_ws("\n", about, F.concat(F.lit("Question: "), F.coalesce(question, F.lit(""))), *lines, F.lit("Answer:"))
 
 
-def few_shot(questions: DataFrame, examples: DataFrame, subject: str, shots: int) -> DataFrame:
-    """Questions with ``prefix``: up to ``shots`` solved examples of their subject, by id; one small row per subject is joined."""
-    order = Window.partitionBy(subject).orderBy("item_id")
-    some = examples.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= shots)
-    one = some.groupBy(subject).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "solved"))), lambda x: x["solved"]), "\n\n").alias("prefix"))
-    return questions.join(one, subject, "left")
+def few_shot_chat(questions: DataFrame, examples: DataFrame, key: str, subject: str, prompt: str, answer: str, shots: int) -> DataFrame:
+    """``questions`` with ``chat``: up to ``shots`` solved examples of the subject as turns, the question, and the opening of an answer.
+
+    Examples are the first of their subject by ``key``; one small row per subject is joined.
+    """
+    order = Window.partitionBy(subject).orderBy(key)
+    some = examples.filter(F.col(subject).isNotNull()).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= shots)
+    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    pair = F.array(turn("user", F.col(prompt)), turn("assistant", F.col(answer)))
+    solved = some.groupBy(subject).agg(F.array_sort(F.collect_list(F.struct("_n", pair.alias("turns")))).alias("_solved"))
+    joined = questions.join(solved, subject, "left") if shots > 0 else questions.withColumn("_solved", F.lit(None).cast(solved.schema["_solved"].dataType))
+    before = F.coalesce(F.flatten(F.transform("_solved", lambda x: x["turns"])), F.array().cast("array<struct<role:string,content:string>>"))
+    return joined.withColumn("chat", render_chat(F.concat(before, F.array(turn("user", F.col(prompt)))), add_generation_prompt=True)).drop("_solved")
+
+
+def permuted_choices(key: Column, choices: list[Column], answer: Column, seed: int) -> tuple[list[Column], Column]:
+    """Choices in a seeded order of their own for every question, and the letter that the right one has then."""
+    letters = "ABCD"[: len(choices)]
+    marks = F.array(*[F.struct(F.md5(F.concat_ws("|", key.cast("string"), F.lit(str(seed)), F.lit(x)).cast("binary")).alias("h"), F.lit(x).alias("was"), c.alias("text")) for x, c in zip(letters, choices)])
+    order = F.array_sort(marks)
+    place = F.array_position(F.transform(order, lambda x: x["was"]), answer)
+    return [order[i]["text"] for i in range(len(letters))], F.get(F.array(*map(F.lit, letters)), place - 1)
+
+
+def function_body(code: Column, entry: Column) -> Column:
+    """Body of a function in generated code: the indented and blank lines behind its head, from the first that isn't blank.
+
+    Code without such a head is returned whole; a head without a body gives null.
+    """
+    head = F.concat(F.lit(r"def\s+"), quoted(entry), F.lit(r"(?![\p{L}\p{N}_])[^:]*:"))
+    at = F.regexp_instr(code, head)
+    rest = F.substr(code, at + F.length(F.regexp_substr(code, head)))
+    lines = F.transform(F.split(rest, "\n"), lambda x: F.regexp_replace(x, WS + r"+\z", ""))
+    first = F.coalesce(F.array_position(F.transform(lines, lambda x: x != ""), F.lit(True)), F.lit(0))
+    kept = F.when(first > 0, F.slice(lines, first.cast("int"), F.size(lines))).otherwise(F.array().cast("array<string>"))
+    ends = F.array_position(F.transform(kept, lambda x: (x != "") & ~x.rlike("^" + WS)), F.lit(True))
+    body = F.array_join(F.when(ends > 0, F.slice(kept, 1, (ends - 1).cast("int"))).otherwise(kept), "\n")
+    return F.when(at == 0, code).when(strip(body) != "", body)
+
+
+def left_overflow(context: Column, choice: Column, most: int) -> tuple[Column, Column]:
+    """Ids to score a choice with, cut at the left to ``most``, and how many of them are context."""
+    ids = F.concat(context, choice)
+    over = F.greatest(F.size(ids) - most, F.lit(0))
+    return F.slice(ids, over + 1, F.lit(most)), F.size(context) - over
+
+
+def choice_score(logprobs: Column, n_context: Column, n_choice: Column) -> Column:
+    """Sum of the log-probabilities of a choice's ids; ``logprobs[i]`` is that of id i + 1. Places outside count nothing."""
+    return F.aggregate(F.sequence(F.lit(0), n_choice - 1), F.lit(0.0), lambda a, i: a + F.coalesce(F.get(logprobs, n_context - 1 + i), F.lit(0.0)))
 
 
 def pick_choice(scores: Column) -> Column:

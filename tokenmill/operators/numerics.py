@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-
+from tokenmill.operators.scans import seeded_hash
 
 def row() -> WindowSpec:
     """The tokens of one row."""
@@ -81,7 +81,7 @@ def sample_tokens(logits: DataFrame, seed: int, **options) -> DataFrame:
         rows, score = softmax(logits), F.col("logit")
     else:
         rows = filtered(logits, **options)
-        u = (F.pmod(F.xxhash64("row_id", "token_id", F.lit(seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+        u = (seeded_hash(F.col("row_id"), F.col("token_id"), seed, digits=13) + 0.5) / float(1 << 52)
         score = F.ln("prob") - F.ln(-F.ln(u))
     best = F.max_by(F.struct("token_id", F.ln("prob").alias("logprob")), F.struct(score, (-F.col("token_id"))))
     return rows.groupBy("row_id").agg(best.alias("b")).select("row_id", "b.token_id", "b.logprob")
@@ -120,13 +120,19 @@ def group_advantage(rewards: DataFrame, group: str, reward: str = "reward") -> D
 
 
 def grpo_token_loss(logprob: Column, old_logprob: Column, ref_logprob: Column, advantage: Column, clip: float = 0.2, kl: float = 0.01, eps: float = 1e-8) -> Column:
-    """Clipped surrogate and the penalty r - ln(r + eps) - 1 with r = policy over reference."""
+    """Clipped surrogate and the penalty r - ln(r + eps) - 1 with r = reference over policy, of one token."""
     ratio = F.exp(logprob - old_logprob)
     surrogate = F.least(ratio * advantage, F.least(F.greatest(ratio, F.lit(1 - clip)), F.lit(1 + clip)) * advantage)
-    r = F.exp(logprob - ref_logprob)
+    r = F.exp(ref_logprob - logprob)
     return -surrogate + kl * (r - F.ln(r + eps) - 1)
 
 
+def token_mean(loss: Column, mask: Column) -> Column:
+    """Aggregate: mean of ``loss`` over the tokens whose mask is 1, divided by at least 1."""
+    kept = F.coalesce(mask.cast("double"), F.lit(0.0))
+    return F.coalesce(F.sum(F.when(kept != 0, loss * kept)), F.lit(0.0)) / F.greatest(F.sum(kept), F.lit(1.0))
+
+
 def best_and_worst(rewards: DataFrame, group: str, index: str, reward: str = "reward") -> DataFrame:
     """Index of the best and the worst response, the first of equal ones."""
     return rewards.groupBy(group).agg(

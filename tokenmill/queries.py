@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -56,18 +57,6 @@ def r6(c, name: str):
 
 
 # --- corpus preparation ------------------------------------------------------------------------
-IDS = "list_transform(string_split(t, ''), lambda c: unicode(c))"
-
-
-@query(f"""
-with d as (select coalesce(source, '__default__') as domain, [unicode(c) for c in string_split(text, '')][1:2048] as ids from documents
-  where length(text) between 50 and 2000000 and regexp_matches(text, '[^\\s\\x0B\\x1C-\\x1F\\x85\\pZ]'))
-select domain, count(*) as docs, sum(len(ids))::bigint as tokens, sum(list_sum(ids))::bigint as checksum from d group by 1""")
-def corpus_build_counts(spark, d):
-    built = build.build(table(spark, d, "documents"), corpus.TEXT_CONFIG, CP)
-    return built.groupBy("domain").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("sequence")).cast("bigint").alias("tokens"), total("sequence").alias("checksum"))
-
-
 WHOLE = {"max_seq_len": 10_000_000}  # above max_chars: a token is one code point here, and no text is cut
 
 
@@ -75,8 +64,7 @@ WHOLE = {"max_seq_len": 10_000_000}  # above max_chars: a token is one code poin
 with d as (select coalesce(source, '__default__') as domain, [unicode(c) for c in string_split(text, '')] as ids from documents
   where length(text) between 50 and 2000000 and regexp_matches(text, '[^\\s\\x0B\\x1C-\\x1F\\x85\\pZ]'))
 select domain, count(*) as docs, sum(len(ids))::bigint as tokens, sum(list_sum(ids))::bigint as checksum from d group by 1""")
-def corpus_build_whole(spark, d):
-    """``corpus_build_counts`` without its cut to 2,048 code points."""
+def corpus_build_counts(spark, d):
     conf = BuildConfig.from_dict(corpus.TEXT_CONFIG.to_dict() | {"preprocessing": WHOLE})
     built = build.build(table(spark, d, "documents"), conf, CP)
     return built.groupBy("domain").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("sequence")).cast("bigint").alias("tokens"), total("sequence").alias("checksum"))
@@ -149,23 +137,6 @@ def dpo_collate(spark, d):
     return padded.groupBy("batch").agg(F.count(F.lit(1)).alias("rows"), same.cast("bigint").alias("width"))
 
 
-@query("""
-with x as (select distinct rollout_id, messages from rollout where len(messages) > 0),
-y as (select rollout_id // 32 as batch, rollout_id, length(coalesce(messages[1].content, '')) as p, [length(coalesce(m.content, '')) for m in messages if m.role = 'assistant'] as r from x),
-z as (select batch, max(p) as width, max(case when len(r) = 0 then 1 else greatest(list_max(r[1:2]), 1) end) as longest, sum(least(len(r), 2))::bigint as responses, count(*) as rows from y where len(r) >= 2 group by 1)
-select batch, rows, width, longest, responses from z""")
-def grpo_collate(spark, d):
-    rows = table(spark, d, "rollout").filter(F.size("messages") > 0).dropDuplicates(["rollout_id"])
-    ids = lambda m: CP.ids(F.coalesce(m["content"], F.lit("")))
-    answers = F.filter("messages", lambda m: m["role"] == "assistant")
-    rows = rows.select(F.col("rollout_id").alias("record_id"), F.floor(F.col("rollout_id") / 32).alias("batch"), ids(F.col("messages")[0]).alias("prompts"), F.slice(F.transform(answers, ids), 1, 2).alias("responses"))
-    rows = rows.filter(F.size("responses") >= 2).withColumn("masks", F.transform("responses", lambda x: F.transform(x, lambda _: F.lit(1)))).withColumn("rewards", F.array(F.lit(1.0), F.lit(0.0)))
-    out = collate.collate_grpo(rows)
-    return out.groupBy("batch").agg(
-        F.count(F.lit(1)).alias("rows"), F.max(F.size("prompt_mask")).cast("bigint").alias("width"), F.max(F.size(F.col("responses")[0])).cast("bigint").alias("longest"), F.sum(F.size("responses")).cast("bigint").alias("responses")
-    )
-
-
 @query("""
 with x as (select rollout_id, any_value(messages) as messages from rollout where len(messages) > 0 group by 1),
 y as (select rollout_id // 32 as batch, rollout_id, length(coalesce(messages[1].content, '')) as p, [coalesce(m.content, '') for m in messages if m.role = 'assistant'] as r from x),
@@ -173,7 +144,7 @@ b as (select batch, count(*) as rows, max(p) as width, arg_min(len(r), rollout_i
 z as (select *, r[1:g] as taken from y join b using (batch))
 select batch, any_value(rows) as rows, any_value(width) as width, any_value(g)::bigint as group_size, any_value(case when g = 0 then 0 else longest end)::bigint as longest, sum(len(taken))::bigint as filled,
  sum(coalesce(list_sum([length(c) for c in taken]), 0))::bigint as trained, sum(coalesce(list_sum([list_sum([unicode(u) for u in string_split(c, '')]) for c in taken if c <> '']), 0))::bigint as checksum from z group by 1""")
-def grpo_collate_all(spark, d):
+def grpo_collate(spark, d):
     """All rollouts that hold a message, with all their answers; an answer's number, from 1, stands in for its reward."""
     rows = table(spark, d, "rollout").filter(F.size("messages") > 0).dropDuplicates(["rollout_id"])
     ids = lambda m: CP.ids(F.coalesce(m["content"], F.lit("")))
@@ -253,22 +224,31 @@ def packing_bfd(spark, d):
     return _packed(spark, d, "bfd").select("epoch", "bin", "members", F.size("sequence").alias("n"))
 
 
-@query()
+@query("""
+with recursive o as (select row_number() over (order by doc_id) as i, length(text) as n, coalesce(source, '__default__') as domain from documents where length(text) between 50 and 2000000 and regexp_matches(text, '[^\\s\\x0B\\x1C-\\x1F\\x85\\pZ]')),
+f as (select 1::bigint as i, case when n >= 200000 then 0 else n end as total, 0 as ep, case when n >= 200000 then 1 else 0 end as nxt from o where i = 1
+ union all select o.i, case when f.total + o.n >= 200000 then 0 else f.total + o.n end, f.nxt, case when f.total + o.n >= 200000 then f.nxt + 1 else f.nxt end from f join o on o.i = f.i + 1)
+select domain, dense_rank() over (partition by domain order by ep) - 1 as shard_idx, sum(n)::bigint as tokens, count(*) as documents, true as within from f join o using (i) group by domain, ep""")
 def corpus_prepare(spark, d):
     """Whole texts: none is cut before sharding, and those above a bin's size are split over bins."""
     conf = BuildConfig.from_dict(corpus.TEXT_CONFIG.to_dict() | {"preprocessing": WHOLE | {"packing_strategy": "bfd_split"}, "output": {"domain_key": "source", "max_tokens_per_shard": 200_000}})
-    return corpus.prepare(table(spark, d, "documents"), "doc_id", conf).select("domain", "shard_idx", "bin", "members", F.size("sequence").alias("n"))
+    bins = corpus.prepare(table(spark, d, "documents"), "doc_id", conf)
+    most = conf.preprocessing.max_packed_len or conf.preprocessing.max_seq_len
+    starts = F.size(F.filter(F.col("position_ids"), lambda p: p == 0)) if "position_ids" in bins.columns else F.lit(0)
+    return bins.groupBy("domain", F.col("shard_idx").cast("bigint").alias("shard_idx")).agg(F.sum(F.size("sequence")).cast("bigint").alias("tokens"), F.sum(starts).alias("documents"), F.bool_and(F.size("sequence") <= most).alias("within"))
 
 
 @query("""
-with r as (select record_id, any_value(sequence) as s from single_output_mask_builder group by 1)
-select record_id, len(s) as n, len(s) * (len(s) - 1) // 2 as position_sum, case when len(s) > 0 then 1 else -1 end::int as last_doc from r""")
+with r as (select record_id, len(any_value(sequence)) as n from single_output_mask_builder group by 1)
+select record_id // 8 as row_id, sum(n)::bigint as n, sum(n * (n - 1) // 2)::bigint as position_sum, count(*) filter (where n > 0) as documents,
+ sum(n * (row_number - 1))::bigint as document_sum from (select *, sum((n > 0)::int) over (partition by record_id // 8 order by record_id) as row_number from r) where n > 0 group by 1""")
 def position_ids(spark, d):
-    rows = table(spark, d, "single_output_mask_builder").dropDuplicates(["record_id"])
-    pos = scans.position_ids(F.col("sequence"), "doc_reset")
-    small = scans.document_ids(F.array(F.lit(0), F.lit(1), F.lit(0), F.lit(1), F.lit(2)))
-    out = rows.select("record_id", F.size("sequence").cast("bigint").alias("n"), F.aggregate(pos, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("position_sum"), "sequence")
-    return out.select("record_id", "n", "position_sum", F.when(F.size("sequence") > 0, F.try_element_at(small, F.lit(-1))).otherwise(F.lit(-1)).alias("last_doc"))
+    """Rows of up to eight records: positions begin anew with each, and document ids are told from the positions."""
+    rows = table(spark, d, "single_output_mask_builder").dropDuplicates(["record_id"]).filter(F.size("sequence") > 0)
+    rows = rows.select("record_id", scans.position_ids(F.col("sequence"), "doc_reset").alias("p")).groupBy(F.floor(F.col("record_id") / 8).alias("row_id"))
+    one = rows.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("record_id", "p"))), lambda x: x["p"])).alias("p")).withColumn("doc", scans.document_ids(F.col("p")))
+    add = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return one.select("row_id", F.size("p").cast("bigint").alias("n"), add("p").alias("position_sum"), (F.array_max("doc") + 1).cast("bigint").alias("documents"), add("doc").alias("document_sum"))
 
 
 @query()
@@ -289,24 +269,25 @@ def accepted_limit(spark, d):
 
 
 # --- sampling of records ---------------------------------------------------------------------------
-@query("select count(*) as n, count(distinct doc_id) as ids, sum(doc_id)::bigint as id_sum, max(0) as least_position, (count(*) - 1)::bigint as most_position, 3::bigint as replicas from documents")
+ORDER = "row_number() over (order by ('0x' || substr(md5(concat_ws('|', doc_id, {seed})), 1, 15))::bigint, doc_id) - 1"
+
+
+@query(f"""
+with p as (select doc_id, {ORDER.format(seed=9)} as position, count(*) over () as total from documents), e as (select *, (total + 2) // 3 as per from p),
+c as (select * , position as place from e union all select *, position + total from e where position < per * 3 - total)
+select place % 3 as rank, place // 3 as step, doc_id from c where place // 3 >= 5 % per""")
 def sampler_partition(spark, d):
-    docs = table(spark, d, "documents").select("doc_id")
-    placed = None
+    """Three replicas that go on after five records each, in epoch 2 of seed 7."""
+    docs, placed = table(spark, d, "documents").select("doc_id"), None
     for rank in range(3):
-        one = scans.sampler(docs, "doc_id", seed=7, replicas=3, rank=rank, drop_last=False).withColumn("rank", F.lit(rank))
+        one = scans.sampler(docs, "doc_id", seed=7, epoch=2, replicas=3, rank=rank, resume=5).select(F.lit(rank).cast("bigint").alias("rank"), "step", "doc_id")
         placed = one if placed is None else placed.unionByName(one)
-    real = placed.dropDuplicates(["doc_id"])
-    return real.agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("ids"), F.sum("doc_id").alias("id_sum"), F.min("position").cast("int").alias("least_position"),
-        F.max("position").alias("most_position"), F.lit(3).cast("bigint").alias("replicas"),
-    )
+    return placed
 
 
-@query("select count(*) as n, greatest(1, floor(count(*) * 0.05))::bigint as held from documents")
+@query(f"select doc_id, {ORDER.format(seed=3)} < greatest(1, floor(count(*) over () * 0.05)) as is_validation from documents")
 def validation_split(spark, d):
-    s = scans.split_validation(table(spark, d, "documents").select("doc_id"), "doc_id", 0.05, seed=3)
-    return s.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_validation").alias("held"))
+    return scans.split_validation(table(spark, d, "documents").select("doc_id"), "doc_id", 0.05, seed=3).select("doc_id", "is_validation")
 
 
 @query("select min(doc_id) as doc_id, count(*) as copies from documents where text is not null group by text")
@@ -429,17 +410,38 @@ def choice_accuracy(spark, d):
     return out.select("subject", F.col("overall").cast("int").alias("overall"), "n", "correct", r6(F.col("accuracy"), "accuracy"))
 
 
-@query("""
-with q as (select item_id, subject, question || chr(10) || 'A. ' || coalesce(choice_a, '') || chr(10) || 'B. ' || coalesce(choice_b, '') || chr(10) || 'C. ' || coalesce(choice_c, '') || chr(10) || 'D. ' || coalesce(choice_d, '') || chr(10) || 'Answer:' as p, answer from eval_items where benchmark = 'mcq'),
-s as (select subject, p || ' ' || answer as solved, row_number() over (partition by subject order by item_id) as k from q where subject is not null),
-x as (select subject, string_agg(solved, chr(10) || chr(10) order by k) as prefix from s where k <= 2 group by 1)
+PROMPT = """'The following are multiple choice questions (with answers) about ' || coalesce(subject, '') || '.' || chr(10) || chr(10) || 'Question: ' || coalesce(question, '') || chr(10)
+ || 'A. ' || coalesce({a}, '') || chr(10) || 'B. ' || coalesce({b}, '') || chr(10) || 'C. ' || coalesce({c}, '') || chr(10) || 'D. ' || coalesce({d}, '') || chr(10) || 'Answer:'"""
+
+
+@query(f"""
+with q as (select item_id, subject, answer, '<|im_start|>user' || chr(10) || {PROMPT.format(**{c: f"choice_{c}" for c in "abcd"})} || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) as p from eval_items where benchmark = 'mcq'),
+s as (select subject, p || answer || '<|im_end|>' || chr(10) as solved, row_number() over (partition by subject order by item_id) as k from q where subject is not null),
+x as (select subject, string_agg(solved, '' order by k) as prefix from s where k <= 2 group by 1)
 select item_id, md5(coalesce(prefix, '') || p) as digest from q left join x using (subject)""")
 def few_shot_prompts(spark, d):
     rows = table(spark, d, "eval_items").filter("benchmark = 'mcq'")
-    prompt = metrics.choice_prompt(F.col("question"), [F.col(f"choice_{c}") for c in "abcd"])
-    rows = rows.select("item_id", "subject", prompt.alias("p"), "answer")
-    out = metrics.few_shot(rows, rows.filter("subject is not null").withColumn("solved", F.concat("p", F.lit(" "), "answer")), "subject", 2)
-    return out.select("item_id", F.md5(F.concat(F.coalesce("prefix", F.lit("")), "p")).alias("digest"))
+    rows = rows.select("item_id", "subject", "answer", metrics.choice_prompt(F.col("question"), [F.col(f"choice_{c}") for c in "abcd"], F.col("subject")).alias("p"))
+    return metrics.few_shot_chat(rows, rows, "item_id", "subject", "p", "answer", 2).select("item_id", F.md5(F.col("chat").cast("binary")).alias("digest"))
+
+
+@query(f"""
+with m as (select *, unnest(['A', 'B', 'C', 'D']) as was, unnest([choice_a, choice_b, choice_c, choice_d]) as t from eval_items where benchmark = 'mcq'),
+o as (select *, row_number() over (partition by item_id order by md5(concat_ws('|', item_id, 9, was)), was) as k from m),
+g as (select item_id, any_value(subject) as subject, any_value(question) as question, max(case when k = 1 then t end) as a, max(case when k = 2 then t end) as b, max(case when k = 3 then t end) as c, max(case when k = 4 then t end) as d,
+ max(case when was = answer then ['A', 'B', 'C', 'D'][k] end) as answer from o group by 1)
+select item_id, answer, md5({PROMPT.format(a="a", b="b", c="c", d="d")}) as digest from g""")
+def permuted_prompts(spark, d):
+    rows = table(spark, d, "eval_items").filter("benchmark = 'mcq'")
+    texts, letter = metrics.permuted_choices(F.col("item_id"), [F.col(f"choice_{c}") for c in "abcd"], F.col("answer"), 9)
+    return rows.select("item_id", letter.alias("answer"), F.md5(metrics.choice_prompt(F.col("question"), texts, F.col("subject")).cast("binary")).alias("digest"))
+
+
+@query("""select doc_id, '    \"\"\"' || coalesce(lang, 'none') || '\"\"\"' || chr(10) || chr(10) || '    return ' || coalesce(n_chars, 0) as body from documents""")
+def function_bodies(spark, d):
+    head = F.concat(F.lit("import os\n\ndef run"), F.col("doc_id").cast("string"), F.lit("x(a):\n    pass\n\ndef run"), F.col("doc_id").cast("string"), F.lit("(a, b=1):\n\n    "))
+    code = F.concat(head, F.lit('\"\"\"'), F.coalesce("lang", F.lit("none")), F.lit('\"\"\"  \n\n    return '), F.coalesce("n_chars", F.lit(0)).cast("string"), F.lit("\nprint(1)\n    x"))
+    return table(spark, d, "documents").select("doc_id", metrics.function_body(code, F.concat(F.lit("run"), F.col("doc_id").cast("string"))).alias("body"))
 
 
 @query("""
@@ -464,38 +466,66 @@ def gradient_norms(spark, d):
     return g.select("name", F.col("overall").cast("int").alias("overall"), r6(F.col("norm"), "norm"))
 
 
-CHECKED = {
-    "punctuation:no_comma": ("{}", "not contains(r, ',')"),
-    "change_case:english_lowercase": ("{}", "r = lower(r) and r <> upper(r)"),
-    "change_case:english_capital": ("{}", "r = upper(r) and r <> lower(r)"),
-    "keywords:existence": ('{"keywords": ["the", "MASK"]}', "contains(lower(r), 'the') and contains(lower(r), 'mask')"),
-    "keywords:frequency": ('{"keyword": "the", "frequency": 5, "relation": "less than"}', "(length(lower(r)) - length(replace(lower(r), 'the', ''))) // 3 < 5"),
-    "keywords:letter_frequency": ('{"letter": "e", "let_frequency": 40, "let_relation": "at least"}', "length(lower(r)) - length(replace(lower(r), 'e', '')) >= 40"),
-    "keywords:forbidden_words": ('{"forbidden_words": ["page", "unit"]}', "not regexp_matches(lower(r), '(^|[^\\pL\\pN_])(page|unit)([^\\pL\\pN_]|$)')"),
-    "detectable_content:number_placeholders": ('{"num_placeholders": 1}', "len(regexp_extract_all(r, '\\[[^\\[\\]]*\\]')) >= 1"),
-    "detectable_format:number_bullet_lists": ('{"num_bullets": 3}', "len(regexp_extract_all(r, '(?m)^\\s*[*-]\\s+\\S')) = 3"),
-    "detectable_format:title": ("{}", "regexp_matches(r, '<<[^\\n]+?>>')"),
-    "detectable_format:general_punctuation": ('{"blacklist": [";", "!"]}', "not contains(r, ';') and not contains(r, '!')"),
-    "startend:end_checker": ('{"end_phrase": "safer option."}', "ends_with(lower(trim(trim(r), '\"')), 'safer option.')"),
-    "startend:quotation": ("{}", "length(trim(r)) > 1 and starts_with(trim(r), '\"') and ends_with(trim(r), '\"')"),
-    "startend:start_checker": ('{"starter": "if"}', "len([x for x in string_split(r, chr(10)) if starts_with(lower(ltrim(x)), 'if')]) > 0"),
-    "change_case:capital_word_frequency": ('{"capital_frequency": 2, "capital_relation": "at least"}', "len(regexp_extract_all(r, '\\b[A-Z]{2,}\\b')) >= 2"),
-    "length_constraints:number_words": ('{"num_words": 60, "relation": "at least"}', "len(regexp_extract_all(r, '[\\pL\\pN_]+')) >= 60"),
-    "length_constraints:number_paragraphs": ('{"num_paragraphs": 2}', "len([x for x in string_split_regex(r, case when contains(r, '***') then '\\*\\*\\*' else '\\n\\s*\\n' end) if trim(regexp_replace(x, '\\s+', ' ', 'g')) <> '']) = 2"),
-    "combination:two_responses": ("{}", "len([x for x in string_split(r, '******') if trim(regexp_replace(x, '\\s+', ' ', 'g')) <> '']) = 2 and contains(r, '******')"),
-    "combination:repeat_prompt": ('{"prompt_to_repeat": "In practice"}', "starts_with(lower(trim(r)), 'in practice')"),
-}
+# Written from the definitions in the survey: what a Python program would say of each answer.
+_S = r"[\s\x0B\x1C-\x1F\x85\pZ]"
+_STRIP = rf"regexp_replace(r, '^{_S}+|{_S}+$', '', 'g')"
+_FILLED = rf"len([x for x in string_split_regex(r, '{{}}') if regexp_matches(x, '[^\s\x0B\x1C-\x1F\x85\pZ]')])"
+_PARTS = r"[x for x in string_split_regex(r, '\n\n+') if regexp_matches(x, '[^\s\x0B\x1C-\x1F\x85\pZ]')]"
+CHECKED = [
+    ("keywords:existence", {"keywords": ["the", "MASK"]}, "contains(lower(r), 'the') and contains(lower(r), 'mask')"),
+    ("keywords:frequency", {"keyword": "the", "frequency": 5, "relation": "less than"}, "(length(lower(r)) - length(replace(lower(r), 'the', ''))) // 3 < 5"),
+    ("keywords:frequency", {"keyword": "Batch"}, "contains(lower(r), 'batch')"),
+    ("keywords:forbidden_words", {"forbidden_words": ["page", "warm-up"]}, r"not regexp_matches(' ' || lower(r) || ' ', '[^\pL\pN_](page|warm-up)[^\pL\pN_]')"),
+    ("keywords:letter_frequency", {"letter": "E", "let_frequency": 40}, "length(lower(r)) - length(replace(lower(r), 'e', '')) >= 40"),
+    ("keywords:letter_frequency", {"letter": "z", "let_relation": "less than"}, "not contains(lower(r), 'z')"),
+    ("detectable_content:number_placeholders", {}, r"regexp_matches(r, '\[[^\n]*\]')"),
+    ("detectable_content:postscript", {}, r"regexp_matches(lower(r), 'p\.[\s\x0B\x1C-\x1F\x85\pZ]?s\.')"),
+    ("detectable_content:postscript", {"postscript_marker": "Note"}, "contains(lower(r), 'note')"),
+    ("detectable_format:number_bullet_lists", {"num_bullets": 3}, r"len(regexp_extract_all(r, '(?m)^[\s\x0B\x1C-\x1F\x85\pZ]*\*[^*].*$')) + len(regexp_extract_all(r, '(?m)^[\s\x0B\x1C-\x1F\x85\pZ]*-.*$')) = 3"),
+    ("detectable_format:number_highlighted_sections", {}, r"len([x for x in regexp_extract_all(r, '\*([^\n*]+)\*', 1) if regexp_matches(x, '[^\s\x0B\x1C-\x1F\x85\pZ]')]) >= 1"),
+    ("detectable_format:multiple_sections", {"section_spliter": "1.", "num_sections": 1}, r"regexp_matches(r, '1\.[\s\x0B\x1C-\x1F\x85\pZ]?\p{Nd}+')"),
+    ("detectable_format:title", {}, r"regexp_matches(r, '<<[^>\n]+>>')"),
+    ("detectable_format:json_format", {}, rf"json_valid({_STRIP}) and {_STRIP} <> ''"),
+    ("detectable_format:general_punctuation", {"punctuation_blacklist": [";", "!"]}, "not contains(r, ';') and not contains(r, '!')"),
+    ("detectable_format:general_punctuation", {}, "true"),
+    ("detectable_format:number_highlighted_words", {}, r"regexp_matches(r, '\*[^*\s\x0B\x1C-\x1F\x85\pZ][^*]*[^*\s\x0B\x1C-\x1F\x85\pZ]\*')"),
+    ("startend:end_checker", {"end_phrase": " safer option."}, rf"ends_with(lower(regexp_replace(r, '{_S}*\"*{_S}*$', '')), 'safer option.')"),
+    ("startend:quotation", {}, f"starts_with({_STRIP}, '\"') and ends_with({_STRIP}, '\"')"),
+    ("startend:start_checker", {"starter": "If"}, r"regexp_matches(r, '(?m)^[\s\x0B\x1C-\x1F\x85\pZ]*If')"),
+    ("change_case:english_capital", {}, "r = upper(r) and r <> lower(r)"),
+    ("change_case:english_lowercase", {}, "r = lower(r) and r <> upper(r)"),
+    ("change_case:capital_word_frequency", {"capital_frequency": 2}, r"len(regexp_extract_all(regexp_replace(r, '[^\pL\pN_]', '  ', 'g'), '(?:^|[ ])[A-Z]{2,}(?:$|[ ])')) >= 2"),
+    ("punctuation:no_comma", {}, "not contains(r, ',')"),
+    ("length_constraints:number_words", {}, r"len(regexp_extract_all(r, '[\pL\pN_]+')) >= 100"),
+    ("length_constraints:number_words", {"num_words": 60, "relation": "less than"}, r"len(regexp_extract_all(r, '[\pL\pN_]+')) < 60"),
+    ("length_constraints:number_sentences", {"num_sentences": 4}, rf"len([x for x in string_split_regex(regexp_replace({_STRIP}, '([.!?]){_S}+', '\1' || chr(1), 'g'), chr(1)) if x <> '']) >= 4"),
+    ("length_constraints:number_paragraphs", {"num_paragraphs": 2}, r"(case when contains(r, '***') then " + _FILLED.format(r"\*\*\*") + " else " + _FILLED.format(r"\n\n+") + " end) = 2"),
+    ("length_constraints:nth_paragraph_first_word", {"num_paragraphs": 2, "nth_paragraph": 2, "first_word": "The"}, rf"len({_PARTS}) = 2 and regexp_matches(lower({_PARTS}[2]), '^{_S}*[''\"]*the[.,!?:;\"'']*({_S}|$)')"),
+    ("length_constraints:nth_word_checker", {"nth_word": 2, "target_word": "shared"}, r"lower(regexp_extract_all(r, '[\pL\pN_]+')[2]) = 'shared'"),
+    ("combination:repeat_prompt", {"prompt_to_repeat": " In practice"}, f"starts_with(lower({_STRIP}), 'in practice')"),
+    ("combination:two_responses", {}, "contains(r, '******') and " + _FILLED.format(r"\*{6}") + " = 2"),
+]
 
 
 @query(
     "with a as (select any_value(chosen) as r from dpo_tokenize where chosen is not null group by record_id) "
-    + " union all ".join(f"select '{k}' as check_id, count(*) as n, count(*) filter (where {sql}) as passed from a" for k, (_, sql) in CHECKED.items())
+    + " union all ".join(f"select '{k}' as check_id, '{json.dumps(kw)}' as kwargs, count(*) as n, count(*) filter (where {sql}) as passed from a" for k, kw, sql in CHECKED)
 )
 def instruction_checks(spark, d):
     a = table(spark, d, "dpo_tokenize").filter("chosen is not null").dropDuplicates(["record_id"])
-    each = a.select("chosen", F.explode(F.array(*[F.struct(F.lit(k).alias("id"), F.lit(v[0]).alias("kw")) for k, v in CHECKED.items()])).alias("c"))
-    each = each.select(F.col("c.id").alias("check_id"), checks.verdict(F.col("c.id"), F.col("chosen"), F.col("c.kw")).alias("ok"))
-    return each.groupBy("check_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("passed"))
+    return checks.pass_counts(a, "chosen", [(k, kw) for k, kw, _ in CHECKED])
+
+
+@query("""
+with a as (select record_id, any_value(chosen) as c, any_value(rejected) as r from dpo_tokenize where chosen is not null and rejected is not null group by record_id),
+t as (select record_id, not contains(c, ',') or not contains(r, ',') as x, len(regexp_extract_all(c, '[\\pL\\pN_]+')) >= 100 or len(regexp_extract_all(r, '[\\pL\\pN_]+')) >= 100 as y from a)
+select record_id as key, 3::bigint as constraints, 2::bigint as verified, (x::int + y::int)::bigint as passed, round((x::int + y::int) / 2.0, 4)::double as accuracy from t""")
+def instruction_problems(spark, d):
+    """Two samples a problem (both answers of a record), three instructions of which one is unknown."""
+    a = _answers(spark, d)
+    asked = [F.array(*[F.lit(x) for x in ("punctuation:no_comma", "length_constraints:number_words", "other:one")]).alias("instruction_id_list"), F.array(F.lit("{}")).alias("kwargs")]
+    rows = a.select(F.col("record_id").alias("key"), *asked, F.posexplode(F.array("chosen", "rejected")).alias("sample", "response"))
+    return checks.instruction_report(rows)["by_problem"]
 
 
 # --- numerics -----------------------------------------------------------------------------------------
@@ -537,9 +567,15 @@ def log_softmax_gather(spark, d):
     return numerics.log_softmax_gather(_logits(spark, d), t).select("row_id", "token_id", r6(F.col("logprob"), "logprob"))
 
 
-@query()
+@query(f"""
+with t as (select row_id, token_id, logit / 0.8 as logit from {LOGITS}), k as (select *, rank() over (partition by row_id order by logit desc) as r from t qualify r <= 40),
+e as (select *, exp(logit - max(logit) over (partition by row_id)) as e from k), s as (select *, e / sum(e) over (partition by row_id) as p from e),
+c as (select *, coalesce(sum(p) over (partition by row_id order by logit desc, token_id rows between unbounded preceding and 1 preceding), 0) as before from s),
+z as (select row_id, token_id, e / sum(e) over (partition by row_id) as prob, (('0x' || substr(md5(concat_ws('|', row_id, token_id, 11)), 1, 13))::bigint + 0.5::double) / 4503599627370496 as u from c where before <= 0.95)
+select row_id, arg_max(token_id, ln(prob) - ln(-ln(u))) as token_id, round(arg_max(ln(prob), ln(prob) - ln(-ln(u))), 6) as logprob from z group by 1""")
 def sampled_tokens(spark, d):
-    return numerics.sample_tokens(_logits(spark, d), seed=11, temperature=0.8, k=40, p=0.95)
+    out = numerics.sample_tokens(_logits(spark, d), seed=11, temperature=0.8, k=40, p=0.95)
+    return out.select("row_id", "token_id", r6(F.col("logprob"), "logprob"))
 
 
 @query(f"""
@@ -569,12 +605,13 @@ def dpo_loss(spark, d):
 
 
 @query("""
-with x as (select exp(l_discount - l_tax) as ratio, exp(l_discount - 0.04) as r, l_quantity / 25 - 1 as a from lineitem)
-select round(avg(-least(ratio * a, least(greatest(ratio, 0.8), 1.2) * a) + 0.01 * (r - ln(r + 1e-8) - 1)), 6) as loss from x""")
+with x as (select l_returnflag, l_discount as p, l_tax as o, 0.04 as f, l_quantity / 25 - 1 as a, (l_linenumber <> 2)::int as m from lineitem),
+y as (select *, exp(p - o) as ratio, exp(f - p) as k from x)
+select l_returnflag as batch, round(sum(m * -least(ratio * a, least(greatest(ratio, 0.98), 1.02) * a)) / greatest(sum(m), 1) + 0.5 * sum(m * (k - ln(k + 1e-8) - 1)) / greatest(sum(m), 1), 6) as loss from y group by 1""")
 def grpo_loss(spark, d):
-    x = table(spark, d, "lineitem")
-    loss = numerics.grpo_token_loss(F.col("l_discount"), F.col("l_tax"), F.lit(0.04), F.col("l_quantity") / 25 - 1)
-    return x.select(loss.alias("l")).agg(r6(F.avg("l"), "loss"))
+    """Mean over unmasked tokens; k is reference over policy."""
+    loss = numerics.grpo_token_loss(F.col("l_discount"), F.col("l_tax"), F.lit(0.04), F.col("l_quantity") / 25 - 1, clip=0.02, kl=0.5)
+    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("batch")).agg(r6(numerics.token_mean(loss, F.col("l_linenumber") != 2), "loss"))
 
 
 @query("""
@@ -616,32 +653,11 @@ def pooled_embeddings(spark, d):
 
 
 # --- serving ------------------------------------------------------------------------------------------
-@query("""
-with r as (select record_id, any_value(sequence) as s from single_output_mask_builder group by 1)
-select record_id, list_reduce([0::hugeint] || [x::hugeint for x in s[1:16]], lambda h, x: (h * 31 + x) % 18446744073709551616)::varchar as hash from r where len(s) >= 16""")
-def page_hashes(spark, d):
-    rows = table(spark, d, "single_output_mask_builder").dropDuplicates(["record_id"]).filter(F.size("sequence") >= 16)
-    return pages.pages(rows, "record_id", "sequence", 16).filter("page = 0").select("record_id", F.col("hash").cast("string").alias("hash"))
-
-
-@query("""
-with r as (select record_id, any_value(sequence) as s from single_output_mask_builder group by 1),
-p as (select record_id, i as page, s[i * 16 + 1 : i * 16 + 16] as ids from r, unnest(range(len(s) // 16)) as u(i)),
-c as (select distinct ids from p where record_id % 2 = 0), h as (select p.record_id, p.page, (c.ids is not null)::int as hit from p left join c using (ids)),
-m as (select record_id, min(hit) over (partition by record_id order by page) as ok from h)
-select r.record_id, coalesce(sum(ok), 0)::bigint as cached_pages from r left join m using (record_id) group by 1""")
-def prefix_cache(spark, d):
-    rows = table(spark, d, "single_output_mask_builder").dropDuplicates(["record_id"]).select("record_id", "sequence")
-    known = pages.pages(rows.filter("record_id % 2 = 0"), "record_id", "sequence", 16)
-    return pages.cached_prefix(rows, known, "record_id", "sequence", 16)
-
-
 @query("""
 with r as (select record_id, any_value(sequence) as s from single_output_mask_builder group by 1),
 p as (select record_id, i as page, s[i * 16 + 1 : i * 16 + 16] as ids from r, unnest(range(len(s) // 16)) as u(i))
 select record_id, page, list_reduce([0::hugeint] || [x::hugeint for x in ids], lambda h, x: (h * 31 + x) % 18446744073709551616)::varchar as hash from p""")
-def page_hashes_all(spark, d):
-    """Every full page; ``page_hashes`` has the first of each sequence."""
+def page_hashes(spark, d):
     rows = table(spark, d, "single_output_mask_builder").dropDuplicates(["record_id"])
     return pages.pages(rows, "record_id", "sequence", 16).select("record_id", "page", F.col("hash").cast("string").alias("hash"))
 
@@ -652,7 +668,7 @@ p as (select record_id, t, i as page, s[i * 16 + 1 : i * 16 + 16] as ids from r,
 c as (select ids, min(t) as first from p group by 1), h as (select record_id, page, (first < t)::int as hit from p join c using (ids)),
 m as (select record_id, min(hit) over (partition by record_id order by page) as ok from h)
 select r.record_id, coalesce(sum(ok), 0)::bigint as cached_pages from r left join m using (record_id) group by 1""")
-def prefix_cache_earlier(spark, d):
+def prefix_cache(spark, d):
     """Each record asks for its pages when it was built; the pages of all records built earlier are cached."""
     built = table(spark, d, "single_output_mask_builder").select("record_id", "sequence", "built_at")
     rows = built.groupBy("record_id").agg(F.any_value("sequence").alias("sequence"), F.min("built_at").alias("built_at"))
@@ -669,10 +685,18 @@ def stop_sequences(spark, d):
     return s.select("record_id", "stop", F.length(F.coalesce(text.cut_at_last(F.col("chosen"), F.col("stop")), "chosen")).alias("kept"))
 
 
-@query()
+@query("""
+with a as (select record_id, length(any_value(chosen)) as n from dpo_tokenize group by 1)
+select record_id, 0 as place, 'look' as name, '"id": ' || record_id || ', "n": ' || coalesce(n, 0) as arguments, true as complete from a
+union all select record_id, 1, 'list', '[' || record_id || ']', true from a union all select record_id, 2, 'none', '', true from a
+union all select record_id, 3, 'open', ' "id": ' || record_id, false from a""")
 def tool_calls(spark, d):
-    a = table(spark, d, "dpo_tokenize").dropDuplicates(["record_id"]).select("record_id", F.concat_ws(" ", "chosen", F.lit('{"name": "look", "arguments": {"id":'), F.col("record_id").cast("string"), F.lit("}}")).alias("t"))
-    return toolcalls.parse_tool_calls(a, "t").select("record_id", F.explode("tool_calls").alias("c")).select("record_id", "c.name", "c.arguments", "c.complete")
+    """Answers without braces, then an object that is no call but holds one, three calls and one that is still open."""
+    a = table(spark, d, "dpo_tokenize").dropDuplicates(["record_id"])
+    i, n = F.col("record_id").cast("string"), F.coalesce(F.length("chosen"), F.lit(0)).cast("string")
+    parts = [F.translate(F.coalesce("chosen", F.lit("")), "{}", "()"), F.lit('{"x": {"name": "inner"}} {"name": "look", "arguments": {"id":'), i, F.lit(', "n":'), n, F.lit('}} {"name": "list", "arguments": ['), i, F.lit(']} {"name": "none", "parameters": {}} {"name": "open", "arguments": { "id": '), i]
+    calls = toolcalls.parse_tool_calls(a.select("record_id", F.concat(*parts).alias("t")), "t")
+    return calls.select("record_id", F.posexplode("tool_calls").alias("place", "c")).select("record_id", "place", "c.name", "c.arguments", "c.complete")
 
 
 @query("""

@@ -56,11 +56,13 @@ def stop_step(state: dict, delta: str, stops: list[str]) -> tuple[str, str | Non
 
 
 def tool_step(state: dict, delta: str) -> list[dict]:
-    """Events of a growing text: content before the first call, each name once, new ends of arguments."""
+    """Events of a growing text: content before the first call, each name once, new ends of arguments.
+
+    What an object shows before its name is there counts as content, since it may turn out to be none.
+    """
     text = state["text"] = state.get("text", "") + delta
     calls, out = find_calls(text), []
-    brace = text.find("{")
-    body = content_before(text, calls) if calls else (text if brace < 0 else text[:brace])
+    body = content_before(text, calls)
     sent = state.setdefault("content", 0)
     if len(body) > sent:
         out.append({"type": "content", "text": body[sent:]})
@@ -70,7 +72,7 @@ def tool_step(state: dict, delta: str) -> list[dict]:
         if i == len(known):
             known.append("")
             out.append({"type": "name", "index": i, "text": call["name"]})
-        if call["arguments"].startswith(known[i]) and len(call["arguments"]) > len(known[i]):
+        if len(call["arguments"]) > len(known[i]):
             out.append({"type": "arguments", "index": i, "text": call["arguments"][len(known[i]) :]})
             known[i] = call["arguments"]
     return out
