@@ -379,7 +379,7 @@ def test_json_modes(spark, tmp_path):
 def test_choices_csv_and_generate(spark, tmp_path):
     (tmp_path / "q.csv").write_text("question,A,B,C,D,answer\nq1,A) w,B) x,y,z,b\nshort,row\n")
     rows = json_files.read_choices(spark, str(tmp_path / "q.csv")).collect()
-    assert [(r.question, r.a, r.b, r.answer) for r in rows] == [("q1", "w", "x", "B")]
+    assert [(r.question, r.a, r.b, r.answer) for r in rows] == [("q1", "w", "x", "b")]
     df = spark.createDataFrame([("p",)], "prompt string")
     assert json_files.generate(df, lambda ps: [p + "!" for p in ps], "prompt").first().response == "p!"
 
@@ -566,3 +566,126 @@ def test_metric_stream(spark, tmp_path):
 
 def test_sse():
     assert decode.sse_chunk("t", "m", "x").startswith("data: {") and decode.sse_event("message_stop", {}).startswith("event: message_stop\n")
+
+
+# --- records, preferences, rollouts
+def test_preference_records(spark):
+    schema = "record_id long, prompt string, legacy_input string, chosen string, rejected string"
+    rows = spark.createDataFrame([(1, "p", None, "c", "r"), (2, "", "old", "c", "r"), (3, "", None, "c", "r"), (4, "p", None, None, "r"), (5, "p" * 50, None, "c", "r")], schema)
+    got = {r.record_id: r for r in build.dpo_ids(rows, "codepoint", 70).collect()}
+    text = "<|im_start|>user\np<|im_end|>\n<|im_start|>assistant\nc<|im_end|>\n"
+    assert "".join(map(chr, got[1].chosen)) == text and sum(got[1].chosen_mask) == len("c<|im_end|>\n") and got[1].chosen_mask[-12:] == [1] * 12
+    assert "old" in "".join(map(chr, got[2].chosen)) and not got[3].well_formed and got[3].chosen is None and not got[4].well_formed
+    assert len(got[5].chosen) == 70 and sum(got[5].chosen_mask) == 0
+    with pytest.raises(Exception, match="malformed"):
+        build.dpo_ids(rows, "codepoint", malformed="raise").collect()
+    kind = "array<struct<role:string,content:string>>"
+    talk = spark.createDataFrame([(1, [("system", "s"), ("user", "p")], [("assistant", "c"), ("assistant", None)], [("assistant", "r")])], f"record_id long, prompt {kind}, chosen {kind}, rejected {kind}")
+    one_row = build.dpo_ids(talk, "codepoint").first()
+    assert "".join(map(chr, one_row.chosen)) == "<|im_start|>system\ns<|im_end|>\n" + text
+    assert build.dpo_ids(rows.limit(0), "codepoint").count() == 0
+
+
+def test_a_record_that_fails_is_left_out_alone():
+    from tokenmill.operators.tokenize import Special, each_apart, sentinel_ids
+
+    def run(items):
+        return [len(x) if x != "bad" else 1 / 0 for x in items]
+
+    assert each_apart(run, ["a", "bad", "ccc"]) == [1, None, 3] and each_apart(run, []) == []
+    special = Special({"pad": "<p>", "eos": "<e>"}, {"<p>": 5, "<e>": 6})
+    assert sentinel_ids(lambda t: [ord(c) for c in t], "ab", special) == [97, 98]
+    assert sentinel_ids(lambda t: [], "x", special) == [5] and sentinel_ids(lambda t: [], None, Special()) == [0]
+
+
+def test_jsonl_stores(spark, tmp_path):
+    from tokenmill.sources import records
+
+    (tmp_path / "b.jsonl").write_text('{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}\n\nnot json\n', encoding="utf-8")
+    (tmp_path / "a.jsonl").write_text('{"messages": [{"role": "assistant", "content": "first"}]}\n', encoding="utf-8")
+    (tmp_path / "x.txt").write_text("no", encoding="utf-8")
+    schema = "messages array<struct<role:string,content:string>>"
+    rows, bad = records.read_lines(spark, str(tmp_path), schema)
+    assert [(r.record_idx, r.messages[0].content) for r in rows.orderBy("record_idx").collect()] == [(0, "first"), (1, "q")] and bad.count() == 1
+    with pytest.raises(ValueError):
+        records.jsonl_store(spark, str(tmp_path), schema)
+    with pytest.raises(FileNotFoundError):
+        records.jsonl_store(spark, str(tmp_path / "none"), schema)
+    store_ = records.STORES.get("jsonl")(spark, str(tmp_path), schema, tokenizer="codepoint")
+    assert store_.num_records == 2 and set(store_.keys) == {"sequence", "loss_mask", "position_ids"}
+    whole = [x for i in range(2) for x in store_.fetch_record(i, "sequence")]
+    n = store_.length("sequence")
+    assert n == len(whole) and store_.fetch(0, n, "sequence") == whole and store_.fetch(3, 3, "sequence") == [] and store_.fetch(20, n - 5, "sequence") == whole[20 : n - 5]
+    assert store_.fetch_record(-1, "sequence") == store_.fetch_record(1, "sequence")
+    for wrong in ((-1, 2), (n, n), (0, n + 1)):
+        with pytest.raises(ValueError):
+            store_.fetch(*wrong, "sequence")
+    with pytest.raises(IndexError):
+        store_.fetch_record(2)
+    with pytest.raises(KeyError):
+        store_.fetch_record(0, "nothing")
+    with pytest.raises(RuntimeError):
+        records.RecordStore().num_records
+    lazy = records.jsonl_store(spark, str(tmp_path), schema, processor=lambda df: df.select(F.transform("messages", lambda m: F.length(m["content"])).alias("sizes")))
+    assert lazy.fetch_record(0)["sizes"] == [5] and lazy.keys == ["sizes"]
+    with pytest.raises(RuntimeError):
+        lazy.length("sizes")
+    (tmp_path / "dataset_config.json").write_text(json.dumps(corpus.CHAT_CONFIG.to_dict() | {"preprocessing": {"max_seq_len": 4}}), encoding="utf-8")
+    assert len(records.jsonl_store(spark, str(tmp_path), schema).fetch_record(0, "sequence")) == 4
+
+
+def test_arrays_and_lines_in_one_folder(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"x": 1}, {"x": 2}]', encoding="utf-8")
+    (tmp_path / "b.jsonl").write_text('{"x": 3}\n\n', encoding="utf-8")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "c.json").write_text('{"x": 4}\n', encoding="utf-8")
+    for mode in ("fail", "skip"):
+        assert sorted(r.x for r in json_files.read_records(spark, str(tmp_path), "x int", mode).collect()) == [1, 2, 3, 4]
+    assert sorted(r.x for r in json_files.read_records(spark, str(tmp_path), "x int", recursive=False).collect()) == [1, 2, 3]
+
+
+def test_choice_files(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('Question,A,B,C,D,Answer\n " 1 + 1? ",A)one,B) two,(C) three,d)four, b \nshort,1,2\n"q, with comma",A,B,,D,A\n', encoding="utf-8")
+    got = [tuple(r) for r in json_files.read_choices(spark, str(tmp_path)).collect()]
+    assert got[-1] == ("q, with comma", "A", "B", "", "D", "A") and got[0][1:] == ("one", "two", "(C) three", "d)four", "b") and len(got) == 2
+
+
+def test_rollouts(spark):
+    from tokenmill.operators import rollout
+
+    class Length(rollout.RewardModel):
+        def score(self, prompts, responses):
+            return [[len(x) for x in r] for r in responses]
+
+    rollout.REWARDS.register("length")(Length) if not rollout.REWARDS.is_registered("length") else None
+    df = spark.createDataFrame([(1, "p", ["a", "bbb"]), (2, "p", None), (3, None, [None])], "row long, p string, r array<string>")
+    assert {r.row: r.rewards for r in rollout.score_responses(df, "length", "p", "r").collect()} == {1: [1.0, 3.0], 2: None, 3: [0.0]}
+    with pytest.raises(TypeError):
+        rollout.REWARDS.register("wrong")(dict)
+    assert [r.member for r in rollout.expand_groups(spark.range(1), 3).collect()] == [0, 1, 2]
+    kind = "batch int, key int, prompts array<int>, responses array<array<int>>, logprobs array<array<double>>"
+    rows = spark.createDataFrame([(0, 1, [5], [[1, 2], []], [[-1.0, -2.0], []]), (0, 2, [6, 7], [[3], [4]], [[-3.0], [-4.0]])], kind)
+    got = {r.key: r for r in rollout.collate_rollouts(rows, "batch", "key").collect()}
+    assert (got[1].prompts, got[1].prompt_mask, got[1].responses, got[1].response_mask[1], got[1].logprobs_old[1]) == ([0, 5], [False, True], [[1, 2], [0, 0]], [False, False], [0.0, 0.0])
+    assert rollout.collate_rollouts(spark.createDataFrame([(0, 1, [5], [[]], [[]])], kind), "batch", "key").first().responses == [[0]]
+    for wrong in ([(0, 1, [5], [[1]], [[]])], [(0, 1, [5], [[1]], [[0.0]]), (0, 2, [5], [[1], [2]], [[0.0], [0.0]])]):
+        with pytest.raises(Exception, match="differ"):
+            rollout.collate_rollouts(spark.createDataFrame(wrong, kind), "batch", "key").collect()
+    bins = rollout.pair_bins(spark.createDataFrame([(1, [1] * 5, [1] * 3), (2, [1], [1]), (3, [1] * 2, [])], "k int, c array<int>, r array<int>").withColumn("g", F.lit(0)), "k", "c", "r", 10, ["g"])
+    assert {r.k: r.bin for r in bins.collect()} == {1: 0, 2: 0, 3: 1}
+    counts = spark.createDataFrame([([1, 2, 2, 3], [3, 9])], "p array<int>, o array<int>").select(rollout.recent_counts(F.col("p"), F.col("o"), 2).alias("c")).first().c
+    assert counts == {2: 1, 3: 2, 9: 1}
+    ce = spark.createDataFrame([([-1.0, -2.0], [-3.0, -3.0], [1, 0])], "l array<double>, m array<double>, k array<int>")
+    assert ce.select(rollout.token_cross_entropy(F.col("l"), F.col("m"), F.col("k"), 0.1).alias("x")).first().x == pytest.approx(0.9 + 0.3)
+    assert ce.select(rollout.token_cross_entropy(F.col("l"), F.col("m")).alias("x")).first().x == 1.5
+
+
+def test_small_parts(spark):
+    assert one(spark, text.block_text(F.col("t")), t='[{"type": "image"}, {"type": "text", "text": "hi"}]') == "hi"
+    assert one(spark, text.block_text(F.col("t")), t="[plain]") == "[plain]" and spark.range(1).select(text.block_text(F.lit(None).cast("string")).alias("t")).first().t == ""
+    df = spark.createDataFrame([([], [1, 2], None), (None, None, [1])], "a array<int>, b array<int>, m array<int>")
+    assert [r.p for r in df.select(build.first_ids(["a", "b", "m"]).alias("p")).collect()] == [[1, 2], [1]]
+    assert build.filled_up(df.filter("b is not null"), "b", ["m"]).first().m == [0, 0]
+    assert pack.PACKERS.list_registered() == ["bfd", "bfd_split", "simple"]
+    with pytest.raises(ValueError):
+        scans.position_ids(F.col("x"), "odd")

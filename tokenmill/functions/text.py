@@ -64,6 +64,13 @@ def flatten_content(messages: Column, sep: str = "") -> Column:
     return F.array_join(F.transform(messages, lambda m: F.coalesce(m["content"], F.lit(""))), sep)
 
 
+def block_text(content: Column) -> Column:
+    """Text of a message's content, a string or a JSON list of blocks: the string, or its first block of type text; else empty."""
+    blocks = F.from_json(content, "array<struct<type:string,text:string>>")
+    first = F.try_element_at(F.filter(blocks, lambda b: b["type"] == "text"), F.lit(1))["text"]
+    return F.when(content.rlike(r"^\s*\[") & blocks.isNotNull(), F.coalesce(first, F.lit(""))).otherwise(F.coalesce(content, F.lit("")))
+
+
 def first_stop(body: Column, stops: list[str]) -> Column:
     """The first of the stops, in the order of the list, that the body holds; null if none."""
     found = F.filter(F.array(*[F.lit(s) for s in stops]), lambda s: F.contains(body, s)) if stops else F.array().cast("array<string>")

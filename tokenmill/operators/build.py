@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.config import BuildConfig
-from tokenmill.functions.text import domain_of, length_between, not_blank
+from tokenmill.functions.text import domain_of, flatten_content, length_between, not_blank
 from tokenmill.operators.tokenize import TOKENIZERS
 
 ROLES = ("system", "user", "assistant", "tool")
@@ -137,7 +137,7 @@ def build(df: DataFrame, config: BuildConfig, tokenizer: str | object = "codepoi
     """
     tok = TOKENIZERS.create(tokenizer) if isinstance(tokenizer, str) else tokenizer
     make, out = Sections(config, tok), [F.col(c) for c in keep]
-    domain = domain_of(F.col(config.output.domain_key)) if config.output.domain_key else domain_of(F.lit(None).cast("string"))
+    domain = domain_of(F.col(config.output.domain_key)) if config.output.domain_key in df.columns else domain_of(F.lit(None).cast("string"))
     out.append(domain.alias("domain"))
     if config.input.sources:
         primary = []
@@ -167,21 +167,56 @@ def build(df: DataFrame, config: BuildConfig, tokenizer: str | object = "codepoi
     return built.orderBy(keep[0]).limit(most) if most and keep else built
 
 
-def dpo_ids(df: DataFrame, tokenizer: str | object = "codepoint", most: int = 2048) -> DataFrame:
-    """Preference pairs: ids and masks of prompt + answer, the prompt masked.
+def as_messages(df: DataFrame, column: str) -> Column:
+    """A conversation as it is, a text as one user turn; null stays null."""
+    c = F.col(column)
+    if df.schema[column].dataType.typeName() == "array":
+        return F.transform(c, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    return F.when(c.isNotNull(), F.array(F.struct(F.lit("user").alias("role"), c.cast("string").alias("content"))))
+
+
+def as_answer(df: DataFrame, column: str) -> Column:
+    """A text as it is, the contents of a conversation joined; null stays null."""
+    c = F.col(column)
+    return flatten_content(c) if df.schema[column].dataType.typeName() == "array" else c
+
 
-    The prompt is ``legacy_input`` where ``prompt`` is null. A record without a prompt
-    or one of the answers is malformed; its four columns are null.
+def dpo_ids(df: DataFrame, tokenizer: str | object = "codepoint", most: int = 2048, key: str = "record_id", legacy: str = "legacy_input", malformed: str = "null") -> DataFrame:
+    """Preference records to ids and masks of the rendered conversation, the prompt masked.
+
+    ``prompt``, ``chosen`` and ``rejected`` may be texts or conversations; the prompt is ``legacy`` where it is null or
+    empty. The prompt is rendered with the opening of an answer, each side as the whole conversation with one closing
+    assistant turn; both are cut to ``most``. A record without a prompt or an answer is malformed: its four columns are
+    null, or the run ends with ``malformed="raise"``.
     """
     tok = TOKENIZERS.create(tokenizer) if isinstance(tokenizer, str) else tokenizer
-    prompt = tok.ids(F.coalesce("prompt", "legacy_input"))
+    start = F.array(F.lit(tok.bos_id)) if tok.bos_id is not None else None
+    ids = lambda text: F.concat(start, tok.ids(text)) if start is not None else tok.ids(text)
+    asked = as_messages(df, "prompt")
+    filled = F.size("prompt") > 0 if df.schema["prompt"].dataType.typeName() == "array" else F.col("prompt") != ""
+    asked = F.when(F.coalesce(filled, F.lit(False)), asked)
+    if legacy in df.columns:
+        asked = F.coalesce(asked, as_messages(df, legacy))
+    answers = {side: as_answer(df, side) for side in ("chosen", "rejected")}
+    whole = asked.isNotNull() & answers["chosen"].isNotNull() & answers["rejected"].isNotNull()
+    rows = df.select(key, whole.alias("well_formed"), asked.alias("_asked"), *[a.alias(side) for side, a in answers.items()])
+    rows = rows.withColumn("_prompt", F.least(F.size(ids(render_chat(F.col("_asked"), add_generation_prompt=True))), F.lit(most)))
     out = []
-    for side in ("chosen", "rejected"):
-        answer = tok.ids(F.col(side))
-        ids = F.concat(prompt, answer)
-        mask = F.concat(constant_mask(prompt, 0), constant_mask(answer, 1))
-        out += [truncate(ids, most).alias(side), truncate(mask, most).alias(f"{side}_mask")]
-    whole = F.coalesce("prompt", "legacy_input").isNotNull() & F.col("chosen").isNotNull() & F.col("rejected").isNotNull()
-    rows = df.select("record_id", whole.alias("well_formed"), *out)
-    keys = ["chosen", "chosen_mask", "rejected", "rejected_mask"]
-    return rows.select("record_id", "well_formed", *[F.when(F.col("well_formed"), F.col(k)).alias(k) for k in keys])
+    for side in answers:
+        turn = F.array(F.struct(F.lit("assistant").alias("role"), F.col(side).alias("content")))
+        full = truncate(ids(render_chat(F.concat("_asked", turn))), most)
+        out += [full.alias(side), F.transform(full, lambda _, i: (i >= F.col("_prompt")).cast("int")).alias(f"{side}_mask")]
+    rows = rows.select(key, "well_formed", *out)
+    refuse = F.raise_error(F.lit("malformed preference record")) if malformed == "raise" else None
+    keep = lambda k: F.when(F.col("well_formed"), F.col(k)) if refuse is None else F.when(F.col("well_formed"), F.col(k)).otherwise(refuse.cast("array<int>"))
+    return rows.select(key, "well_formed", *[keep(k).alias(k) for k in ("chosen", "chosen_mask", "rejected", "rejected_mask")])
+
+
+def first_ids(names: list[str]) -> Column:
+    """The first of these columns of ids that holds any, in the order in which they were declared; null if none does."""
+    return F.coalesce(*[F.when(F.size(n) > 0, F.col(n)) for n in names])
+
+
+def filled_up(df: DataFrame, primary: str, others: list[str]) -> DataFrame:
+    """Columns that a record lacks as zeros of the length of its primary ids."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.array_repeat(F.lit(0), F.size(primary))) for c in others})

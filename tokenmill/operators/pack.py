@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.operators.build import truncate
+from tokenmill.registry import Registry
 
 
 def plan_best_fit(lengths: list[int], most: int) -> list[int]:
@@ -47,22 +48,16 @@ def bin_plan(df: DataFrame, key: str, ids: str, most: int, groups: list[str]) ->
     return rows.groupBy(*groups).applyInPandas(plan, f"{kinds}, bin int, place int")
 
 
-def pack(df: DataFrame, key: str, arrays: list[str], most: int, groups: list[str], strategy: str = "simple", mode: str = "keep_start") -> DataFrame:
-    """Packed rows. ``arrays[0]`` drives the plan; all arrays are cut and joined alike.
+PACKERS = Registry()
 
-    ``simple`` truncates each record. ``bfd`` joins the members of a bin in the order of placement and
-    truncates. ``bfd_split`` first cuts longer records into chunks, so that no token is lost.
-    Null arrays stay absent (null) under simple and are empty in bins.
-    """
-    if strategy == "simple":
-        return df.select(*groups, key, *[truncate(F.col(a), most, mode).alias(a) for a in arrays])
-    if strategy == "bfd_split" and most > 0:
-        at = F.sequence(F.lit(0), F.floor((F.greatest(F.size(arrays[0]), F.lit(1)) - 1) / most))
-        cut = df.select(*groups, key, *arrays, F.explode(at).alias("_chunk"))
-        df = cut.select(*groups, F.struct(key, "_chunk").alias(key), *[F.slice(a, (F.col("_chunk") * most + 1).cast("int"), F.lit(most)).alias(a) for a in arrays])
-        df = df.withColumn(key, F.concat_ws("/", F.lpad(F.col(f"{key}.{key}").cast("string"), 20, "0"), F.lpad(F.col(f"{key}._chunk").cast("string"), 10, "0")))
-    elif strategy not in ("bfd", "bfd_split"):
-        raise ValueError(f"unknown packing {strategy!r}")
+
+@PACKERS.register("simple")
+def _simple(df: DataFrame, key: str, arrays: list[str], most: int, groups: list[str], mode: str) -> DataFrame:
+    return df.select(*groups, key, *[truncate(F.col(a), most, mode).alias(a) for a in arrays])
+
+
+@PACKERS.register("bfd")
+def _best_fit(df: DataFrame, key: str, arrays: list[str], most: int, groups: list[str], mode: str) -> DataFrame:
     capped = df.select(*groups, key, *[truncate(F.col(a), most, mode).alias(a) for a in arrays])
     placed = capped.join(bin_plan(df, key, arrays[0], most, groups), [*groups, key])
     whole = placed.groupBy(*groups, "bin").agg(F.array_sort(F.collect_list(F.struct("place", *arrays))).alias("_all"), F.count(F.lit(1)).alias("members"))
@@ -70,5 +65,24 @@ def pack(df: DataFrame, key: str, arrays: list[str], most: int, groups: list[str
     def members(name: str):
         return F.flatten(F.transform("_all", lambda x: F.coalesce(x[name], F.array().cast("array<int>"))))
 
-    joined = [truncate(members(a), most).alias(a) for a in arrays]
-    return whole.select(*groups, "bin", "members", *joined)
+    return whole.select(*groups, "bin", "members", *[truncate(members(a), most).alias(a) for a in arrays])
+
+
+@PACKERS.register("bfd_split")
+def _split_best_fit(df: DataFrame, key: str, arrays: list[str], most: int, groups: list[str], mode: str) -> DataFrame:
+    if most > 0:
+        at = F.sequence(F.lit(0), F.floor((F.greatest(F.size(arrays[0]), F.lit(1)) - 1) / most))
+        cut = df.select(*groups, key, *arrays, F.explode(at).alias("_chunk"))
+        name = F.concat_ws("/", F.lpad(F.col(key).cast("string"), 20, "0"), F.lpad(F.col("_chunk").cast("string"), 10, "0"))
+        df = cut.select(*groups, name.alias(key), *[F.slice(a, (F.col("_chunk") * most + 1).cast("int"), F.lit(most)).alias(a) for a in arrays])
+    return _best_fit(df, key, arrays, most, groups, mode)
+
+
+def pack(df: DataFrame, key: str, arrays: list[str], most: int, groups: list[str], strategy: str = "simple", mode: str = "keep_start") -> DataFrame:
+    """Packed rows. ``arrays[0]`` drives the plan; all arrays are cut and joined alike.
+
+    ``simple`` truncates each record. ``bfd`` joins the members of a bin in the order of placement and
+    truncates. ``bfd_split`` first cuts longer records into chunks, so that no token is lost.
+    Null arrays stay absent (null) under simple and are empty in bins. Further strategies can be registered.
+    """
+    return PACKERS.get(strategy)(df, key, arrays, most, groups, mode)

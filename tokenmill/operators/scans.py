@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tokenmill.registry import Registry
+
 
 def spread(df: DataFrame, small: int = 256 << 20) -> DataFrame:
     """A small table in fewer files than there are cores, dealt to all of them; larger ones as they are."""
@@ -158,17 +160,29 @@ def shard_index(epochs: DataFrame, domain: str = "domain") -> DataFrame:
     return epochs.join(numbered, [domain, "epoch"])
 
 
-def position_ids(ids: Column, mode: str, offset: Column | None = None) -> Column | None:
-    """``doc_reset``: 0.. per document; ``continuous``: over the shard, from ``offset``; ``none``: no column."""
-    if mode == "none":
-        return None
-    if mode == "doc_reset":
-        return F.transform(ids, lambda _, i: i)
-    if mode != "continuous":
-        raise ValueError(f"unknown position ids {mode!r}")
+POSITION_IDS = Registry()
+
+
+@POSITION_IDS.register("none")
+def _no_positions(ids: Column, offset: Column | None = None) -> None:
+    return None
+
+
+@POSITION_IDS.register("doc_reset")
+def _positions_of_document(ids: Column, offset: Column | None = None) -> Column:
+    return F.transform(ids, lambda _, i: i)
+
+
+@POSITION_IDS.register("continuous")
+def _positions_of_shard(ids: Column, offset: Column | None = None) -> Column:
     return F.transform(ids, lambda _, i: (offset + i).cast("int"))
 
 
+def position_ids(ids: Column, mode: str, offset: Column | None = None) -> Column | None:
+    """``doc_reset``: 0.. per document; ``continuous``: over the shard, from ``offset``; ``none``: no column; or a registered kind."""
+    return POSITION_IDS.get(mode)(ids, offset)
+
+
 def document_ids(positions: Column) -> Column:
     """Number of the document of each token: a new one where a position isn't above the one before."""
     start = F.transform(positions, lambda p, i: F.when((i == 0) | (p <= F.get(positions, i - 1)), i))
@@ -194,6 +208,11 @@ def seeded_order(df: DataFrame, key: str, seed: int, out: str = "position", buck
     return hashed.join(F.broadcast(base), "_b").withColumn(out, F.col("_base") + rank).drop("_h", "_b", "_base")
 
 
+def subsample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """``n`` rows drawn by a seeded hash of the key, or all if there are no more."""
+    return df.orderBy(seeded_hash(F.col(key), seed), key).limit(n)
+
+
 def sampler_length(n: int, replicas: int = 1, resume: int = 0, drop_last: bool = False) -> int:
     """Records that one replica still has to give in its epoch, of which it has given ``resume``."""
     each = n // replicas if drop_last else -(-n // replicas)

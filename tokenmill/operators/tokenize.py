@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import logging
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tokenmill.registry import Registry
 
+logger = logging.getLogger(__name__)
+
 TOKENIZERS = Registry()
 
 
@@ -62,6 +65,27 @@ class Words:
         return F.transform(words(text), lambda w: F.pmod(F.xxhash64(w), F.lit(1 << 31)).cast("int"))
 
 
+def each_apart(run: Callable[[list], list], items: list) -> list:
+    """``run`` over all items at once; if that fails, one by one, and None for those that fail alone."""
+    try:
+        return run(items)
+    except Exception:
+        out = []
+        for item in items:
+            try:
+                out += run([item])
+            except Exception:
+                logger.warning("failed to process a record, left out", exc_info=True)
+                out.append(None)
+        return out
+
+
+def sentinel_ids(encode: Callable[[str], list[int]], text: str | None, special: Special) -> list[int]:
+    """Ids that stand before a pass without context: those of ``text``, else the first of bos, pad and eos that there is, else 0."""
+    ids = encode(text) if text else []
+    return ids or [next((i for i in map(special.id_of, ("bos", "pad", "eos")) if i is not None), 0)]
+
+
 @TOKENIZERS.register("file")
 @dataclass
 class VocabularyFile:
@@ -81,7 +105,7 @@ class VocabularyFile:
         return cls(str(Path(folder, "tokenizer.json")), conf.get("bos_id"))
 
     def encode(self, df: DataFrame, text_col: str, out: str = "ids", special: bool = False, as_tokens: bool = False) -> DataFrame:
-        """``df`` and the ids (or token strings) of ``text_col``; null text has null."""
+        """``df`` and the ids (or token strings) of ``text_col``; null text, and one that the tokenizer fails on, has null."""
         path, kind = self.path, pa.string() if as_tokens else pa.int32()
         rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.col(text_col).alias("text"))
 
@@ -91,8 +115,7 @@ class VocabularyFile:
             tok = Tokenizer.from_file(path)
             for batch in batches:
                 texts = batch.column(1).to_pylist()
-                done = iter(tok.encode_batch([t for t in texts if t is not None], add_special_tokens=special))
-                done = (e.tokens if as_tokens else e.ids for e in done)
+                done = iter(each_apart(lambda some: [e.tokens if as_tokens else e.ids for e in tok.encode_batch(some, add_special_tokens=special)], [t for t in texts if t is not None]))
                 got = [None if t is None else next(done) for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(kind))], names=["row", out])
 

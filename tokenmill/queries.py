@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from tokenmill.config import BuildConfig
 from tokenmill.functions import checks, text, toolcalls
-from tokenmill.operators import build, collate, metrics, numerics, pack, scans
+from tokenmill.operators import build, collate, metrics, numerics, pack, rollout, scans
 from tokenmill.operators.tokenize import Codepoints
 from tokenmill.plans import corpus
-from tokenmill.sources import json_files, store
+from tokenmill.sources import json_files, records, store
 from tokenmill.streaming import metrics as metric_stream
 from tokenmill.streaming import pages
 
@@ -115,26 +115,46 @@ def grpo_list_field(spark, d):
     return nested.agg(F.countDistinct("rollout_id").alias("records"), F.sum(F.size("ids")).cast("bigint").alias("responses"), F.sum(sizes).cast("bigint").alias("tokens"))
 
 
-@query("""
-with x as (select record_id, coalesce(prompt, legacy_input) as p, chosen, rejected from dpo_tokenize)
-select record_id, p is not null and chosen is not null and rejected is not null as well_formed,
- case when p is not null and chosen is not null and rejected is not null then least(length(p || chosen), 1024)::int end as n_chosen,
- case when p is not null and chosen is not null and rejected is not null then greatest(least(length(p || rejected), 1024) - length(p), 0)::int end as trained_rejected from x""")
+DPO = """x as (select record_id, any_value('<|im_start|>user' || chr(10) || coalesce(nullif(prompt, ''), legacy_input) || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)) as p, any_value(chosen || '<|im_end|>' || chr(10)) as c, any_value(rejected || '<|im_end|>' || chr(10)) as r from dpo_tokenize group by 1),
+ok as (select *, p is not null and c is not null and r is not null as well_formed from x)"""
+SUM = "list_sum([unicode(u) for u in string_split({}, '')])::bigint"
+
+
+@query(f"""
+with {DPO} select record_id, well_formed, case when well_formed then {SUM.format("left(p || c, 1024)")} end as chosen_sum, case when well_formed then {SUM.format("left(p || r, 1024)")} end as rejected_sum,
+ case when well_formed then greatest(least(length(p || c), 1024) - length(p), 0)::bigint end as trained_chosen, case when well_formed then greatest(least(length(p || r), 1024) - length(p), 0)::bigint end as trained_rejected from ok""")
 def dpo_records(spark, d):
-    rows = build.dpo_ids(table(spark, d, "dpo_tokenize"), CP, 1024)
-    trained = F.aggregate("rejected_mask", F.lit(0), lambda a, x: a + x)
-    return rows.select("record_id", "well_formed", F.when(F.col("well_formed"), F.size("chosen")).alias("n_chosen"), F.when(F.col("well_formed"), trained).alias("trained_rejected"))
+    """Rendered conversations, cut to 1,024 ids."""
+    rows = build.dpo_ids(table(spark, d, "dpo_tokenize").dropDuplicates(["record_id"]), CP, 1024)
+    add = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return rows.select("record_id", "well_formed", add("chosen").alias("chosen_sum"), add("rejected").alias("rejected_sum"), add("chosen_mask").alias("trained_chosen"), add("rejected_mask").alias("trained_rejected"))
 
 
-@query("""
-with x as (select distinct record_id, length(coalesce(prompt, legacy_input)) + length(chosen) as c, length(coalesce(prompt, legacy_input)) + length(rejected) as r from dpo_tokenize
- where coalesce(prompt, legacy_input) is not null and chosen is not null and rejected is not null)
-select record_id // 64 as batch, count(*) as rows, max(greatest(c, r)) as width from x group by 1""")
+@query(f"""
+with {DPO}, y as (select record_id // 64 as batch, p || c as c, p || r as r, length(c) + length(r) as t from ok where well_formed)
+select batch, count(*) as rows, max(greatest(length(c), length(r))) as width, sum({SUM.format("c")} + {SUM.format("r")})::bigint as checksum, sum(t)::bigint as trained from y group by 1""")
 def dpo_collate(spark, d):
     rows = build.dpo_ids(table(spark, d, "dpo_tokenize").dropDuplicates(["record_id"]), CP, 1_000_000).filter("well_formed")
     padded = collate.collate_dpo(collate.batches(rows, "record_id", 64))
-    same = F.when((F.min(F.size("chosen")) == F.max(F.size("rejected_mask"))), F.max(F.size("chosen")))
-    return padded.groupBy("batch").agg(F.count(F.lit(1)).alias("rows"), same.cast("bigint").alias("width"))
+    widths = F.array(*[F.size(c) for c in ("chosen", "rejected", "chosen_mask", "rejected_mask")])
+    same = F.when(F.min(F.array_min(widths)) == F.max(F.array_max(widths)), F.max(F.array_max(widths)))
+    add = lambda *c: F.sum(F.aggregate(F.concat(*c), F.lit(0).cast("bigint"), lambda a, x: a + x))
+    return padded.groupBy("batch").agg(F.count(F.lit(1)).alias("rows"), same.cast("bigint").alias("width"), add("chosen", "rejected").alias("checksum"), add("chosen_mask", "rejected_mask").alias("trained"))
+
+
+@query(f"""
+with r as (select rollout_id, any_value(messages) as m from rollout where len(messages) > 0 group by 1),
+a as (select rollout_id, m[:len(m) - 1] as before, coalesce(m[len(m)].content, '') as last from r where len(m) > 1), t as (select rollout_id, array_to_string([{RENDER} for m in before], '') as t, last from a)
+select rollout_id, length(t || '<|im_start|>assistant' || chr(10) || last || '<|im_end|>' || chr(10)) as n, (length(last) + 11)::bigint as trained, {SUM.format("t || '<|im_start|>assistant' || chr(10) || last || '<|im_end|>' || chr(10)")} as checksum from t""")
+def dpo_conversations(spark, d):
+    """Conversations as prompts, their last message as both answers, one of them as a conversation."""
+    rows = table(spark, d, "rollout").dropDuplicates(["rollout_id"]).filter(F.size("messages") > 1)
+    last = F.coalesce(F.try_element_at("messages", F.lit(-1))["content"], F.lit(""))
+    rows = rows.select("rollout_id", F.slice("messages", F.lit(1), F.size("messages") - 1).alias("prompt"), last.alias("chosen"), F.array(F.struct(F.lit("assistant").alias("role"), last.alias("content"))).alias("rejected"))
+    out = build.dpo_ids(rows, CP, 10_000_000, key="rollout_id", malformed="raise")
+    add = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    same = F.when((F.col("chosen") == F.col("rejected")) & (F.col("chosen_mask") == F.col("rejected_mask")), F.size("chosen"))
+    return out.select("rollout_id", same.cast("bigint").alias("n"), add("chosen_mask").alias("trained"), add("chosen").alias("checksum"))
 
 
 @query("""
@@ -290,6 +310,11 @@ def validation_split(spark, d):
     return scans.split_validation(table(spark, d, "documents").select("doc_id"), "doc_id", 0.05, seed=3).select("doc_id", "is_validation")
 
 
+@query("select doc_id from documents order by ('0x' || substr(md5(concat_ws('|', doc_id, 5)), 1, 15))::bigint, doc_id limit 200")
+def random_subsample(spark, d):
+    return scans.subsample(table(spark, d, "documents").select("doc_id"), "doc_id", 200, seed=5)
+
+
 @query("select min(doc_id) as doc_id, count(*) as copies from documents where text is not null group by text")
 def exact_copies(spark, d):
     docs = table(spark, d, "documents").filter("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.md5("text").alias("m"))
@@ -389,6 +414,19 @@ def instruction_difficulty(spark, d):
     return s.select("count", "valid", "skipped", *[F.round(c, 5).alias(c) for c in ("mean", "median", "stdev", "min", "max")])
 
 
+@query("""
+with x as (select sample_id, any_value(run_id) as run_id, avg(loss) filter (where pos % 2 = 0) as c, avg(loss) filter (where pos % 2 = 1) as u from (select any_value(sample_id) as sample_id, any_value(run_id) as run_id, any_value(pos) as pos, any_value(token_loss) as loss from token_losses group by loss_id) where loss is not null and not isnan(loss) group by sample_id, run_id),
+y as (select run_id, round(case when u <> 0 then c / u end, 6) as v from x)
+select run_id, round(avg(v), 6) as ifd, count(*) as turns, count(v) as valid from y group by 1""")
+def difficulty_by_conversation(spark, d):
+    """Runs stand for conversations and samples for their turns; losses at even and odd places for those with and without context."""
+    rows = _losses(spark, d).filter(F.col("loss").isNotNull() & ~F.isnan("loss"))
+    means = rows.groupBy("sample_id", "run_id").agg(F.avg(F.when(F.col("pos") % 2 == 0, F.col("loss"))).alias("c"), F.avg(F.when(F.col("pos") % 2 == 1, F.col("loss"))).alias("u"))
+    pairs = means.select("run_id", F.concat_ws("/", "sample_id", F.col("run_id").cast("string")).alias("turn"), F.array("c").alias("c"), F.array("u").alias("u"))
+    scored = metrics.difficulty(pairs, "turn", "c", "u").join(pairs.select("turn", "run_id"), "turn")
+    return rollout.conversation_difficulty(scored, "run_id").select("run_id", "ifd", "turns", "valid")
+
+
 @query("""
 with r as (select distinct rollout_id, messages from rollout), e as (select rollout_id, messages, unnest(range(len(messages))) as turn from r)
 select rollout_id, turn::int as turn, md5(array_to_string([coalesce(m.content, '') for m in messages[1:turn]], chr(10) || chr(10))) as context, length(coalesce(messages[turn + 1].content, ''))::int as n_response
@@ -559,6 +597,35 @@ def frequency_penalty(spark, d):
     return best.select("row_id", (-F.col("b.col2")).cast("int").alias("token_id"), F.round("b.logit", 5).alias("logit"))
 
 
+@query("""
+with r as (select record_id, any_value(sequence) as s from single_output_mask_builder where len(sequence) > 0 group by 1),
+t as (select record_id, unnest(s[greatest(len(s) - 63, 1):]) as token_id from r), c as (select record_id, token_id, count(*) as n from t group by 1, 2)
+select record_id, count(*) as ids, max(n)::int as most, sum(n * token_id)::bigint as weighted from c group by 1""")
+def recent_counts(spark, d):
+    """What the frequency penalty counts: ids among the last 64."""
+    rows = table(spark, d, "single_output_mask_builder").filter(F.size("sequence") > 0).dropDuplicates(["record_id"])
+    rows = rows.select("record_id", rollout.recent_counts(F.col("sequence"), F.array().cast("array<int>"), 64).alias("c"))
+    weighted = F.aggregate(F.map_entries("c"), F.lit(0).cast("bigint"), lambda a, e: a + e["key"].cast("bigint") * e["value"])
+    return rows.select("record_id", F.size("c").cast("bigint").alias("ids"), F.array_max(F.map_values("c")).alias("most"), weighted.alias("weighted"))
+
+
+@query("""
+with x as (select rollout_id, any_value(messages) as m from rollout where len(messages) > 0 group by 1), p as (select rollout_id, rollout_id // 16 as batch, coalesce(m[1].content, '') as p, [length(coalesce(m[len(m)].content, '')), len(m)] as n from x)
+select batch, count(*) as rows, max(length(p)) as width, max(greatest(list_max(n), 1)) as longest, sum(list_sum(n))::bigint as tokens, round(sum(-list_sum(n) / 2.0), 3)::double as logprob from p group by 1""")
+def rollout_collate(spark, d):
+    """Groups of two responses a prompt: as many sevens as the last message has letters, and as there are messages; each with log-probability -1/2."""
+    rows = table(spark, d, "rollout").filter(F.size("messages") > 0).dropDuplicates(["rollout_id"])
+    n = F.array(F.length(F.coalesce(F.try_element_at("messages", F.lit(-1))["content"], F.lit(""))), F.size("messages"))
+    rows = rollout.expand_groups(rows.select("rollout_id", F.floor(F.col("rollout_id") / 16).alias("batch"), CP.ids(F.coalesce(F.col("messages")[0]["content"], F.lit(""))).alias("prompts"), n.alias("n")), 2)
+    each = rows.groupBy("rollout_id", "batch").agg(F.any_value("prompts").alias("prompts"), F.array_sort(F.collect_list(F.struct("member", F.array_repeat(F.lit(7), F.col("n")[F.col("member")]).alias("ids")))).alias("g"))
+    each = each.select("rollout_id", "batch", "prompts", F.transform("g", lambda x: x["ids"]).alias("responses")).withColumn("logprobs", F.transform("responses", lambda x: F.transform(x, lambda _: F.lit(-0.5))))
+    out = rollout.collate_rollouts(each, "batch", "rollout_id")
+    return out.groupBy("batch").agg(
+        F.count(F.lit(1)).alias("rows"), F.max(F.size("prompt_mask")).cast("bigint").alias("width"), F.max(F.size(F.col("response_mask")[1])).cast("bigint").alias("longest"),
+        F.sum(F.size(F.filter(F.flatten("response_mask"), lambda x: x))).cast("bigint").alias("tokens"), F.round(F.sum(F.aggregate(F.flatten("logprobs_old"), F.lit(0.0), lambda a, x: a + x)), 3).alias("logprob"),
+    )
+
+
 @query(f"""
 with z as (select row_id, max(logit) as m, ln(sum(exp(logit))) as s from {LOGITS} group by 1)
 select l.row_id, l.token_id, round(l.logit - z.s, 6) as logprob from {LOGITS} l join z using (row_id) where l.token_id = l.row_id % 16""")
@@ -726,6 +793,16 @@ def json_round_trip(spark, d):
     return back.select("doc_id", F.md5("text").alias("digest"), "source")
 
 
+@query("select md5(coalesce(text, '')) as digest, row_number() over (order by doc_id) - 1 as record_idx from documents")
+def jsonl_store(spark, d):
+    """Documents written as JSON lines in the order of their ids and read back as numbered records."""
+    path = scratch(spark, "jsonl")
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs.select(F.to_json(F.struct("doc_id", "text")).alias("value"), "doc_id").repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").select("value").write.text(path)
+    rows, _ = records.read_lines(spark, records.renamed(spark, path), "doc_id bigint, text string")
+    return rows.select(F.md5("text").alias("digest"), "record_idx")
+
+
 @query("select record_id, len(any_value(sequence)) as n, list_sum(any_value(sequence))::bigint as checksum, coalesce(any_value(domain), '__default__') as domain from single_output_mask_builder group by 1")
 def shard_round_trip(spark, d):
     rows = table(spark, d, "single_output_mask_builder").dropDuplicates(["record_id"]).withColumn("domain", text.domain_of(F.col("domain")))
