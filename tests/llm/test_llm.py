@@ -261,10 +261,30 @@ def test_budget_by_deltas(spark):
     assert budget.TokenBudget("record_id", "text", ["source"]).update(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_budget_outlives_its_session(spark, tmp_path):
+    schema, path = "record_id long, text string, source string", str(tmp_path / "state")
+    make = lambda: budget.TokenBudget("record_id", "text", ["source", "domain"], path=path)
+    domain = lambda rows: budget.domains(rows, spark.createDataFrame([(1, "A "), (1, "a")], "record_id long, domain string"), "record_id")
+    first = spark.createDataFrame([(1, "one two", "s"), (2, "one two", "s"), (3, "three", None)], schema)
+    kept = make()
+    assert kept.open(spark) is None
+    got = {(r.source, r.domain): (r.records, r.tokens) for r in kept.update(first, domain(first)).collect()}
+    assert got == {("s", "a"): (1, 2), ("s", "__default__"): (1, 2), (None, "__default__"): (1, 1)} and kept.encoded == 2  # copies once
+    again = make()
+    assert sorted(map(str, again.open(spark).collect())) == sorted(map(str, kept._shown().collect()))
+    for text, encoded in (("one two", 0), ("new words here", 1), ("three", 0)):
+        second = spark.createDataFrame([(1, text, "s")], schema)
+        later = make()
+        assert later.update(second, domain(second)).count() == 1 and later.encoded == encoded
+    assert later.version == 4 and sorted(x.name for x in (tmp_path / "state").iterdir()) == ["v3", "v4"]
+    (tmp_path / "state" / "v4" / "done").unlink()  # a version that was broken off doesn't count
+    assert make().open(spark).collect()[0].tokens == 3
+
+
 def test_domain_counts_once(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "record_id long, domain string")
     built = spark.createDataFrame([(1, " WEB"), (1, "web "), (3, "x")], "record_id long, domain string")
-    assert {tuple(x) for x in budget.with_domain(rows, "record_id", built).collect()} == {(1, "web"), (2, "__default__")}
+    assert {tuple(x) for x in budget.domains(rows, built, "record_id").collect()} == {(1, "web"), (2, "__default__")}
 
 
 # --- 2: pairs

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -47,14 +49,45 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back.
 
-    The lineage ends at files that outlive the executors which wrote them.
+    The lineage ends at files that outlive the executors which wrote them. They
+    are removed when the driver's session ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    remove_at_end(spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hadoop(spark: SparkSession, path: str):
+    """The path as Hadoop has it, and its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    at, fs = hadoop(spark, path)
+    fs.mkdirs(at.getParent())
+    _ENDS.setdefault(id(spark._jvm), _Ends(spark)).paths.append((at, fs))
+
+
+class _Ends:
+    """Folders to remove when this process ends or stops its session, while the JVM still answers."""
+
+    def __init__(self, spark: SparkSession):
+        self.paths: list = []
+        atexit.register(self.clear)
+
+    def clear(self) -> None:
+        while self.paths:
+            at, fs = self.paths.pop()
+            with contextlib.suppress(Exception):
+                fs.delete(at, True)
+
+
+_ENDS: dict[int, _Ends] = {}
+
+
 def first_delivery(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """One row per key; a row delivered twice has the same content, so any will do."""
     return df.select(key, *columns).dropDuplicates([key])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +43,9 @@ class FMIndex:
             self.ones.append(np.concatenate([[0], np.cumsum(bit)]).astype(np.int32))
             self.zeros.append(int(self.n - bit.sum()))
             level = np.concatenate([level[bit == 0], level[bit == 1]])
-        self.bwt = bwt
         kept = (sa % sample == 0) | (bwt == 0)
-        self.kept, self.sampled = kept, np.where(kept, sa, -1)
+        self.kept = np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)  # how many sampled rows stand before each
+        self.sampled = sa[kept].astype(np.int32)
 
     @staticmethod
     def _suffixes(seq: np.ndarray) -> np.ndarray:
@@ -107,14 +107,24 @@ class FMIndex:
         out, steps = np.full(len(rows), -1, np.int64), np.zeros(len(rows), np.int64)
         live, row = np.arange(len(rows)), rows.astype(np.int64)
         while len(live):
-            hit = self.kept[row]
-            out[live[hit]] = self.sampled[row[hit]] + steps[live[hit]]
+            before = self.kept[row]
+            hit = self.kept[row + 1] > before
+            out[live[hit]] = self.sampled[before[hit]] + steps[live[hit]]
             live, row = live[~hit], row[~hit]
             steps[live] += 1
-            c = self.bwt[row]
-            row = self.first[c] + self.rank(c, row)
+            row = self._before(row)
         return out
 
+    def _before(self, row: np.ndarray) -> np.ndarray:
+        """Row of the suffix one place to the left: its code is read from the wavelet tree on the way to its rank."""
+        at, code, lo = row, np.zeros_like(row), np.zeros_like(row)
+        for k in range(self.bits):
+            ones = self.ones[k]
+            bit = ones[at + 1] - ones[at]
+            code = code << 1 | bit
+            at, lo = np.where(bit, self.zeros[k] + ones[at], at - ones[at]), np.where(bit, self.zeros[k] + ones[lo], lo - ones[lo])
+        return self.first[code] + at - lo
+
 
 def phrase_table(items: list[tuple[int, str | None]], run: int) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
     """Codes of the items' tokens, all distinct (phrase, item), phrases of ``run`` tokens."""
@@ -146,21 +156,19 @@ def find_leaks(
     one row are merged. Null and empty texts and items of under ``run`` tokens
     have none; copies and rows delivered twice are searched row by row.
 
-    The items are the stated query set: they are collected in blocks of
-    ``block_items`` (an error beyond 64 blocks) and every text is searched for all.
+    The items are the stated query set, of any number: they come to the driver in blocks of
+    ``block_items``, and every text is searched for each block.
     Each task indexes its shard in blocks of about ``shard_tokens`` tokens. Tokens
     that no item holds end a run of text, and runs too short for a phrase are
     left out of the index; both can't be part of any occurrence. One narrow stage.
     """
-    questions = [(r[0], r[1]) for r in items.select(item_col, question_col).filter(F.col(item_col).isNotNull()).distinct().limit(64 * block_items + 1).collect()]
-    if len(questions) > 64 * block_items:
-        raise ValueError("too many items; search them in several calls")
     rows = corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
     id_type = rows.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, item_id bigint, start_char int, end_char int, n_tokens int"
     out = None
-    for at in range(0, max(1, len(questions)), block_items):
-        table = corpus.sparkSession.sparkContext.broadcast(phrase_table(questions[at : at + block_items], run))
+    asked = items.select(item_col, question_col).filter(F.col(item_col).isNotNull()).distinct().toLocalIterator()
+    while (block := [(r[0], r[1]) for r in islice(asked, block_items)]) or out is None:
+        table = corpus.sparkSession.sparkContext.broadcast(phrase_table(block, run))
         found = rows.mapInArrow(_searcher(table, run, shard_tokens), schema)
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("id", id_col)

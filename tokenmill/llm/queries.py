@@ -20,32 +20,36 @@ def conversations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _near(spark: SparkSession, d: str):
-    """The two corpora side by side; ids of rollout are kept apart by their sign."""
-    a = table(spark, d, "pretrain").select(F.col("record_id").alias("id"), "text")
-    b = conversations(spark, d).select((-F.col("rollout_id") - 1).alias("id"), "text")
+    """The two corpora side by side; the last bit of an id tells the corpus (ids within 62 bits and a sign)."""
+    a = table(spark, d, "pretrain").select((F.col("record_id") * 2).alias("id"), "text")
+    b = conversations(spark, d).select((F.col("rollout_id") * 2 + 1).alias("id"), "text")
     both = a.unionByName(b)
     return neardup.near_duplicates(both, "id", "text", k=3, threshold=0.6)
 
 
 def _own_id(column):
-    return F.when(column < 0, -column - 1).otherwise(column)
+    return F.shiftright(column, 1)
+
+
+def _of_rollout(column):
+    return column.bitwiseAND(F.lit(1)) == 1
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     links, members = _near(spark, d)
-    found = neardup.all_pairs(links, members).filter((F.col("id_a") < 0) == (F.col("id_b") < 0))
+    found = neardup.all_pairs(links, members).filter(_of_rollout(F.col("id_a")) == _of_rollout(F.col("id_b")))
     x, y = _own_id(F.col("id_a")), _own_id(F.col("id_b"))
-    corpus = F.when(F.col("id_a") < 0, "rollout").otherwise("pretrain").alias("corpus")
+    corpus = F.when(_of_rollout(F.col("id_a")), "rollout").otherwise("pretrain").alias("corpus")
     return found.select(corpus, F.least(x, y).alias("id_a"), F.greatest(x, y).alias("id_b")).distinct()
 
 
 def p1_classes(spark: SparkSession, d: str) -> DataFrame:
     """Classes over both corpora. class_corpus and class_id name a class's first record: the least id of pretrain, else of rollout."""
     classes = neardup.duplicate_classes(*_near(spark, d))
-    first = classes.groupBy("class_id").agg(F.min(F.struct(F.col("id") < 0, _own_id(F.col("id")).alias("id"))).alias("first"))
+    first = classes.groupBy("class_id").agg(F.min(F.struct(_of_rollout(F.col("id")).alias("col1"), _own_id(F.col("id")).alias("id"))).alias("first"))
     corpus = lambda rollout: F.when(rollout, "rollout").otherwise("pretrain")
     return classes.join(first, "class_id").select(
-        corpus(F.col("id") < 0).alias("corpus"), _own_id(F.col("id")).alias("record_id"), corpus(F.col("first.col1")).alias("class_corpus"), F.col("first.id").alias("class_id"), "n_links"
+        corpus(_of_rollout(F.col("id"))).alias("corpus"), _own_id(F.col("id")).alias("record_id"), corpus(F.col("first.col1")).alias("class_corpus"), F.col("first.id").alias("class_id"), "n_links"
     )
 
 
@@ -66,9 +70,9 @@ def _mix(total: str):
     return query
 
 
-def _budget_rows(spark: SparkSession, d: str) -> DataFrame:
+def _budget_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, d, "pretrain").select("record_id", "text", "source", F.lower(F.trim("lang")).alias("lang"), "ingested_at")
-    return budget.with_domain(rows, "record_id", table(spark, d, "single_output_mask_builder"))
+    return rows, budget.domains(rows, table(spark, d, "single_output_mask_builder"), "record_id")
 
 
 def _budget() -> budget.TokenBudget:
@@ -76,16 +80,18 @@ def _budget() -> budget.TokenBudget:
 
 
 def p4_cube(spark: SparkSession, d: str) -> DataFrame:
-    return _budget().update(_budget_rows(spark, d))
+    return _budget().update(*_budget_rows(spark, d))
 
 
 def p4_update(spark: SparkSession, d: str) -> DataFrame:
-    """The same cube in two steps: what had come by the middle of the deliveries, then everything."""
-    rows, kept = _budget_rows(spark, d), _budget()
+    """The same cube in two steps, the second by a budget that opens what the first has left: what had come by the middle of the deliveries, then everything."""
+    (rows, domain), kept = _budget_rows(spark, d), _budget()
     came = F.unix_micros(F.col("ingested_at").cast("timestamp"))
     middle = rows.agg(F.percentile_approx(came, 0.5)).first()[0]
-    kept.update(rows.filter(came <= F.lit(middle)))
-    return kept.update(rows)
+    kept.update(rows.filter(came <= F.lit(middle)), domain)
+    later = _budget()
+    later.path = kept.path
+    return later.update(rows, domain)
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
