@@ -145,6 +145,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+TOKENS = "regexp_extract_all(regexp_replace(lower({}), '([\\x{{4e00}}-\\x{{9fff}}])', ' \\1 ', 'g'), '[\\pL\\pN]+')"
+P1_SQL = f"""
+with texts as (select 'pretrain' as corpus, record_id as id, any_value(text) as t from pretrain group by 2
+ union all select 'rollout', rollout_id, any_value(array_to_string([coalesce(m.content, '') for m in messages], chr(10))) from rollout group by 2),
+w as (select corpus, id, {TOKENS.format("t")} as w from texts where t is not null),
+g as (select distinct corpus, id, hash(w[i], w[i + 1], w[i + 2]) as g from w, unnest(range(1, len(w) - 1)) as u(i)),
+n as (select corpus, id, count(*) as n from g group by 1, 2),
+p as (select a.corpus, a.id as id_a, b.id as id_b, count(*) as shared from g a join g b on a.corpus = b.corpus and a.g = b.g and a.id < b.id group by 1, 2, 3)
+select p.corpus, id_a, id_b from p join n x on x.corpus = p.corpus and x.id = id_a join n y on y.corpus = p.corpus and y.id = id_b where shared >= 0.6 * (x.n + y.n - shared)"""
+P5_RUN = "array_to_string(w[i : i + 11], ' ')"
+P5_SQL = f"""
+with texts as (select 'pretrain' as corpus, record_id, text as t from pretrain union all select 'dpo_tokenize', record_id, coalesce(prompt, legacy_input) from dpo_tokenize),
+w as (select corpus, record_id, {TOKENS.format("t")} as w from (select distinct * from texts) where t is not null),
+q as (select item_id, {TOKENS.format("question")} as w from eval_items),
+i as (select distinct item_id, {P5_RUN} as g from q, unnest(range(1, len(w) - 10)) as u(i))
+select distinct corpus, record_id, item_id from (select corpus, record_id, {P5_RUN} as g from w, unnest(range(1, len(w) - 10)) as u(i)) join i using (g)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """None of these operators can be said in SQL over whole tables; tests/llm holds the exact comparisons."""
-    return {}
+    """All pairs and all runs of twelve, for small tables; the other operators can't be said in SQL (tests/llm compares them exactly)."""
+    return {"p1_found": P1_SQL, "p5_found": P5_SQL}
