@@ -28,7 +28,7 @@ def one(spark, column, **values):
 # --- configuration and registry
 def test_config_defaults_round_trip_and_coercion(tmp_path):
     c = BuildConfig.from_dict({"preprocessing": {"max_seq_len": 64.0, "unknown": 1}, "mask": MASKS, "output": {"domain_key": "d"}})
-    assert c.preprocessing.max_seq_len == 64 and c.preprocessing.min_chars == 50 and c.output.max_tokens_per_shard == 100_000_000
+    assert c.max_seq_len == 64 and c.min_chars == 50 and c.max_tokens_per_shard == 100_000_000
     c.to_file(str(tmp_path / "c.json"))
     assert BuildConfig.from_file(str(tmp_path / "c.json")) == c
 

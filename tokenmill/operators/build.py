@@ -90,7 +90,7 @@ class Sections:
             ids = F.concat(F.array(F.lit(bos)), ids)
         good = not_blank(col.cast("string"))
         if bounds:
-            p = self.config.preprocessing
+            p = self.config
             good = good & length_between(col, p.min_chars if p.min_chars > 0 else 0, p.max_chars)
         ids = F.when(good, ids).otherwise(empty)
         return ids, constant_mask(ids, int(action == "train"))
@@ -110,13 +110,13 @@ class Sections:
             some = F.size(ids) > 0
             ids = F.when(some, F.concat(F.array(F.lit(bos)), ids)).otherwise(ids)
             mask = F.when(some, F.concat(F.array(F.lit(0)), mask)).otherwise(mask)
-        p = self.config.preprocessing
+        p = self.config
         ids, mask = truncate(ids, p.max_seq_len), truncate(mask, p.max_seq_len)
         return ids, mask, F.size(ids) > (1 if templated else 0)
 
     def list_field(self, s: dict) -> Column:
         """Each element its own sequence; empty ones dropped, each truncated."""
-        most = self.config.preprocessing.max_seq_len
+        most = self.config.max_seq_len
         each = F.transform(F.col(s["field"]), lambda t: truncate(self.tokenizer.ids(t), most))
         return F.filter(each, lambda x: F.size(x) > 0)
 
@@ -137,11 +137,11 @@ def build(df: DataFrame, config: BuildConfig, tokenizer: str | object = "codepoi
     """
     tok = TOKENIZERS.create(tokenizer) if isinstance(tokenizer, str) else tokenizer
     make, out = Sections(config, tok), [F.col(c) for c in keep]
-    domain = domain_of(F.col(config.output.domain_key)) if config.output.domain_key in df.columns else domain_of(F.lit(None).cast("string"))
+    domain = domain_of(F.col(config.domain_key)) if config.domain_key in df.columns else domain_of(F.lit(None).cast("string"))
     out.append(domain.alias("domain"))
-    if config.input.sources:
+    if config.sources:
         primary = []
-        for key, source in config.input.sources.items():
+        for key, source in config.sources.items():
             sections = source["sections"]
             if sections[0].get("action") == "value":
                 field = sections[0]["field"]
@@ -160,10 +160,10 @@ def build(df: DataFrame, config: BuildConfig, tokenizer: str | object = "codepoi
             out.append(F.when(good & (F.lit(explicit) | F.exists(mask, lambda m: m == 0)), mask).alias(source.get("mask_key", f"{key}_mask")))
         accepted = F.greatest(*primary, F.lit(0)) > 0
     else:
-        ids, mask, accepted = make.columns(config.input.sections)
+        ids, mask, accepted = make.columns(config.sections)
         out += [ids.alias("sequence"), F.when(F.exists(mask, lambda m: m == 0), mask).alias("loss_mask")]
     built = df.select(*out, accepted.alias("_accepted")).filter("_accepted").drop("_accepted")
-    most = config.preprocessing.max_items
+    most = config.max_items
     return built.orderBy(keep[0]).limit(most) if most and keep else built
 
 

@@ -23,17 +23,16 @@ def prepare(records: DataFrame, key: str, config: BuildConfig, tokenizer="codepo
     A mask that a record lacks is all ones. Filters stand before the tokenizer in the
     plan; the shuffles are those of shard cuts and of packing.
     """
-    p, o = config.preprocessing, config.output
     built = build(records, config, tokenizer, keep=(key,))
     ones = F.transform("sequence", lambda _: F.lit(1))
     built = built.withColumn("loss_mask", F.coalesce("loss_mask", ones)).withColumn("n_tokens", F.size("sequence"))
-    cut = shard_index(shard_epochs(built, key, "n_tokens", o.max_tokens_per_shard))
+    cut = shard_index(shard_epochs(built, key, "n_tokens", config.max_tokens_per_shard))
     arrays = ["sequence", "loss_mask"]
-    if o.position_ids_mode == "doc_reset":
+    if config.position_ids_mode == "doc_reset":
         cut = cut.withColumn("position_ids", position_ids(F.col("sequence"), "doc_reset"))
         arrays.append("position_ids")
-    packed = pack(cut, key, arrays, p.max_packed_len, ["domain", "shard_idx"], p.packing_strategy, p.truncation_mode)
-    return cast_keys(packed, o.dtype)
+    packed = pack(cut, key, arrays, config.max_packed_len, ["domain", "shard_idx"], config.packing_strategy, config.truncation_mode)
+    return cast_keys(packed, config.dtype)
 
 
 def dataset_view(df: DataFrame, kind: str) -> DataFrame:

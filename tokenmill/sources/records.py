@@ -66,7 +66,7 @@ def tokenize_records(records: DataFrame, config: BuildConfig, tokenizer, keep: t
     """Records to keyed ids as they are read (no packing, no shards), with position ids where the config names a kind."""
     out = build(records, config, tokenizer, keep=keep)
     main = "sequence" if "sequence" in out.columns else None
-    mode = config.output.position_ids_mode
+    mode = config.position_ids_mode
     if main and mode == "continuous":
         out = prefix_sum(out.withColumn("_n", F.size(main)), keep[0], "_n", "_at")
         return out.withColumn("position_ids", position_ids(F.col(main), mode, F.col("_at"))).drop("_n", "_at")
@@ -152,7 +152,7 @@ def jsonl_store(spark: SparkSession, path: str, schema: StructType | str, transf
             text = "\n".join(r.value for r in spark.read.text(str(config), wholetext=True).collect())
             transform = BuildConfig.from_dict(json.loads(text))
         elif tokenizer is not None:
-            transform = BuildConfig.from_dict(CHAT_CONFIG.to_dict() | {"output": {"position_ids_mode": "doc_reset"}})
+            transform = CHAT_CONFIG.changed(position_ids_mode="doc_reset", domain_key=None)
         else:
             raise ValueError(f"{path} has no {CONFIG_NAME}; give a transform, a tokenizer or a processor")
     built = tokenize_records(records, transform, tokenizer or "codepoint")

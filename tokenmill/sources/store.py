@@ -7,6 +7,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -74,10 +76,28 @@ def read_shards(spark: SparkSession, path: str, domain: str | None = None) -> Da
     return df.filter(F.col("domain") == domain) if domain is not None else df
 
 
+def _files(path: str):
+    """The file system of a path or URI (local, HDFS, object stores) and the path in it, on whatever machine this runs."""
+    return pa.fs.FileSystem.from_uri(path if "://" in path else f"file://{Path(path).absolute()}" if not path.startswith("file:") else "file://" + path.removeprefix("file:"))
+
+
+def _read(fs, path: str) -> bytes:
+    with fs.open_input_stream(path) as f:
+        return f.read()
+
+
+def _metas(path: str) -> list[str]:
+    fs, root = _files(path)
+    found = fs.get_file_info(pa.fs.FileSelector(root, recursive=True, allow_not_found=True))
+    return sorted(i.path for i in found if i.base_name == "meta.json")
+
+
 def write_bin(df: DataFrame, path: str, keys: list[str], order: str, dtype: dict[str, str] | None = None) -> int:
     """Flat files: a folder per partition with ``<key>.bin``, offsets of records and ``meta.json``.
 
-    Each task writes its own shard to the shared path. Nested arrays are a ValueError. Returns the number of shards.
+    ``path`` is one that all executors share, any that Arrow can open. Each task streams its batches to its own
+    shard, a shard counts once its description is there, and a task that is run again writes it anew. Nested arrays are
+    a ValueError; null lists are empty. Returns the number of shards.
     """
     for k in keys:
         if df.schema[k].dataType.simpleString().startswith("array<array"):
@@ -88,23 +108,26 @@ def write_bin(df: DataFrame, path: str, keys: list[str], order: str, dtype: dict
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        held = {k: [] for k in keys}
+        fs, root = _files(path)
+        folder = f"{root}/shard_{part:05d}"
+        streams, sizes, total = {}, {k: [np.zeros(1, np.int64)] for k in keys}, dict.fromkeys(keys, 0)
         for b in batches:
-            for i, k in enumerate(keys):
-                held[k] += b.column(i).to_pylist()
-        if any(held.values()):
-            folder = Path(path, f"shard_{part:04d}")
-            folder.mkdir(parents=True, exist_ok=True)
-            meta = {}
-            for k, rows in held.items():
-                sizes = [len(r or []) for r in rows]
-                flat = np.fromiter((x for r in rows for x in (r or [])), kinds[k], sum(sizes))
-                flat.tofile(folder / f"{k}.bin")
-                np.cumsum([0, *sizes]).astype("int64").tofile(folder / f"{k}.offsets")
-                meta[k] = {"shape": [len(flat)], "dtype": kinds[k]}
-            tmp = folder / "meta.json.tmp"
-            tmp.write_text(json.dumps(meta))
-            tmp.rename(folder / "meta.json")
+            if not streams:
+                fs.create_dir(folder)
+                streams = {k: fs.open_output_stream(f"{folder}/{k}.bin") for k in keys}
+            for k, column in zip(keys, b.columns):
+                flat = column.flatten().to_numpy(zero_copy_only=False).astype(kinds[k])
+                streams[k].write(flat.tobytes())
+                sizes[k].append(pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+                total[k] += len(flat)
+        for k, stream in streams.items():
+            stream.close()
+            with fs.open_output_stream(f"{folder}/{k}.offsets") as f:
+                f.write(np.cumsum(np.concatenate(sizes[k])).astype(np.int64).tobytes())
+        if streams:
+            with fs.open_output_stream(f"{folder}/meta.json.tmp") as f:
+                f.write(json.dumps({k: {"shape": [total[k]], "dtype": kinds[k]} for k in keys}).encode())
+            fs.move(f"{folder}/meta.json.tmp", f"{folder}/meta.json")
             yield pa.RecordBatch.from_arrays([pa.array([part])], names=["shard"])
 
     done = df.repartitionByRange(order).sortWithinPartitions(order).select(*keys).mapInArrow(run, "shard bigint")
@@ -114,27 +137,24 @@ def write_bin(df: DataFrame, path: str, keys: list[str], order: str, dtype: dict
 class BinSource(DataSource):
     """``spark.read.format("tokenbin").option("key", "sequence").load(path)``: shard, record_idx, values.
 
-    A partition per shard; files are memory-mapped and cut at the record offsets.
+    A partition per shard, read from the shared path and cut at the record offsets.
     """
 
     @classmethod
     def name(cls) -> str:
         return "tokenbin"
 
-    def _metas(self) -> list[Path]:
-        return sorted(Path(self.options["path"]).rglob("meta.json"))
-
     def schema(self) -> str:
-        key, metas = self.options["key"], self._metas()
+        key, metas = self.options["key"], _metas(self.options["path"])
         if not metas:
             raise FileNotFoundError(self.options["path"])
-        meta = json.loads(metas[0].read_text())
+        meta = json.loads(_read(_files(self.options["path"])[0], metas[0]))
         if key not in meta:
             raise KeyError(f"missing {key!r}; there are {sorted(meta)}")
         return f"shard int, record_idx bigint, `values` array<{KINDS[meta[key]['dtype']]}>"
 
     def reader(self, schema):
-        return _BinReader(self.options["key"], [str(m.parent) for m in self._metas()])
+        return _BinReader(self.options["path"], self.options["key"], [m.rsplit("/", 1)[0] for m in _metas(self.options["path"])])
 
 
 class _Shard(InputPartition):
@@ -143,18 +163,24 @@ class _Shard(InputPartition):
 
 
 class _BinReader(DataSourceReader):
-    def __init__(self, key: str, folders: list[str]):
-        self.key, self.folders = key, folders
+    def __init__(self, path: str, key: str, folders: list[str]):
+        self.path, self.key, self.folders = path, key, folders
 
     def partitions(self):
         return [_Shard(i, f) for i, f in enumerate(self.folders)]
 
     def read(self, partition):
-        folder = Path(partition.folder)
-        kind = json.loads((folder / "meta.json").read_text())[self.key]["dtype"]
-        size = (folder / f"{self.key}.bin").stat().st_size
-        data = np.memmap(folder / f"{self.key}.bin", kind, "r") if size else np.zeros(0, kind)
-        at = folder / f"{self.key}.offsets"
-        offsets = np.fromfile(at, "int64") if at.exists() else np.array([0, len(data)])
-        for i in range(len(offsets) - 1):
-            yield (partition.number, i, data[offsets[i] : offsets[i + 1]].tolist())
+        fs, _ = _files(self.path)
+        at = f"{partition.folder}/{self.key}"
+        kind = np.dtype(json.loads(_read(fs, f"{partition.folder}/meta.json"))[self.key]["dtype"])
+        size = fs.get_file_info(f"{at}.bin").size
+        known = fs.get_file_info(f"{at}.offsets").type != pa.fs.FileType.NotFound
+        offsets = np.frombuffer(_read(fs, f"{at}.offsets"), "int64") if known else np.array([0, size // kind.itemsize])
+        out = pa.list_(pa.from_numpy_dtype(kind))
+        with fs.open_input_stream(f"{at}.bin") as f:
+            for i in range(0, len(offsets) - 1, 1024):
+                some = offsets[i : i + 1025]
+                flat = np.frombuffer(f.read(int(some[-1] - some[0]) * kind.itemsize), kind)
+                lists = pa.ListArray.from_arrays(pa.array(some - some[0], pa.int32()), pa.array(flat)).cast(out)
+                n = len(lists)
+                yield pa.RecordBatch.from_arrays([pa.array([partition.number] * n, pa.int32()), pa.array(range(i, i + n), pa.int64()), lists], names=["shard", "record_idx", "values"])
