@@ -168,10 +168,19 @@ def jaccard(a, b, k):
     return len(x & y) / len(x | y) if x and y else 0.0
 
 
-@pytest.mark.parametrize("hot", [4096, 3])
-def test_near_duplicates_equal_brute_force(spark, hot):
+def test_runs_of_joined_marks_are_cut_in_time():
+    import time
+
+    t, text = time.time(), "e" + "\u0301" * 60_000
+    cut = chunks.pieces(text, 2000, 200)
+    assert "".join(text[own:end] for _, own, end in cut) == text and max(e - s for s, _, e in cut) <= 2000 and time.time() - t < 5
+    assert chunks.pieces("e\u0301" * 100, 40, 0)[0][2] % 2 == 0
+
+
+@pytest.mark.parametrize("hot, sketched", [(4096, True), (3, True), (4096, False)])
+def test_near_duplicates_equal_brute_force(spark, hot, sketched):
     rows = corpus() + [(900, None), (901, ""), (902, "a b"), (903, "one two three four"), (904, "one two three four"), (904, "one two three four")]
-    links, members = neardup.near_duplicates(texts(spark, rows), "id", "text", k=3, threshold=0.6, hot=hot)
+    links, members = neardup.near_duplicates(texts(spark, rows), "id", "text", k=3, threshold=0.6, hot=hot, sketched=sketched)
     got = {(x.id_a, x.id_b) for x in neardup.all_pairs(links, members).collect()}
     one = dict(rows)
     want = {(a, b) for a in one for b in one if a < b and jaccard(one[a], one[b], 3) >= 0.6}

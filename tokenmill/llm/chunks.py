@@ -32,7 +32,8 @@ def cut_points(text: str, size: int) -> list[int]:
     A part over the size is cut at the strongest boundary near its middle: the
     level is the first with a boundary in the middle half of the part, the place
     the one nearest the middle; without any, the nearest of any level inside the
-    part; without a boundary at all, the middle itself, moved past joined marks.
+    part; without a boundary at all, the middle itself, moved past joined marks (unless
+    they fill the quarter behind it).
     """
     levels = boundaries(text)
     ends: list[int] = []
@@ -54,9 +55,10 @@ def cut_points(text: str, size: int) -> list[int]:
             if cut is not None:
                 break
         if cut is None:
-            cut = mid
-            while cut < hi - 1 and (JOINED.match(text[cut]) or text[cut - 1] == "‍"):
+            cut, stop = mid, min(hi, mid + reach)
+            while cut < stop and (JOINED.match(text[cut]) or text[cut - 1] == "‍"):
                 cut += 1
+            cut = mid if cut == stop else cut
         stack.append((cut, hi))
         stack.append((lo, cut))
     return ends

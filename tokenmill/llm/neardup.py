@@ -373,6 +373,7 @@ def near_duplicates(
     weights: str = "set",
     hot: int = 4096,
     broadcast_rows: int = 1_000_000,
+    sketched: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Links between different texts, and the membership of exact copies.
 
@@ -391,7 +392,8 @@ def near_duplicates(
     deviations below the mean at the threshold). Candidates are verified on whole
     sets, so no pair is wrong; a pair of similarity s is missed with about
     (1 - s^rows)^bands, and with one in 400 more for the sketch at the threshold:
-    0.8 % at 0.6, 0.1 % at 0.65 and less beyond.
+    0.8 % at 0.6, 0.1 % at 0.65 and less beyond. ``sketched=False`` verifies every pair
+    that shares a band and fits by size.
     """
     sigs = written(signed(df, id_col, text_col, k, m, weights), "neardup-signatures")
     groups = sigs.groupBy("set_hash", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count(F.lit(1)).alias("c"))
@@ -402,7 +404,7 @@ def near_duplicates(
     members = sigs.select("id", "set_hash", "n").join(copied, ["set_hash", "n"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
     reps = sigs.join(copied, ["set_hash", "n"], "left").filter("rep is null or rep = id").select("id", "n", "sig")
     mean, deviation = SKETCH_BITS * (1 + threshold) / 2, math.sqrt(SKETCH_BITS * (1 - threshold**2) / 4)
-    agree, agree_once = (int(mean - 3.5 * deviation), int(mean - 1.6 * deviation)) if weights == "set" else (0, 0)
+    agree, agree_once = (int(mean - 3.5 * deviation), int(mean - 1.6 * deviation)) if weights == "set" and sketched else (0, 0)
     keyed = _bands(reps, bands, rows, m).repartition("key").sortWithinPartitions("key", "id")
     id_type = sigs.schema["id"].dataType.simpleString()
     bound = threshold if weights == "set" else 0.0
