@@ -350,7 +350,7 @@ def test_pii_held_out_accuracy():
     assert good / (good + bad) > 0.96 and good / (good + missed) > 0.94
 
 
-@pytest.mark.parametrize("lang, recall", [("en", 0.8), ("de", 0.8), ("fr", 0.75), ("es", 0.8), ("zh", 0.5)])
+@pytest.mark.parametrize("lang, recall", [("en", 0.8), ("de", 0.8), ("fr", 0.8), ("es", 0.8), ("zh", 0.65)])
 def test_names_and_sentences_not_in_training(lang, recall):
     """Ordinary names in sentences of their own; see the README for what is missed."""
     from tests.llm.pii_held_out import NOBODY, cases

@@ -32,7 +32,10 @@ WEIGHTS = Path(__file__).with_name("pii_weights.json")
 #: The hundred most frequent family names of China, then the first twelve lines of the Hundred Family Surnames.
 FAMILY_ZH_COMMON = "王李张刘陈杨黄赵周吴徐孙朱马胡郭林何高梁郑罗宋谢唐韩曹许邓萧冯曾程蔡彭潘袁于董余苏叶吕魏蒋田杜丁沈姜范江傅钟卢汪戴崔任陆廖姚方金邱夏谭韦贾邹石熊孟秦阎薛侯雷白龙段郝孔邵史毛常万顾赖武康贺严尹钱施牛洪龚"
 FAMILY_ZH_CLASSIC = "赵钱孙李周吴郑王冯陈褚卫蒋沈韩杨朱秦尤许何吕施张孔曹严华金魏陶姜戚谢邹喻柏水窦章云苏潘葛奚范彭郎鲁韦昌马苗凤花方俞任袁柳酆鲍史唐费廉岑薛雷贺倪汤滕殷罗毕郝邬安常乐于时傅皮卞齐康伍余元卜顾孟平黄"
-GIVEN_ZH = "伟芳娜敏静丽强磊军洋勇艳杰娟涛明超秀霞平刚桂英华文玉红建国志海龙俊宇欣雨佳嘉思晨轩梓涵浩博"
+#: Characters of common given names of women, then of men.
+GIVEN_ZH_F = "秀娟英华慧巧美娜静淑惠珠翠雅芝玉萍红娥玲芬芳燕彩春菊兰凤洁梅琳素云莲真环雪荣爱妹霞香月莺媛艳瑞凡佳嘉琼勤珍贞莉桂娣叶璧璐娅琦晶妍茜秋珊莎锦黛青倩婷姣婉娴瑾颖露瑶怡婵雁蓓纨仪荷丹蓉"
+GIVEN_ZH_M = "伟刚勇毅俊峰强军平保东文辉力明永健世广志义兴良海山仁波宁贵福生龙元全国胜学祥才发武新利清飞彬富顺信子杰涛昌成康星光天达安岩中茂进林有坚和彪博诚先敬震振壮会思群豪心邦承乐绍功松善"
+GIVEN_ZH = frozenset(GIVEN_ZH_F + GIVEN_ZH_M)
 TITLES = "dr mr mrs ms miss prof sir herr frau m mme mlle monsieur madame señor señora sr sra don doña doktor professor".split()
 PARTICLES = "van von der den de del della di da la le du dos das bin ibn al el y"
 STREETS = {
@@ -387,7 +390,7 @@ def _names_zh(text: str, lex: Lexicon, out: list) -> None:
         at = m.start()
         c, before = m.group(), text[at - 1 : at]
         kind = "common" if c in _COMMON_ZH else "rare" if c in lex.rare else "other" if before in ZH_OPENS else ""
-        if not kind:
+        if not kind or (kind == "other" and c in ZH_GRAMMAR):
             continue
         first = ["name:bias", "name:zh", f"name:zh {kind}", f"name:zf={c}" if kind == "common" else "name:zf", *_ahead(text, at, "name")]
         if text[at : at + 2] in lex.han:
@@ -400,6 +403,8 @@ def _names_zh(text: str, lex: Lexicon, out: list) -> None:
                 break
             rare = sum(x in lex.rare for x in given)
             features = first + [f"name:zh {k}", f"name:zg{sum(x in GIVEN_ZH for x in given)} of {k - 1}", f"name:zr{rare} of {k - 1}", *[f"name:zc={x}" for x in given], *_behind(text, at + k, "name")]
+            if any(x in ZH_GRAMMAR for x in given):
+                features.append("name:zh grammar inside")
             if k == 3 and given in lex.han:
                 features.append("name:zh given is a word")
             if given[-1] + after in lex.han:
@@ -412,7 +417,8 @@ def _names_zh(text: str, lex: Lexicon, out: list) -> None:
 
 
 _COMMON_ZH = frozenset(FAMILY_ZH_COMMON + FAMILY_ZH_CLASSIC)
-#: Words of grammar that stand before names, signs, and the last signs of words for people.
+#: Words of grammar: no name begins with one of these. Then those that stand before names, signs, and the last signs of words for people.
+ZH_GRAMMAR = frozenset("我你您他她它这那此的了着过是在有不也都就很没到从把被让给由和与跟对向为以于而或及一二三四五六七八九十两几每各某请问谁何后前中上下")
 ZH_OPENS = frozenset("由和与跟给找让叫被请及同是人员者户长师友生：、；|:（(")
 
 
