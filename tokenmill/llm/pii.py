@@ -17,6 +17,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 from pathlib import Path
 
 import pyarrow as pa
@@ -109,7 +110,7 @@ def lexicon(folder: str = TOKENIZER_DIR) -> Lexicon:
 _AT = r"(?:\s?[@＠]\s?|\s?[\[(]\s?at\s?[\])]\s?|\s+at\s+)"
 _DOT = r"(?:\.|\s?[\[(]\s?dot\s?[\])]\s?|\s+dot\s+)"
 EMAIL = re.compile(rf"(?<![A-Za-z0-9À-ÿ._%+\-])[A-Za-z0-9À-ÿ][A-Za-z0-9À-ÿ._%+\-]*{_AT}[A-Za-z0-9][A-Za-z0-9\-]*(?:{_DOT}[A-Za-z0-9\-]+)*{_DOT}[A-Za-z]{{2,}}(?![A-Za-z0-9@])", re.I)
-AT_WORD = re.compile(r"\b[Aa][Tt]\b")
+AT_WORD = re.compile(r"[Aa][Tt]\s?[\])]?\s{0,2}[A-Za-z0-9\-]+(?:\.[A-Za-z0-9]|\s?[\[(]?\s?[Dd][Oo][Tt])")  # what EMAIL needs behind a written "at"
 DIGITS = re.compile(r"\d(?:[ \-–./()]{0,3}\d){5,}")
 CAP = r"[A-ZÀ-ÖØ-Þ]"
 WORD = rf"{CAP}(?:[\w'’]*\w)?(?:-{CAP}[\w'’]*)*"
@@ -129,7 +130,9 @@ ADDRESS_EN_BARE = re.compile(rf"\d{{1,5}}[A-Za-z]? {CAP}[\w'’\-]+{_TOWN}")
 UNIT = re.compile(rf"{_UNIT}, $", re.I)
 ADDRESS_DE = re.compile(rf"(?<!\w)(?:{CAP}[\wß]*[ \-])?{CAP}[\wß]*(?:[ \-]?(?i:{_either('de')}))\s\d{{1,4}}(?:\s?[A-Za-z])?\b{_REST}")
 DE_WORD = re.compile(_either("de"), re.I)  # of one word only
+DE_GATE = re.compile(rf"(?:{_either('de')})\s\d")
 DE_WORDS, ES_WORDS = STREETS["de"].split(), STREETS["es"].split()
+ES_GATE = re.compile(rf"(?<!\w)(?:{_either('es')})[^\d\n]{{1,200}}\d")
 FR_WORDS = [f" {w} " for w in STREETS["fr"].split()]
 ADDRESS_FR = re.compile(rf"(?<![\w\-])\d{{1,4}}(?:\s?(?:bis|ter))?,? (?:{_either('fr')}) (?:de la |de l['’]|du |des |de |d['’])?{CAP}[\w'’\-]*(?:[ \-]{CAP}[\w'’\-]*)*{_REST}", re.I)
 ADDRESS_ES = re.compile(rf"(?<!\w)(?:{_either('es')}) ?(?:de las |de los |de la |del |de )?{CAP}[\w'’\-]*(?: (?:de |del |de la |de los )?{CAP}[\w'’\-]*)*,? (?:n\.?[º°o]\.? ?|núm\. )?\d{{1,4}}\b{_REST}", re.I)
@@ -315,7 +318,7 @@ def _addresses(text: str, add) -> None:
             unit = UNIT.search(text[max(0, at - 20) : at])
             add(at - len(unit.group()) if unit else at, m.end(), "address", lang, *(["unit"] if unit else []))
     low = text.lower()
-    if any(w in low for w in DE_WORDS):
+    if any(w in low for w in DE_WORDS) and DE_GATE.search(low):
         for m in ADDRESS_DE.finditer(text):
             cut = m.group().find(" ")
             words = m.group().split(" ")
@@ -325,7 +328,7 @@ def _addresses(text: str, add) -> None:
     if any(w in low for w in FR_WORDS):
         for m in ADDRESS_FR.finditer(text):
             add(m.start(), m.end(), "address", "fr")
-    if any(w in low for w in ES_WORDS):
+    if any(w in low for w in ES_WORDS) and ES_GATE.search(low):
         for m in ADDRESS_ES.finditer(text):
             add(m.start(), m.end(), "address", "es")
     if "号" in text:
@@ -438,8 +441,7 @@ class SemiMarkovCRF:
         return cls(json.loads(Path(path).read_text(encoding="utf-8")))
 
     def score(self, features: list[str]) -> float:
-        w = self.weights
-        return sum(w.get(f, 0.0) for f in features)
+        return sum(map(self.weights.get, features, repeat(0.0)))
 
     def decode(self, text: str) -> list[tuple[int, int, str]]:
         found = candidates(text, self.lex)
