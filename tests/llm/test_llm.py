@@ -319,6 +319,24 @@ def test_pairs(spark):
     assert pairs.defective_pairs(df.limit(0)).count() == 0
 
 
+def test_functions_disagree_and_the_model_decides():
+    """Only one function sees this refusal by its phrase, and only one doubts this answer."""
+    prompt = "Why does the nested loader wait for the second shard?"
+    unnamed = pairs.vote_pair(prompt, ["Sorry, that is not something I do here at all, and we do not talk about it.", LONG])[0][0]["refusal"]
+    assert unnamed[0] == pairs.FINE and unnamed.count(pairs.DEFECT) >= 2
+    doubted = pairs.vote_pair(prompt, ["Sure, " + prompt + " " + LONG, LONG])[0][0]["copy"]
+    assert 0 < doubted.count(pairs.DEFECT) < 4
+    assert {d: len(v) for d, v in pairs.vote_pair("", ["x", None])[0][0].items()} == pairs.FUNCTIONS
+
+
+def test_parts_of_refusals():
+    for text in ("I can't.", "we won't", "I am unable to", "I am not allowed", "I must decline", "we have to pass", "I do not feel", "I’m not able", "unable to help", "kann ich dir nicht", "ich darf keine", "ich muss ablehnen", "ich bin außerstande",
+                 "nicht in der Lage", "keine Auskunft geben", "nicht helfen", "je ne peux", "je dois refuser", "je dois décliner", "je refuse", "ne suis pas en mesure", "pas autorisé", "no puedo", "no estoy autorizado", "no me es posible", "no podré", "debo rechazar", "debo declinar", "me niego", "不能回答", "无法提供", "没有办法回答", "不便讨论", "恕难", "拒绝回答"):
+        for t in (text, text.upper()):
+            assert pairs.refuses(t) == bool(pairs.REFUSES.search(t)), t
+        assert pairs.refuses(text), text
+
+
 def test_label_model_and_cutoffs():
     r = random.Random(0)
     seen = {}
