@@ -494,8 +494,8 @@ def test_documents_of_packed_rows(spark, tmp_path):
     sizes = {1: 2048, 2: 1500, 3: 500, 4: 40, 5: 9, 6: 0, 7: 1}
     rows = [(i, [7] * n) for i, n in sizes.items()]
     spark.createDataFrame(rows + rows[:2], "record_id long, sequence array<int>").write.parquet(f"{tmp_path}/single_output_mask_builder.parquet")
-    got = {x.bin: (x.members, x.documents) for x in queries.packed_documents(spark, str(tmp_path)).collect()}
-    assert got == {0: (1, 1), 1: (4, 4), 2: (1, 1)}
+    got = [(x.epoch, x.documents, x.same) for x in queries.packed_documents(spark, str(tmp_path)).collect()]
+    assert got == [(0, 6, True)]
 
 
 def test_grpo_batches_of_uneven_groups(spark):

@@ -231,17 +231,33 @@ def _packed(spark, d, strategy):
     return pack.pack(cut, "record_id", ["sequence", "loss_mask"], 2048 if strategy == "bfd" else 512, ["epoch"], strategy)
 
 
-@query("""
-with r as (select record_id, any_value(sequence) as s, any_value(loss_mask) as m from single_output_mask_builder where len(sequence) > 0 group by 1)
-select sum(len(s))::bigint as tokens, sum(list_sum(s))::bigint as checksum, sum(case when m is null then len(s) else list_sum(m) end)::bigint as trained, true as within from r""")
+def _epochs(p: DataFrame, most: int) -> DataFrame:
+    """Per epoch: tokens and their sum, whether no bin is too full, and whether no two bins would fit into one (a best fit leaves none)."""
+    size = F.size("sequence")
+    least = F.slice(F.array_sort(F.collect_list(size)), 1, 2)
+    return p.groupBy("epoch").agg(
+        F.sum(size).cast("bigint").alias("tokens"), total("sequence").alias("checksum"), F.max(size).alias("_most"), least.alias("_least"), total("loss_mask").alias("trained"), F.sum("members").alias("members"),
+    ).select("epoch", "tokens", "checksum", "trained", "members", (F.col("_most") <= most).alias("within"), ((F.size("_least") < 2) | (F.col("_least")[0] + F.get("_least", F.lit(1)) > most)).alias("tight"))
+
+
+EPOCHS = """recursive r as (select record_id, any_value(sequence) as s, any_value(loss_mask) as m from single_output_mask_builder where len(sequence) > 0 group by 1),
+o as (select row_number() over (order by record_id) as i, len(s) as n, s, m from r),
+f as (select 1::bigint as i, case when n >= 100000 then 0 else n end as total, 0 as ep, case when n >= 100000 then 1 else 0 end as nxt from o where i = 1
+ union all select o.i, case when f.total + o.n >= 100000 then 0 else f.total + o.n end, f.nxt, case when f.total + o.n >= 100000 then f.nxt + 1 else f.nxt end from f join o on o.i = f.i + 1)"""
+
+
+@query(f"""
+with {EPOCHS} select ep::bigint as epoch, sum(n)::bigint as tokens, sum(list_sum(s))::bigint as checksum, sum(case when m is null then n else list_sum(m) end)::bigint as trained, sum((n + 511) // 512)::bigint as members, true as within, true as tight
+from f join o using (i) group by 1""")
 def packing_bfd_split(spark, d):
-    p = _packed(spark, d, "bfd_split")
-    return p.agg(F.sum(F.size("sequence")).alias("tokens"), total("sequence").alias("checksum"), total("loss_mask").alias("trained"), F.bool_and((F.size("sequence") <= 512) & (F.size("sequence") == F.size("loss_mask"))).alias("within"))
+    return _epochs(_packed(spark, d, "bfd_split"), 512)
 
 
-@query()
+@query(f"""
+with {EPOCHS} select ep::bigint as epoch, sum(least(n, 2048))::bigint as tokens, sum(list_sum(s[1:2048]))::bigint as checksum, sum(case when m is null then least(n, 2048) else list_sum(m[1:2048]) end)::bigint as trained, count(*) as members, true as within, true as tight
+from f join o using (i) group by 1""")
 def packing_bfd(spark, d):
-    return _packed(spark, d, "bfd").select("epoch", "bin", "members", F.size("sequence").alias("n"))
+    return _epochs(_packed(spark, d, "bfd"), 2048)
 
 
 @query("""
@@ -271,15 +287,15 @@ def position_ids(spark, d):
     return one.select("row_id", F.size("p").cast("bigint").alias("n"), add("p").alias("position_sum"), (F.array_max("doc") + 1).cast("bigint").alias("documents"), add("doc").alias("document_sum"))
 
 
-@query()
+@query(f"""with {EPOCHS} select ep::bigint as epoch, count(*) as documents, true as same from f join o using (i) group by 1""")
 def packed_documents(spark, d):
     """Documents in each bin, told from the position ids of its packed row, beside the members that were put there."""
     rows = table(spark, d, "single_output_mask_builder").select("record_id", F.size("sequence").alias("n")).filter("n > 0").dropDuplicates(["record_id"])
     cut = scans.shard_epochs(rows, "record_id", "n", 100_000)
     cut = cut.withColumn("position_ids", scans.position_ids(F.array_repeat(F.lit(0), F.col("n")), "doc_reset"))
     packed = pack.pack(cut, "record_id", ["position_ids"], 2048, ["epoch"], "bfd")
-    docs = scans.document_ids(F.col("position_ids"))
-    return packed.select("epoch", "bin", "members", (F.try_element_at(docs, F.lit(-1)) + 1).cast("bigint").alias("documents"))
+    told = (F.try_element_at(scans.document_ids(F.col("position_ids")), F.lit(-1)) + 1).cast("bigint")
+    return packed.select("epoch", "members", told.alias("told")).groupBy("epoch").agg(F.sum("told").alias("documents"), F.bool_and(F.col("told") == F.col("members")).alias("same"))
 
 
 @query("select doc_id from documents where length(text) between 50 and 2000000 order by doc_id limit 100")
