@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -349,6 +350,47 @@ def test_label_model_and_cutoffs():
     assert pairs.validate_cutoffs([("copy", 0.8, True, 1.0), ("copy", 0.6, False, 1.0), ("copy", 0.1, False, 1.0)])["copy"] == 0.7
 
 
+def test_cutoffs_come_from_all_records(spark, monkeypatch):
+    """Every record with a chosen answer of some length is in the validation once: beyond 1,500 of them, and with a text over 20,000 characters."""
+    prompts = ["Why does the nested loader wait for the second shard?", "Warum wartet der Lader auf die zweite Scherbe und nicht auf die Maske?"]
+    answers = [LONG, "Der Lader wartet auf die zweite Scherbe, weil die Maske noch nicht fertig ist und niemand die Warteschlange leert."]
+    rows = [(i, prompts[i % 2], None, answers[i % 2] if i % 8 else "Yes", answers[i % 2]) for i in range(2000)]
+    rows += [(i, prompts[0], None, LONG * 200, LONG) for i in range(2000, 2004)]
+    df = spark.createDataFrame(rows + rows[:100], "record_id long, prompt string, legacy_input string, chosen string, rejected string")
+    seen, validate = [], pairs.validate_cutoffs
+    monkeypatch.setattr(pairs, "validate_cutoffs", lambda scored: seen.append(scored) or validate(scored))
+    for parts in (1, 5):
+        pairs.defective_pairs(df.repartition(parts))
+    for scored in seen:
+        assert {d: sum(w for name, _, truth, w in scored if name == d and not truth) for d in pairs.DEFECTS} == dict.fromkeys(pairs.DEFECTS, 1754)
+        assert {name for name, _, truth, _ in scored if truth} == set(pairs.DEFECTS)
+    assert seen[0] == seen[1]
+
+
+def test_planted_defects_are_voted_like_answers():
+    """The patterns of made defects are those that the functions give for the made answers, the exchange those of all pairs of records."""
+    rows = [
+        (1, "Why does the nested loader wait for the second shard?", LONG, "Der Lader wartet auf die Maske, weil die zweite Scherbe nicht fertig ist."), (2, "Why is that?", LONG[20:], None),
+        (3, "Warum wartet der Lader auf die zweite Scherbe?", "Der Lader wartet auf die zweite Scherbe, weil die Maske noch nicht fertig ist und niemand die Warteschlange leert.", LONG),
+        (4, "Pourquoi est-ce que le chargeur attend la suite ?", "Le chargeur attend la suite, parce que le masque n'est pas encore là et que personne ne vide la file.", "Oui."),
+        (5, "", "0x1f 0x2f 0x3f " * 8, "..."), (6, "请说明这个表。", "." * 90, "好的，这个表说明了每个分片的位置。"), (7, "Explica la tabla de los datos.", "." * 90, LONG),
+    ]
+    parts, wanted = Counter(), Counter()
+    wants = [pairs.expected_language(p) for _, p, _, _ in rows]
+    for i, (id_, prompt, chosen, other) in enumerate(rows):
+        got, key = pairs.planted(id_, pairs.Judged(prompt, [chosen, other]), chosen, other)
+        ways = {
+            "empty": pairs.EMPTIED, "refusal": pairs.DECLINED[wants[i] or "en"], "copy": [prompt, prompt + "\n", f"> {prompt}"],
+            "truncated": [chosen[:n].rstrip() for n in range(int(0.3 * len(chosen)), int(0.95 * len(chosen)) + 1)],
+        }
+        for d, made in ways.items():
+            voted = [pairs.vote_pair(prompt, [x, other])[0] for x in made]
+            assert d not in got and d == "truncated" or (got[d], key if d == "truncated" else None) in [("".join(map(str, v[d])), k if d == "truncated" else None) for v, k in voted], (id_, d)
+        parts.update(got["language"].split() if "language" in got else [])
+        wanted.update(tuple(pairs.vote_pair(prompt, [x[2], other])[0][0]["language"]) for x, w in zip(rows, wants) if wants[i] and w and w != wants[i])
+    assert pairs.exchanged(parts) == wanted and len(wanted) > 3
+
+
 @pytest.mark.parametrize("text, lang", [("Explain the map. Antworte auf Spanisch.", "es"), ("What is the role of the mask? Please reply in German only.", "de"), ("请说明这个表。", "zh"), ("Qu'est-ce que le masque et pourquoi est-il lent ?", "fr")])
 def test_expected_language(text, lang):
     assert pairs.expected_language(text) == lang

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-import random
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,7 +45,8 @@ REFUSES = re.compile(
     r"|(?:我)?(?:不能|无法|没有办法|不便|恕我不能|恕不能|拒绝)(?:回答|作答|提供|协助|讨论|完成|帮助|满足)|恕我不能|恕难"
 )
 #: Every phrase of REFUSES holds one of these.
-REFUSAL_PARTS = ("can", "won", "able", "allowed", "declin", "refus", "pass", "feel", "nicht", "kein", "ablehn", "außerstande", "peux", "suis", "saurais", "veux", "déclin", "autoris", "puedo", "estoy", "posible", "podré", "rechaz", "niego", "能", "法", "便", "恕", "拒")
+REFUSAL_PARTS = ("can't", "can’t", "cannot", "can not", "won't", "won’t", "unable", "not able", "not allowed", "declin", "refus", "to pass", "not feel", "nicht", "kein", "ablehn", "außerstande", "peux", "suis", "saurais", "veux", "déclin", "autoris", "puedo", "estoy", "posible", "podré", "rechaz", "niego", "能", "法", "便", "恕", "拒")
+_ASCII_PARTS = tuple(p for p in REFUSAL_PARTS if p.isascii())
 #: Said beside an answer: no refusal by themselves.
 REFUSES_NOT = re.compile(r"(?i)certain|sure\b|ganz sicher|en être c|asegurar|完全确定|確定|such as|wie etwa|comme|como «|诸如|例如|\"|“|«|„|「|quote")
 COURTESY = re.compile(
@@ -70,7 +72,7 @@ def visible(text: str) -> str:
 
 
 def quotes(text: str) -> bool:
-    return any(c in text for c in QUOTES) or text[:1] == ">" or "\n>" in text
+    return '"' in text or "`" in text or "{" in text or ">" in text and (text[0] == ">" or "\n>" in text) or not text.isascii() and any(c in text for c in QUOTES)
 
 
 def prose(text: str) -> str:
@@ -86,7 +88,7 @@ def language_scores(text: str) -> Counter:
     """Evidence for each language in characters of the sentences that show it."""
     out: Counter = Counter()
     for s in SENTENCE.findall(text):
-        han = len(IDEOGRAPH.findall(s))
+        han = 0 if s.isascii() else len(IDEOGRAPH.findall(s))
         if han >= 2:
             out["zh"] += 3 * han
         words = LATIN_WORDS.findall(s.lower())
@@ -114,15 +116,15 @@ def expected_language(prompt: str) -> str | None:
 
 def end_key(text: str) -> str | None:
     """What stands before an end: the last two words, or the last four ideographs; numbers as 0."""
-    text = NUMBER.sub("0", text[-80:].lower()).rstrip(" \t\"'”’)）」*_`")
-    if IDEOGRAPH.search(text[-1:]):
-        return text[-4:]
-    words = END_WORDS.findall(COMPOUND.sub("-", text) if "-" in text else text)
-    return " ".join(words[-2:]) if len(words) > 1 else None
+    text = text[-80:].lower().rstrip(" \t\"'”’)）」*_`")
+    if "一" <= text[-1:] <= "鿿":
+        return NUMBER.sub("0", text)[-4:]
+    words = LAST_WORDS.match((COMPOUND.sub("-", text) if "-" in text else text)[::-1])
+    return NUMBER.sub("0", f"{words[2][::-1]} {words[1][::-1]}") if words else None
 
 
-END_WORDS, COMPOUND = re.compile(r"[\w'’\-]+"), re.compile(r"\w+-(?=\w)")
-INNER_END = re.compile(r"[.!?。！？](?=\s|[一-鿿]|$)|(?<=[^\s.!?。！？])\n(?=\s*(?:[-*•–]|\d+[.)])\s)")
+LAST_WORDS, COMPOUND = re.compile(r"[^\w'’\-]*([\w'’\-]+)[^\w'’\-]+([\w'’\-]+)"), re.compile(r"\w+-(?=\w)")
+INNER_END = re.compile(r"[.!?。！？\n](?:(?<=[.!?。！？])(?=\s|[一-鿿]|$)|(?<=[^\s.!?。！？]\n)(?=\s*(?:[-*•–]|\d+[.)])\s))")
 
 
 def inner_ends(text: str) -> Iterator[str]:
@@ -181,27 +183,44 @@ def votes_empty(prompt: Prompt, answer: str | None, other: str | None) -> list[i
     return [DEFECT if nothing else FINE if len(kept) > 24 else ABSTAIN, int(bare) if has_word else ABSTAIN, ABSTAIN if size is None else DEFECT if size < 0.03 else FINE]
 
 
+def _may_refuse(text: str) -> bool:
+    low = text.lower()
+    for part in REFUSAL_PARTS if not low.isascii() else _ASCII_PARTS:
+        if part in low:
+            return True
+    return False
+
+
 def refuses(sentence: str) -> bool:
-    low = sentence.lower()
-    return any(p in low for p in REFUSAL_PARTS) and REFUSES.search(sentence) is not None
+    return _may_refuse(sentence) and REFUSES.search(sentence) is not None
+
+
+def content_words(words: list[str]) -> list[str]:
+    return [w for w in words if len(w) > 3 or "一" <= w <= "鿿"]
+
+
+def vote_shared(prompt: Prompt, content: list[str]) -> int:
+    if not content:
+        return ABSTAIN
+    shared = sum(map(prompt.known.__contains__, content)) / len(content)
+    return DEFECT if shared < 0.12 else FINE if shared > 0.4 else ABSTAIN
 
 
 def votes_refusal(prompt: Prompt, answer: str, words: list[str]) -> list[int]:
     bare = QUOTED.sub(' " ', FENCE.sub(" code" * 9 + " ", answer)) if quotes(answer) else answer
     said, rest = False, 0
+    may = _may_refuse(bare)
     for i, m in enumerate(SENTENCE.finditer(bare)):
         s = m.group().strip()
-        if i < 3 and refuses(s) and not REFUSES_NOT.search(s):
+        if may and i < 3 and refuses(s) and not REFUSES_NOT.search(s):
             said = True
         elif s and not COURTESY.match(s) and not (said and refuses(s)):
             rest += len(s) * (3 if IDEOGRAPH.search(s) else 1)
         if rest >= 60 and i >= 2:
             break
-    content = [w for w in words if len(w) > 3 or "一" <= w <= "鿿"]
-    shared = sum(map(prompt.known.__contains__, content)) / len(content) if content else None
     person = sum(map(PERSONS.__contains__, words)) / len(words) if len(words) > 4 else None
     return [
-        int(said), int(rest < 60), ABSTAIN if shared is None else DEFECT if shared < 0.12 else FINE if shared > 0.4 else ABSTAIN,
+        int(said), int(rest < 60), vote_shared(prompt, content_words(words)),
         int(COURTESY.match(answer.lstrip()) is not None), ABSTAIN if person is None else int(person >= 0.12),
     ]
 
@@ -234,7 +253,7 @@ def votes_truncated(answer: str, words: list[str]) -> tuple[list[int], str | Non
     end = text[-1:]
     stopped = end in ".!?。！？…"
     structure = ABSTAIN
-    if any(c in bare for c in "{[(（「“`"):
+    if "(" in bare or "`" in bare or "[" in bare or "{" in bare or not bare.isascii() and any(c in bare for c in "（「“"):
         depth = any(bare.count(o) > bare.count(c) for o, c in ("{}", "[]", "()", "（）", "「」", "“”"))
         structure = DEFECT if (depth and not stopped) or bare.count("`") % 2 else FINE
     sign = DEFECT if end in ",，、;；:：([{（「“=+/\\_" else FINE if stopped or end in ")]}）」”\"'`%" or unicodedata.category(end or "x")[0] == "S" or end in "️‍" else ABSTAIN
@@ -254,14 +273,23 @@ def votes_truncated(answer: str, words: list[str]) -> tuple[list[int], str | Non
 
 
 class _Words(dict):
-    """What a word says of its language: (ideograph, languages whose small word it is, language of its ending)."""
+    """The kind of a word, a place in ``kinds``: (ideograph, languages whose small word it is, language of its ending)."""
 
-    def __missing__(self, w: str) -> tuple:
+    def __init__(self):
+        super().__init__()
+        self.kinds: list[tuple] = []
+        self.places: dict[tuple, int] = {}
+
+    def __missing__(self, w: str) -> int:
         if len(self) > 200_000:
             self.clear()
         small = _SMALL.get(w, ())
         end = None if small or len(w) < 5 else next((_ENDING[w[-k:]] for k in _ENDING_SIZES if w[-k:] in _ENDING), None)
-        self[w] = out = ("一" <= w <= "鿿", small, end)
+        kind = ("一" <= w <= "鿿", small, end)
+        if kind not in self.places:
+            self.places[kind] = len(self.kinds)
+            self.kinds.append(kind)
+        self[w] = out = self.places[kind]
         return out
 
 
@@ -276,7 +304,8 @@ def answer_language(answer: str, words: list[str]) -> tuple[Counter, Counter, Co
     small: Counter = Counter()
     ends: Counter = Counter()
     latin = han = 0
-    for (ideograph, of, end), n in Counter(map(_WORDS.__getitem__, words)).items():
+    for kind, n in Counter(map(_WORDS.__getitem__, words)).items():
+        ideograph, of, end = _WORDS.kinds[kind]
         if ideograph:
             han += n
             continue
@@ -301,41 +330,62 @@ def answer_language(answer: str, words: list[str]) -> tuple[Counter, Counter, Co
     return small, letters, ends
 
 
+def main_language(seen: tuple[Counter, Counter, Counter] | None) -> str | None:
+    return max(seen[0].items(), key=lambda x: x[1])[0] if seen and sum(seen[0].values()) >= 4 else None
+
+
+def votes_by_scores(wants: tuple[str, ...], seen: tuple[Counter, Counter, Counter]) -> list[list[int]]:
+    """For each language that could be wanted, the votes by small words, letters and endings."""
+    columns = []
+    for scores, least in zip(seen, (4, 1, 2)):
+        if sum(scores.values()) < least:
+            columns.append([ABSTAIN] * len(wants))
+            continue
+        most = max(scores.values())
+        columns.append([FINE if n == most else DEFECT if n < 0.5 * most else ABSTAIN for n in map(scores.__getitem__, wants)])
+    return list(map(list, zip(*columns)))
+
+
+def vote_by_other(want: str, mine: str | None, theirs: str | None) -> int:
+    return ABSTAIN if mine is None or theirs is None else FINE if mine == theirs else DEFECT if theirs == want else ABSTAIN
+
+
 def votes_language(want: str | None, seen: tuple[Counter, Counter, Counter], other: tuple[Counter, Counter, Counter] | None) -> list[int]:
     if not want:
         return [ABSTAIN] * 4
-    small, letters, ends = seen
-    out = []
-    for scores, least in ((small, 4), (letters, 1), (ends, 2)):
-        total = sum(scores.values())
-        if total < least:
-            out.append(ABSTAIN)
-            continue
-        top, most = max(scores.items(), key=lambda x: x[1])
-        out.append(FINE if scores[want] == most else DEFECT if scores[want] < 0.5 * most else ABSTAIN)
-    mine, theirs = (max(x[0].items(), key=lambda y: y[1])[0] if x and sum(x[0].values()) >= 4 else None for x in (seen, other))
-    out.append(ABSTAIN if mine is None or theirs is None else FINE if mine == theirs else DEFECT if theirs == want else ABSTAIN)
-    return out
+    return [*votes_by_scores((want,), seen)[0], vote_by_other(want, main_language(seen), main_language(other))]
+
+
+class Judged:
+    """Votes on both answers of a prompt and the end of each to look up (``done``), and what they were drawn from."""
+
+    __slots__ = ("prompt", "seen", "done")
+
+    def __init__(self, prompt: str, answers: list[str | None]):
+        self.prompt = asked = Prompt(prompt)
+        empty = [votes_empty(asked, x, y) for x, y in (answers, answers[::-1])]
+        blank = [_blank(x, e) for x, e in zip(answers, empty)]
+        words = [[] if b else tokens(x) for x, b in zip(answers, blank)]
+        self.seen = seen = [None if b else answer_language(x, w) for x, b, w in zip(answers, blank, words)]
+        self.done: list[tuple[dict[str, list[int]], str | None]] = []
+        for i, answer in enumerate(answers):
+            if blank[i]:
+                self.done.append(({"empty": empty[i]} | {d: [ABSTAIN] * FUNCTIONS[d] for d in DEFECTS[1:]}, None))
+                continue
+            truncated, key = votes_truncated(answer, words[i])
+            self.done.append((
+                {"empty": empty[i], "refusal": votes_refusal(asked, answer, words[i]), "copy": votes_copy(asked, answer, words[i]),
+                 "truncated": truncated, "language": votes_language(asked.want, seen[i], seen[1 - i])}, key,
+            ))
+
+
+def _blank(answer: str | None, empty: list[int]) -> bool:
+    return answer is None or DEFECT in empty[:2]
 
 
 def vote_pair(prompt: str, answers: list[str | None]) -> list[tuple[dict[str, list[int]], str | None]]:
     """Votes on both answers of a prompt, and the end of each to look up."""
-    asked = Prompt(prompt)
-    empty = [votes_empty(asked, x, y) for x, y in (answers, answers[::-1])]
-    blank = [x is None or DEFECT in e[:2] for x, e in zip(answers, empty)]
-    words = [[] if b else tokens(x) for x, b in zip(answers, blank)]
-    seen = [None if b else answer_language(x, w) for x, b, w in zip(answers, blank, words)]
-    done = []
-    for i, answer in enumerate(answers):
-        if blank[i]:
-            done.append(({"empty": empty[i]} | {d: [ABSTAIN] * FUNCTIONS[d] for d in DEFECTS[1:]}, None))
-            continue
-        truncated, key = votes_truncated(answer, words[i])
-        done.append((
-            {"empty": empty[i], "refusal": votes_refusal(asked, answer, words[i]), "copy": votes_copy(asked, answer, words[i]),
-             "truncated": truncated, "language": votes_language(asked.want, seen[i], seen[1 - i])}, key,
-        ))
-    return done
+    return Judged(prompt, answers).done
 
 
 # --- label model -----------------------------------------------------------------------------
@@ -399,38 +449,72 @@ DECLINED = {
 }
 
 
-def planted(rows: list[tuple], seed: int = 11) -> list[tuple[str | None, dict[str, list[int]], str | None]]:
-    """Labelled votes: (defect or None, votes, key) of answers as they are and of the same answers with one defect made.
+EMPTIED = ("", " \n", "...", None)
+PLANT_LENGTH = 80
+
+
+@cache
+def _declined(text: str) -> tuple[list[str], list[int]]:
+    """Content words of an answer that declines, and the votes on it under an empty prompt."""
+    words = tokens(text)
+    return content_words(words), votes_refusal(Prompt(""), text, words)
+
+
+def _end_words(text: str) -> list[str]:
+    """The last words, as many as ``votes_truncated`` may ask for; the first of them can lack its beginning."""
+    last = tokens(text[-160:])
+    return last if len(last) > 12 else tokens(text)
+
 
-    ``rows`` are (prompt, chosen, rejected). Each chosen answer of some length
-    gets one defect in turn: emptied, replaced by an answer that declines or by
-    the prompt, cut within a sentence, or exchanged for one in another language.
+def planted(id_: object, judged: Judged, chosen: str, other: str | None) -> tuple[dict[str, str], str | None]:
+    """Patterns of votes on the chosen answer with each defect made in turn, and the end of the cut one to look up.
+
+    Emptied, replaced by an answer that declines or by the prompt, cut within a
+    sentence; the id tells which of the ways and where. Where no cut is left
+    within a sentence or the prompt has no language, that defect has no pattern.
+    For the language see ``language_parts``: the exchange is made of counts.
     """
-    r = random.Random(seed)
-    good = [(p, c, o) for p, c, o in rows if c and len(c) >= 80]
-    wants = [expected_language(p) for p, _, _ in good]
-    out: list = []
-    for i, (prompt, chosen, other) in enumerate(good):
-        out.append((None, *vote_pair(prompt, [chosen, other])[0]))
-        defect = DEFECTS[i % len(DEFECTS)]
-        if defect == "empty":
-            made = r.choice(["", " \n", "...", None])
-        elif defect == "refusal":
-            made = r.choice(DECLINED[wants[i] or "en"])
-        elif defect == "copy":
-            made = r.choice([prompt, prompt + "\n", f"> {prompt}"])
-        elif defect == "truncated":
-            cut = r.randint(int(0.3 * len(chosen)), int(0.95 * len(chosen)))
-            made = chosen[:cut].rstrip()
-            if made[-1:] in ".!?。！？`":
-                continue
-        else:
-            k = next((k for k in range(i + 1, len(good)) if wants[i] and wants[k] and wants[k] != wants[i]), None)
-            if k is None:
-                continue
-            made = good[k][1]
-        out.append((defect, *vote_pair(prompt, [made, other])[0]))
-    return out
+    prompt, at = judged.prompt, zlib.crc32(repr(id_).encode())
+    out = {"empty": _pattern(votes_empty(prompt, EMPTIED[at % 4], other))}
+    content, votes = _declined(DECLINED[prompt.want or "en"][at % 2])
+    out["refusal"] = _pattern([*votes[:2], vote_shared(prompt, content), *votes[3:]])
+    made = (prompt.text, prompt.text + "\n", f"> {prompt.text}")[at % 3]
+    blank = _blank(made, votes_empty(prompt, made, other))
+    out["copy"] = _pattern([ABSTAIN] * FUNCTIONS["copy"] if blank else votes_copy(prompt, made, prompt.tokens))
+    key, first, last = None, int(0.3 * len(chosen)), int(0.95 * len(chosen))
+    made = chosen[: first + at % (last - first + 1)].rstrip()
+    if made[-1:] not in tuple(".!?。！？`"):
+        blank = _blank(made, votes_empty(prompt, made, other))
+        votes, key = ([ABSTAIN] * FUNCTIONS["truncated"], None) if blank else votes_truncated(made, _end_words(made))
+        out["truncated"] = _pattern(votes)
+    if prompt.want:
+        out["language"] = language_parts(prompt.want, *judged.seen)
+    return out, key
+
+
+def language_parts(want: str, seen: tuple[Counter, Counter, Counter] | None, other: tuple[Counter, Counter, Counter] | None) -> str:
+    """What a record brings to the exchange of answers between languages.
+
+    ``want<theirs``: the language of its prompt and that of its other answer.
+    ``lang>votes mine``: how its chosen answer would be voted under a prompt of each other language, and its own.
+    """
+    mine = main_language(seen) or "-"
+    parts = [f"{want}<{main_language(other) or '-'}"]
+    others = tuple(lang for lang in ASKED if lang != want)
+    votes = votes_by_scores(others, seen) if seen else [[ABSTAIN] * 3] * len(others)
+    return " ".join(parts + [f"{lang}>{_pattern(v)}{mine}" for lang, v in zip(others, votes)])
+
+
+def exchanged(parts: dict[str, int]) -> dict[tuple[int, ...], int]:
+    """Patterns of all chosen answers put to all prompts of another language, from the counts of their parts."""
+    out: Counter = Counter()
+    for asked, n in parts.items():
+        if asked[2] == "<":
+            for given, m in parts.items():
+                if given[:3] == asked[:2] + ">":
+                    mine, theirs = (None if x == "-" else x for x in (given[6:], asked[3:]))
+                    out[*map(int, given[3:6]), vote_by_other(asked[:2], mine, theirs)] += n * m
+    return dict(out)
 
 
 def _pattern(votes: list[int]) -> str:
@@ -454,7 +538,7 @@ def _with_known(votes: DataFrame, known: DataFrame) -> DataFrame:
     return both.withColumn("truncated", F.concat(F.substring("truncated", 1, 2), seen, F.substring("truncated", 4, 9))).drop("known", "key")
 
 
-def defective_pairs(df: DataFrame, id_col: str = "record_id", cutoffs: dict[str, float] | None = None, validation_rows: int = 1500) -> DataFrame:
+def defective_pairs(df: DataFrame, id_col: str = "record_id", cutoffs: dict[str, float] | None = None) -> DataFrame:
     """id, ``side``, ``defect``, ``posterior`` of every label at or above its cutoff (several per answer if so).
 
     The prompt is ``legacy_input`` where ``prompt`` is null; both null is an empty
@@ -464,65 +548,76 @@ def defective_pairs(df: DataFrame, id_col: str = "record_id", cutoffs: dict[str,
     Texts are read in one pass, both answers of a prompt together: it gives the
     votes and counts of the ends of sentences and items, which tell whether an
     answer's end was seen elsewhere. The rest works on votes: at most 3**5
-    patterns a defect reach the driver. Cutoffs not given are validated on
-    ``validation_rows`` records at most (those with the smallest hash of id and
-    no text over 20,000 characters): see ``planted`` and ``validate_cutoffs``.
+    patterns a defect reach the driver. Cutoffs not given are validated on all
+    records whose chosen answer has ``PLANT_LENGTH`` characters: the same pass
+    votes on it as it is and with each defect made (``planted``), and the counts
+    of those patterns, under a thousand more, go to ``validate_cutoffs``.
     """
     spark = df.sparkSession
     rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(prompt_of(df), F.lit("")).alias("prompt"), "chosen", "rejected")
     id_type = rows.schema["id"].dataType.simpleString()
-    names = ["id", "side", "key", *DEFECTS, "n"]
+    chosen_cutoffs = dict(cutoffs or {})
+    validates = bool(set(DEFECTS) - chosen_cutoffs.keys())
+    names = ["id", "side", "plants", "key", *DEFECTS, "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            of: list[int] = []
+            plants: list[bool] = []
             cols: list[list] = [[] for _ in range(2 + len(DEFECTS))]
             ends: Counter = Counter()
-            for prompt, *answers in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
-                for side, answer, (votes, key) in zip(("chosen", "rejected"), answers, vote_pair(prompt, answers)):
-                    for col, v in zip(cols, (side, key, *(_pattern(votes[d]) for d in DEFECTS))):
-                        col.append(v)
+
+            def add(i: int, side: str, plant: bool, key: str | None, patterns: dict[str, str]) -> None:
+                of.append(i)
+                plants.append(plant)
+                for col, v in zip(cols, (side, key, *map(patterns.get, DEFECTS))):
+                    col.append(v)
+
+            for i, (id_, prompt, *answers) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+                judged = Judged(prompt, answers)
+                plant = validates and answers[0] is not None and len(answers[0]) >= PLANT_LENGTH
+                for side, answer, (votes, key) in zip(("chosen", "rejected"), answers, judged.done):
+                    add(i, side, plant and side == "chosen", key, {d: _pattern(v) for d, v in votes.items()})
                     if answer:
                         ends.update(set(inner_ends(answer)))
-            twice = pa.array([i for i in range(batch.num_rows) for _ in (0, 1)], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(twice), *(pa.array(c, pa.string()) for c in cols), pa.nulls(len(cols[0]), pa.int64())], names=names)
-            empty = [pa.nulls(len(ends), pa.string())] * (len(DEFECTS))
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(ends), batch.column(0).type), pa.nulls(len(ends), pa.string()), pa.array(list(ends), pa.string()), *empty, pa.array(list(ends.values()), pa.int64())], names=names)
-
-    raw = written(rows.mapInArrow(run, f"id {id_type}, side string, key string, " + ", ".join(f"`{d}` string" for d in DEFECTS) + ", n bigint"), "pairs-raw")
+                if plant:
+                    made, key = planted(id_, judged, *answers)
+                    add(i, "planted", False, key, made)
+            side, *rest = (pa.array(c, pa.string()) for c in cols)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int32())), side, pa.array(plants, pa.bool_()), *rest, pa.nulls(len(of), pa.int64())], names=names)
+            none = pa.nulls(len(ends), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(ends), batch.column(0).type), none, pa.nulls(len(ends), pa.bool_()), pa.array(list(ends), pa.string()), *[none] * len(DEFECTS), pa.array(list(ends.values()), pa.int64())], names=names)
+
+    raw = written(rows.mapInArrow(run, f"id {id_type}, side string, plants boolean, key string, " + ", ".join(f"`{d}` string" for d in DEFECTS) + ", n bigint"), "pairs-raw")
     known = raw.filter("n is not null").groupBy("key").agg(F.sum("n").alias("n")).filter("n >= 3").select("key", F.lit(True).alias("known"))
     votes = written(_with_known(raw.filter("n is null").drop("n").dropDuplicates(["id", "side"]), known), "pairs-votes")
-    each = votes.select("id", "side", F.explode(F.array(*[F.struct(F.lit(d).alias("defect"), F.col(d).alias("pattern")) for d in DEFECTS])).alias("v")).select("id", "side", "v.*")
-    found: dict[str, dict] = {d: {} for d in DEFECTS}
-    for r in each.groupBy("defect", "pattern").count().collect():
-        found[r["defect"]][tuple(map(int, r["pattern"]))] = r["count"]
+    each = votes.select("id", "side", "plants", F.explode(F.array(*[F.struct(F.lit(d).alias("defect"), F.col(d).alias("pattern")) for d in DEFECTS])).alias("v")).select("id", "side", "plants", "v.*")
+    found, sound, made = ({d: Counter() for d in DEFECTS} for _ in range(3))
+    parts: dict[str, int] = {}
+    counted = each.filter("pattern is not null").select((F.col("side") == "planted").alias("made"), "plants", "defect", F.explode(F.split("pattern", " ")).alias("pattern"))
+    for is_made, plants, d, pattern, n in sorted(counted.groupBy("made", "plants", "defect", "pattern").count().collect()):
+        if is_made and d == "language":
+            parts[pattern] = n
+            continue
+        for counts in (made,) if is_made else (found, sound) if plants else (found,):
+            counts[d][tuple(map(int, pattern))] += n
     posts = {d: fit_label_model(found[d]) for d in DEFECTS}
-    chosen_cutoffs = dict(cutoffs or {})
-    if set(DEFECTS) - chosen_cutoffs.keys() and any(found.values()):
-        chosen_cutoffs = _validated(rows, known, found, posts, validation_rows) | chosen_cutoffs
+    if validates and any(found.values()):
+        made["language"] = exchanged(parts)
+        chosen_cutoffs = _validated(found, posts, sound, made) | chosen_cutoffs
     kept = [(_pattern(p), d, x) for d in DEFECTS for p, x in posts[d].items() if x >= chosen_cutoffs.get(d, 0.5)]
     small = spark.createDataFrame(kept, "pattern string, defect string, posterior double")
-    return each.join(F.broadcast(small), ["defect", "pattern"]).select(F.col("id").alias(id_col), "side", "defect", "posterior")
-
-
-def _validated(rows: DataFrame, known: DataFrame, found: dict, posts: dict, validation_rows: int) -> dict[str, float]:
-    """Cutoffs from a bounded sample of records with planted defects."""
-    sample = rows.filter(F.greatest(*[F.coalesce(F.length(c), F.lit(0)) for c in ("prompt", "chosen", "rejected")]) <= 20_000)
-    sample = sample.orderBy(F.xxhash64("id"), "id").limit(validation_rows).select("prompt", "chosen", "rejected").collect()
-    labelled = planted([tuple(x) for x in sample])
-    keys = sorted({k for _, _, k in labelled if k is not None})
-    seen: set[str] = set()
-    if keys:
-        asked = rows.sparkSession.createDataFrame([(k,) for k in keys], "key string")
-        seen = {x["key"] for x in known.join(F.broadcast(asked), "key").select("key").collect()}
+    return each.filter("side <> 'planted'").join(F.broadcast(small), ["defect", "pattern"]).select(F.col("id").alias(id_col), "side", "defect", "posterior")
+
+
+def _validated(found: dict, posts: dict, sound: dict, made: dict) -> dict[str, float]:
+    """Cutoffs from the counts of votes on answers as they are and with a defect made, which weigh what the model finds of it."""
     scored = []
-    share = {d: sum(n * posts[d][p] for p, n in found[d].items()) / max(1, sum(found[d].values())) for d in DEFECTS}
-    made = Counter(d for d, _, _ in labelled)
-    for defect, votes, key in labelled:
-        if key is not None:
-            votes["truncated"][2] = FINE if key in seen else DEFECT
-        for d in DEFECTS if defect is None else (defect,):
-            weight = 1.0 if defect is None else share[d] * made[None] / max(1, made[d])
-            scored.append((d, posts[d].get(tuple(votes[d]), 0.0), defect is not None, weight))
+    for d in DEFECTS:
+        scored += [(d, posts[d].get(p, 0.0), False, float(n)) for p, n in sound[d].items()]
+        share = sum(n * posts[d][p] for p, n in found[d].items()) / max(1, sum(found[d].values()))
+        weight = share * sum(sound[d].values()) / max(1, sum(made[d].values()))
+        scored += [(d, posts[d].get(p, 0.0), True, n * weight) for p, n in made[d].items()]
     return validate_cutoffs(scored)
 
 
