@@ -590,7 +590,7 @@ def defective_pairs(df: DataFrame, id_col: str = "record_id", cutoffs: dict[str,
 
     raw = written(rows.mapInArrow(run, f"id {id_type}, side string, plants boolean, key string, " + ", ".join(f"`{d}` string" for d in DEFECTS) + ", n bigint"), "pairs-raw")
     known = raw.filter("n is not null").groupBy("key").agg(F.sum("n").alias("n")).filter("n >= 3").select("key", F.lit(True).alias("known"))
-    votes = written(_with_known(raw.filter("n is null").drop("n").dropDuplicates(["id", "side"]), known), "pairs-votes")
+    votes = written(_with_known(raw.filter("n is null").drop("n"), known).dropDuplicates(["id", "side"]), "pairs-votes")
     each = votes.select("id", "side", "plants", F.explode(F.array(*[F.struct(F.lit(d).alias("defect"), F.col(d).alias("pattern")) for d in DEFECTS])).alias("v")).select("id", "side", "plants", "v.*")
     found, sound, made = ({d: Counter() for d in DEFECTS} for _ in range(3))
     parts: dict[str, int] = {}
